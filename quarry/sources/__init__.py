@@ -1,0 +1 @@
+"""sources of the engine: plain functions over DataFrames."""

@@ -1,0 +1 @@
+"""streaming of the engine: plain functions over DataFrames."""
