@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: texts can be long, so batches hold few of them.
-ROWS_PER_BATCH = 256
+ROWS_PER_BATCH, BYTES_PER_BATCH = 256, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Keep Arrow batches of whole texts small, whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def input_splits(spark: SparkSession, df: DataFrame) -> int:

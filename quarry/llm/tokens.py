@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,43 +30,101 @@ SHARD_BYTES = 2 << 20
 SHARDS = "part int, seq int, n_docs int, n_tokens long, dict_sha256 string, width int, doc_ids array<long>, counts array<int>, offsets array<long>, data binary"
 
 
+#: Pieces of Latin-1 letters with ASCII signs behind: lower-casing is per letter, composition changes nothing,
+#: and the letters form one pre-token, as do the signs. No apostrophe: it may start a contraction; no <|>: special tokens.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
+
+
 class WordEncoder:
-    """Encodes a text piece by piece between blanks, keeping the ids of pieces seen before.
+    """Encodes whole texts piece by piece between blanks, keeping the ids of pieces seen before.
 
     Exact for tokenizers whose pre-tokenizer never lets a token cross white space and drops it, and
-    whose normalizer works within a piece; ``word_bpe_49k.json`` is one. Memory is bounded:
-    long pieces are not kept, and the store is emptied when full.
+    whose normalizer works within a piece, as in ``word_bpe_49k.json``. Pieces not seen before go through the
+    library together: plain ones as one text, told apart by the word-end mark of their last tokens, all
+    others one by one. Memory is bounded: long pieces aren't kept, and of two stores of
+    ``keep`` pieces the older one is dropped when the younger is full.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 500_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen, self.keep, self.longest = Tokenizer.from_file(path), {}, keep, longest
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece as little-endian unsigned 16-bit integers."""
-        seen = self.seen
-        if len(seen) > self.keep:
-            seen.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in seen]
-        if not new:
-            return [seen[p] for p in pieces]
-        got = dict(zip(new, (np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        out = [seen[p] if p in seen else got[p] for p in pieces]
-        seen.update((p, v) for p, v in got.items() if len(p) <= self.longest)
-        return out
-
-    def __call__(self, text: str, step: int = 1 << 20) -> bytes:
-        out, at = [], 0
-        while at < len(text):
-            end = at + step
-            if end < len(text):
-                end = text.find(" ", end)
-                end = len(text) if end < 0 else end
-            out += self.pieces(text[at:end].split(" "))
-            at = end
-        return b"".join(out)
+        spec = json.loads(Path(path).read_text())
+        self.whole = Tokenizer.from_file(path)
+        steps = spec["pre_tokenizer"].get("pretokenizers", [])
+        self.plain, self.young, self.old, self.keep, self.longest = None, {}, {}, keep, longest
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+        if [s["type"] for s in steps] == ["Split", "ByteLevel"] and spec["model"].get("end_of_word_suffix"):
+            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}))
+            mark = spec["model"]["end_of_word_suffix"]
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(mark)]] = True
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u2")
+        cut = (np.flatnonzero(self.ends[ids]) + 1) * 2
+        if len(cut) != len(words):
+            return self._each(words)
+        raw, cut = ids.tobytes(), cut.tolist()
+        return [raw[i:j] for i, j in zip([0, *cut], cut)]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of pieces not kept so far; those too long to keep are returned."""
+        kept, old, hard, plain = self.young, self.old, [], []
+        for p in new:
+            if p in old:
+                kept[p] = old[p]
+            elif self.plain is not None and len(p) <= self.longest and (m := _PLAIN(p)):
+                plain.append((p, *m.groups()))
+            else:
+                hard.append(p)
+        if plain:
+            cores, tails = list({c.lower() for _, c, _ in plain}), list({t for _, _, t in plain if t})
+            core, tail = dict(zip(cores, self._together(cores))), dict(zip(tails, self._each(tails))) | {"": b""}
+            kept.update([(p, core[c.lower()] + tail[t]) for p, c, t in plain])
+        long = {}
+        for p, got in zip(hard, self._each(hard)):
+            (kept if len(p) <= self.longest else long)[p] = got
+        return long
+
+    def batch(self, texts: list[str], step: int = 1 << 23) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 16-bit integers, a few megabytes of text at a time."""
+        out: list[list[bytes]] = []
+        rows: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            new = set()
+            for _, pieces in rows:
+                new.update(pieces)
+            long = self._learn(new.difference(self.young))
+            get = (lambda p: self.young[p] if p in self.young else long[p]) if long else self.young.__getitem__
+            for i, pieces in rows:
+                out[i].append(b"".join(map(get, pieces)))
+            rows.clear()
+            if len(self.young) > self.keep:
+                self.old, self.young = self.young, {}
+
+        for i, text in enumerate(texts):
+            out.append([])
+            at = 0
+            while at < len(text):
+                end = at + step if at + step < len(text) else len(text)
+                if end < len(text):
+                    end = text.find(" ", end)
+                    end = len(text) if end < 0 else end
+                rows.append((i, text[at:end].split(" ")))
+                size, at = size + end - at, end
+                if size >= step:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
+
+    def __call__(self, text: str) -> bytes:
+        return self.batch([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -78,11 +140,14 @@ def encoder(path: str) -> WordEncoder:
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample: int = SAMPLE_DOCS) -> bytes:
     """A zstandard dictionary of at most DICT_BYTES, trained on the id arrays of ``sample`` documents.
 
-    The sample is the ``sample`` rows whose ids hash lowest, so it doesn't depend on the input's order.
+    The sample is the ``sample`` rows whose keys hash lowest, so it doesn't depend on the input's order; a
+    threshold on the hash leaves some four times as many to sort.
     Only these bounded arrays reach the driver. Empty bytes if there is too little to train on.
     """
     width = 8 * SAMPLE_BYTES
-    rows = docs.orderBy(F.xxhash64("k"), "k").limit(sample).select(F.substring("text", 1, width).alias("text")).collect()
+    share = min(1.0, 4 * sample / max(1, docs.count()))
+    drawn = docs.select(F.xxhash64("k").alias("h"), F.substring("text", 1, width).alias("text")).where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)))
+    rows = drawn.orderBy("h", "text").limit(sample).collect()
     arrays = [(encoder(path)(r.text or "") + struct.pack("<H", end_id))[:SAMPLE_BYTES] for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, arrays).as_bytes()
@@ -103,7 +168,7 @@ def write_shards(docs: DataFrame, order: Column, id_col: str, text_col: str, pat
     The order is made by a range partitioning, so no task or driver holds more than a part.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2048)
     src = docs.select(order.alias("k"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     raw = train_dictionary(src, tokenizer, end_id)
     digest = hashlib.sha256(raw).hexdigest()
@@ -111,6 +176,7 @@ def write_shards(docs: DataFrame, order: Column, id_col: str, text_col: str, pat
     parts = max(input_splits(spark, docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of strings live here, none of them in cycles
         code, press = encoder(tokenizer), zstandard.ZstdCompressor(level=3, dict_data=_dictionary(raw), write_checksum=True)
         part, seq, end = TaskContext.get().partitionId(), 0, struct.pack("<H", end_id)
         ids, counts, offsets, frames, size, total = [], [], [], [], 0, 0
@@ -120,8 +186,8 @@ def write_shards(docs: DataFrame, order: Column, id_col: str, text_col: str, pat
             return pa.RecordBatch.from_pylist([row], schema=_schema())
 
         for b in batches:
-            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                array = code(text) + end
+            for i, array in zip(b.column("id").to_pylist(), code.batch(b.column("text").to_pylist())):
+                array += end
                 frame = press.compress(array)
                 ids.append(i), counts.append(len(array) // 2), offsets.append(size), frames.append(frame)
                 size, total = size + len(frame), total + len(array) // 2
@@ -130,6 +196,7 @@ def write_shards(docs: DataFrame, order: Column, id_col: str, text_col: str, pat
                     seq, ids, counts, offsets, frames, size, total = seq + 1, [], [], [], [], 0, 0
         if ids:
             yield shard()
+        gc.enable()
 
     dealt = src.repartitionByRange(parts, "k").sortWithinPartitions("k", "id", "text")
     dealt.select("id", "text").mapInArrow(run, SHARDS).write.option("compression", "uncompressed").parquet(f"{path}/shards")
