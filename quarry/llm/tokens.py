@@ -146,7 +146,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample: int = SAMP
     """
     width = 8 * SAMPLE_BYTES
     share = min(1.0, 4 * sample / max(1, docs.count()))
-    drawn = docs.select(F.xxhash64("k").alias("h"), F.substring("text", 1, width).alias("text")).where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)))
+    drawn = docs.select(F.xxhash64("k").alias("h"), F.substring("text", 1, width).alias("text")).where(F.col("h") <= min(2**63 - 1, int(share * 2**64) - 2**63))
     rows = drawn.orderBy("h", "text").limit(sample).collect()
     arrays = [(encoder(path)(r.text or "") + struct.pack("<H", end_id))[:SAMPLE_BYTES] for r in rows]
     try:
