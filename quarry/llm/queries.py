@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from quarry.llm.decontaminate import op4_benchmark_decontamination
+from quarry.llm.mixing import op3_mix_sources
 from quarry.llm.simhash import op7_simhash_near_dedup
 from quarry.llm.tokens import op1_token_output
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op7_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_output, op3_mix_sources, op4_benchmark_decontamination, op7_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
