@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from quarry.llm.counts import op6_token_counts
 from quarry.llm.decontaminate import op4_benchmark_decontamination
+from quarry.llm.language import op9_language_id
 from quarry.llm.mixing import op3_mix_sources
 from quarry.llm.simhash import op7_simhash_near_dedup
 from quarry.llm.tokens import op1_token_output
+from quarry.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op3_mix_sources, op4_benchmark_decontamination, op7_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_output, op3_mix_sources, op4_benchmark_decontamination, op6_token_counts, op7_simhash_near_dedup, op9_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
