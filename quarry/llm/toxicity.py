@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, table
+from quarry.llm.common import cut, small_batches, table
 
 #: Labelled documents that the classifier is fitted on at most: those whose ids hash lowest.
 TRAIN_DOCS = 20_000
 #: A word counts if, two standard errors below its log-odds, it is still this much likelier in toxic texts.
 LEAST_ODDS = 4.0
+#: Lengths of beginnings that are features, and features that are kept at most.
+STEMS, TELLING = (4, 5, 6, 7), 5000
 #: Symbols of the language model: 0 a word's edge, 1-26 a-z, 27 any other letter.
 SYMBOLS = 28
 #: What a sign can stand for in disguised words.
@@ -145,21 +147,23 @@ class Restorer:
             out += decode(" ".join(run[at : at + 128]), self.model).split()
         return out
 
-    def words(self, text: str | None) -> set[str]:
-        tokens = (text or "").lower().split()
-        distinct, found, seen = set(tokens), set(), self.seen
+    def words(self, text: str | None) -> Counter:
+        """How often each restored word occurs, a text's distinct tokens being restored once."""
+        tokens = Counter((text or "").lower().split())
+        found, seen = Counter(), self.seen
         if len(seen) > self.keep:
             seen.clear()
-        for t in distinct:
+        for t, n in tokens.items():
             got = seen.get(t)
             if got is None:
                 got = self.token(t)
                 if len(t) <= 64:
                     seen[t] = got
-            found.update(got)
-        if sum(len(t) == 1 for t in distinct) >= 2:
+            for w in got:
+                found[w] += n
+        if sum(len(t) == 1 for t in tokens) >= 2:
             run: list[str] = []
-            for t in [*tokens, ""]:
+            for t in [*(text or "").lower().split(), ""]:
                 if len(t) == 1:
                     run.append(t)
                 else:
@@ -169,8 +173,52 @@ class Restorer:
         return found
 
 
-def toxic_words(sample: DataFrame, model: list) -> tuple[float, dict[str, float]]:
-    """(bias, weight of each word that tells) from (text, toxic) rows, by naive Bayes on which words a text has."""
+def features(word: str) -> list[str]:
+    """A word and its beginnings, which tell of words that are built alike."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
+class Scorer:
+    """Log-odds that a text is toxic: a logistic regression on what its telling features weigh."""
+
+    def __init__(self, model: list, weights: dict[str, float], beta: np.ndarray | None = None):
+        self.restore, self.weights, self.beta, self.known = Restorer(model), weights, beta, {}
+
+    def row(self, text: str | None) -> list[float]:
+        """[1, weight of the strongest word, weights of all words a hundred, their sum with diminishing returns, size]."""
+        if len(self.known) > 500_000:
+            self.known.clear()
+        words, known, hits, n = self.restore.words(text), self.known, [], 0
+        for w, k in words.items():
+            n += k
+            if w not in known:
+                own = [self.weights[f] for f in features(w) if f in self.weights]
+                known[w] = max(own, default=0.0)
+            if known[w]:
+                hits.append(known[w])
+        total = sum(hits)
+        return [1.0, max(hits, default=0.0), 20 * total / (n + 20), math.log1p(total), math.log1p(n) / 5]
+
+    def __call__(self, text: str | None) -> float:
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, float(np.dot(self.beta, self.row(text)))))))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
+    """Ridge logistic regression by Newton's method."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (y - p) - ridge * beta
+        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(curve, slope)
+        beta += step
+        if abs(step).max() < 1e-8:
+            break
+    return beta
+
+
+def telling(sample: DataFrame, model: list) -> dict[str, float]:
+    """Log-odds of the features that tell, from (text, toxic) rows, by which features a text has."""
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,23 +226,38 @@ def toxic_words(sample: DataFrame, model: list) -> tuple[float, dict[str, float]
         for b in batches:
             seen = (Counter(), Counter())
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[label].update(restore.words(text))
+                seen[label].update({f for w in restore.words(text) for f in features(w)})
                 seen[label][""] += 1
             words = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[k][w] for w in words], pa.int64()) for k in (1, 0))], names=["word", "toxic", "clean"])
-
-    df = sample.select("text", "toxic").mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    df = df.where("word = '' or t >= 3")
-    totals = F.first(F.when(F.col("word") == "", F.struct("t", "c")), ignorenulls=True)
-    both = df.agg(totals.alias("x")).first()
-    if both is None or both.x is None:
-        return -2.0, {}
-    t, c = both.x.t, both.x.c
-    odds = F.log((F.col("t") + 0.5) / (t + 1)) - F.log((F.col("c") + 0.5) / (c + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[k][w] for w in words], pa.int64()) for k in (1, 0))], names=["word", "t", "c"])
+
+    df = cut(sample.select("text", "toxic").mapInArrow(run, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("word = '' or t >= 3"))
+    both = df.where("word = ''").first()
+    if both is None:
+        return {}
+    odds = F.log((F.col("t") + 0.5) / (both.t + 1)) - F.log((F.col("c") + 0.5) / (both.c + 1))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     told = df.where("word <> ''").withColumn("w", odds).where(F.col("w") - 2 * error > math.log(LEAST_ODDS))
-    rows = told.orderBy(F.desc(F.col("w") / error), "word").limit(5000).collect()
-    return min(-1.0, math.log((t + 0.5) / (c + 0.5))), {r.word: r.w for r in rows}
+    rows = told.orderBy(F.desc(F.col("w") / error), "word").limit(TELLING).collect()
+    return {r.word: r.w for r in rows}
+
+
+def fitted(sample: DataFrame, model: list) -> Scorer:
+    """Features from two thirds of (doc_id, text, toxic), the regression from the rest, which the features haven't seen."""
+    third = F.pmod(F.xxhash64(F.lit("third"), "doc_id"), F.lit(3)) == 0
+    weights = telling(sample.where(~third), model)
+    scorer = Scorer(model, weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [scorer.row(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+
+    rows = sample.where(third).select("text", "toxic").mapInArrow(run, "x array<double>, y int").collect()
+    beta = np.array([-3.0, 0.0, 0.0, 0.0, 0.0])
+    if len({r.y for r in rows}) == 2 and weights:
+        beta = logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows], dtype=float))
+    return Scorer(model, weights, beta)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -202,24 +265,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_docs
 
     The letter model counts all whole texts. The classifier is fitted on at most ``train_docs`` documents that have a label and
     satisfy ``learn`` (a condition on doc_id); of several labels of a document the larger counts, null labels and
-    ids don't. Null and empty texts have no words and get the bias as score. Null and repeated
+    ids don't. Null and empty texts have no words and get the score of a text without telling words. Null and repeated
     ids keep their rows; other columns of ``docs`` are ignored. Without labels, nothing is toxic.
     """
     model = language_model(letter_counts(docs))
     known = labels.where("doc_id is not null and toxic is not null").where(learn).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")
-    bias, weights = toxic_words(sample, model)
+    scorer = fitted(sample, model)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, telling = Restorer(model), weights.keys()
         for b in batches:
-            scores = []
-            for text in b.column(1).to_pylist():
-                z = bias + sum(weights[w] for w in telling & restore.words(text))
-                scores.append(1 / (1 + math.exp(-min(z, 50))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
