@@ -33,8 +33,12 @@ def hops(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFr
     """(node, hops) of all nodes reachable from ``starts`` (node), with the least number of edges.
 
     Frontier by frontier: each round joins only the newest nodes with the edges and drops those seen, so a cycle
-    ends by itself. The driver learns only whether a frontier is empty.
+    ends by itself. The edges are written once for all rounds. The driver learns only whether a frontier is empty.
     """
+    return _hops(_cut(edges), starts, most)
+
+
+def _hops(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     seen = starts.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0))
     new, k = seen, 0
     while most is None or k < most:
@@ -55,7 +59,8 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def trim(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) on some way from a source to a sink."""
-    ahead, back = reachable(edges, sources), reachable(reversed_edges(edges), sinks)
+    edges = _cut(edges)
+    ahead, back = _hops(edges, sources).select("node"), _hops(reversed_edges(edges), sinks).select("node")
     nodes = ahead.intersect(back)
     kept = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
     return nodes, kept.select(*edges.columns)
@@ -68,8 +73,9 @@ def simple_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, longest
     They are numbered depth first: sources by name, at each node the children nearest to a sink first, then by name.
     ``most`` keeps the first ones. A source that is a sink is a path of one node.
     """
-    to_sink = hops(reversed_edges(edges), sinks)
-    step = edges.select("src", "dst").distinct().join(to_sink.select(F.col("node").alias("dst"), "hops"), "dst")
+    edges = _cut(edges.select("src", "dst").distinct())
+    to_sink = _hops(reversed_edges(edges), sinks)
+    step = edges.join(to_sink.select(F.col("node").alias("dst"), "hops"), "dst")
     goals = sinks.select(F.col("node").alias("last")).distinct().withColumn("_goal", F.lit(True))
     begin = sources.select("node").distinct().join(to_sink, "node", "left_semi")
     open_ = begin.select(F.array("node").alias("path"), F.array(F.struct(F.lit(0).alias("h"), F.col("node").alias("n"))).alias("key"), F.col("node").alias("last"))
@@ -96,7 +102,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 120) -> Dat
     Ties go to the lower priorities along the way, then to the smaller names. ``edges`` may lack priority.
     """
     e = edges if "priority" in edges.columns else edges.withColumn("priority", F.lit(0))
-    e = e.select("src", "dst", "priority")
+    e = _cut(e.select("src", "dst", "priority"))
     new = sources.select(F.col("node").alias("source"), "node", F.array("node").alias("path"), F.array(F.lit(0)).alias("by")).distinct()
     seen, k = new, 0
     while k < most:
@@ -112,9 +118,10 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 120) -> Dat
 
 def levels(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, level, row, indegree) for drawing: least hops from the starts; unreachable nodes one level below all."""
-    h = hops(edges, starts)
+    edges = _cut(edges.select("src", "dst").distinct())
+    h = _hops(edges, starts)
     top = h.agg(F.coalesce(F.max("hops"), F.lit(0)).alias("_top"))
-    into = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indegree"))
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indegree"))
     out = nodes.select("node").distinct().join(h, "node", "left").join(into, "node", "left").crossJoin(F.broadcast(top))  # one row
     out = out.select("node", F.coalesce("hops", F.col("_top") + 1).alias("level"), F.coalesce("indegree", F.lit(0)).alias("indegree"))
     return out.withColumn("row", F.row_number().over(W.partitionBy("level").orderBy("node")) - 1)

@@ -102,7 +102,7 @@ def call_graph(blocks: DataFrame, calls: DataFrame, sources: DataFrame, sinks: D
     sink line belongs to its innermost block. A source is the block at its line, else the nearest of its name within
     NEAR lines, else a node of its own.
     """
-    fn = blocks.withColumn("node", F.concat_ws(":", F.lit("fn"), "path", "start_line", "name"))
+    fn = blocks.drop("pos").withColumn("node", F.concat_ws(":", F.lit("fn"), "path", "start_line", "name"))
     around = lookups.containing(calls.withColumn("last", F.col("end") - 1), fn, ["path"], "pos", "body_start", "body_end").where("last <= body_end")
     site = around.select(F.col("callee").alias("name"), "pos", "node", F.col("path").alias("at_path"), F.col("start_line").alias("at_line"))
     defs = fn.select("name", F.col("node").alias("to"), F.col("path").alias("to_path"), F.col("start_line").alias("to_line"))
