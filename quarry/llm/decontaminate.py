@@ -175,10 +175,11 @@ def _by_shuffle(src: DataFrame, bench: DataFrame, shortest: int) -> DataFrame:
     kind = "id long, text string, seeds array<long>"
     bench_seeds = bench.mapInArrow(seeds([]), kind).select(F.col("id").alias("item_id"), F.explode("seeds").alias("seed"))
     doc_seeds = src.mapInArrow(seeds(list(range(1, shortest + 1))), kind).select(F.col("id").alias("doc_id"), F.xxhash64("text").alias("key"), F.explode("seeds").alias("seed"))
-    pairs = doc_seeds.join(bench_seeds, "seed").select("doc_id", "key", "item_id").distinct()
-    texts = src.withColumn("key", F.xxhash64("text"))
-    both = pairs.join(texts, pairs.doc_id.eqNullSafe(texts.doc_id) & (pairs.key == texts.key)).select(texts.doc_id, "text", "item_id")
-    both = both.join(bench.withColumnRenamed("text", "item"), both.item_id.eqNullSafe(bench.item_id)).select("doc_id", "text", both.item_id, "item")
+    pairs = doc_seeds.join(bench_seeds, "seed").select(F.col("doc_id").alias("p_doc"), F.col("key").alias("p_key"), F.col("item_id").alias("p_item")).distinct()
+    texts = src.select(F.col("doc_id").alias("t_doc"), "text", F.xxhash64("text").alias("t_key"))
+    both = pairs.join(texts, F.col("p_doc").eqNullSafe(F.col("t_doc")) & (F.col("p_key") == F.col("t_key"))).select("p_doc", "text", "p_item")
+    known = bench.select(F.col("item_id").alias("b_item"), F.col("text").alias("item"))
+    both = both.join(known, F.col("p_item").eqNullSafe(F.col("b_item"))).select("p_doc", "text", "p_item", "item")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
