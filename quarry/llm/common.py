@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,21 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """``df`` with a long column row, another number for each row and the same at every read: its file's rank and its place there.
+
+    What isn't read from files as it is, is written to the shared folder first.
+    """
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException:
+        return numbered_rows(staged(df, "rows"))
+    names = sorted(r[0] for r in placed.select("_path").distinct().collect())
+    ranks = df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "_name string, _rank long")
+    row = F.shiftleft("_rank", 40) + F.col("_index")
+    return placed.join(F.broadcast(ranks), F.col("_path") == F.col("_name")).select(*df.columns, row.alias("row"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession, "cut")  # registers a folder where none is set
