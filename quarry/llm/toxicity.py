@@ -31,7 +31,11 @@ STAND_IN, DROP, REPEAT = 1.0, 0.5, 0.7
 
 _ENDS = re.compile(r"^\W+|[^\w@$!|+]+$")
 _CLEAN = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
+_SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
+#: Marks around a word that may also be stand-ins: those of sentences, and bars too.
+_MARKS = re.compile(r"""^[(<\["'“‘]+|[!?.,;:)>\]"'”’]+$""")
+_BARS = re.compile(r"""^[(<\["'“‘|]+|[!?.,;:)>\]"'”’|+]+$""")
 _PLAIN_END = re.compile(r"[!|+$@]+$")
 
 
@@ -127,18 +131,22 @@ class Restorer:
         self.model, self.seen, self.keep = model, {}, keep
 
     def token(self, raw: str) -> tuple[str, ...]:
+        """The word as it stands, without the signs around it, and what it decodes to if signs, digits or doubled letters may disguise it.
+
+        Signs at an end can be stand-ins or marks, so the token is decoded with them and without.
+        """
+        if _CLEAN.fullmatch(raw) and not _TWICE.search(raw):
+            return (raw,)
         core = _ENDS.sub("", raw)
-        if _CLEAN.fullmatch(core) and not _RUN.search(core):
-            return (core,)
         plain = _PLAIN_END.sub("", core)
-        if not any(c.isalpha() for c in core):
-            return ()
-        if _CLEAN.fullmatch(plain) and not _RUN.search(plain):
-            return (plain,)
+        known = [plain] if _CLEAN.fullmatch(plain) else _CLEAN.findall(core)
+        shown = dict.fromkeys(x if _SIGN.search(x) else _ENDS.sub("", x) for x in (raw, _MARKS.sub("", raw), _BARS.sub("", raw), core))
         parts: list[str] = []
-        for at in range(0, len(core), 64):  # a lattice of a long run of signs is searched piece by piece
-            parts += decode(core[at : at + 64], self.model).split()
-        return tuple(dict.fromkeys([*re.findall(r"[^\W\d_]+", core), *parts]))
+        for x in shown:
+            if x and not (_CLEAN.fullmatch(x) and not _TWICE.search(x)):
+                for at in range(0, len(x), 64):  # a lattice of a long run of signs is searched piece by piece
+                    parts += decode(x[at : at + 64], self.model).split()
+        return tuple(dict.fromkeys([*known, *parts]))
 
     def spaced(self, run: list[str]) -> list[str]:
         """Words of a run of single characters."""
@@ -161,12 +169,13 @@ class Restorer:
                     seen[t] = got
             for w in got:
                 found[w] += n
-        if sum(len(t) == 1 for t in tokens) >= 2:
+        if sum(len(t) == 1 or (len(t) <= 4 and len(_MARKS.sub("", t)) == 1) for t in tokens) >= 2:
             run: list[str] = []
             for t in [*(text or "").lower().split(), ""]:
-                if len(t) == 1:
-                    run.append(t)
-                else:
+                bare = t if len(t) == 1 else _MARKS.sub("", t) if len(t) <= 4 else ""
+                if len(bare) == 1:
+                    run.append(bare)
+                if len(bare) != 1 or (len(t) > 1 and t[-1] != bare):
                     if len(run) >= 3:
                         found.update(self.spaced(run))
                     run = []

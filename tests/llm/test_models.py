@@ -48,6 +48,15 @@ def test_decoding(spark):
     assert toxicity.decode("s t u p i d", model).replace(" ", "") == "stupid"
 
 
+def test_stand_ins_everywhere(spark):
+    docs = spark.createDataFrame([(1, "stupid people say stupid things and an ass is an ass as stupid people say " * 40)], "doc_id long, text string")
+    restore = toxicity.Restorer(toxicity.language_model(toxicity.letter_counts(docs)))
+    for word, shown in [("stupid", ["$tupid", "$tupid!", "($tupid)", "stuupid", "stuupid,", "s t u p i d!", "is it s t u p i d.", '"$tup!d"']), ("ass", ["@ss", "a$$", "as$", "as$!", "455", "@$$", "@$$!", "a s $"])]:
+        for text in shown:
+            assert word in restore.words(text), text
+    assert set(restore.words("say people, things.")) == {"say", "people", "things"}
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
