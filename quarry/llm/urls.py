@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, table
+from quarry.llm.common import small_batches, staged, table
 
 #: (verdict, host, path) of the rules that the query applies.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -19,10 +19,13 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 UNWANTED = ("ads", "adult", "bets", "casino", "loans", "malware", "phishing", "pills", "poker", "popup", "porn", "replica", "scam", "spam", "torrent", "tracker", "viagra", "warez", "xxx")
 #: Counts that smooth the classifier's words.
 SMOOTH = 0.1
-#: Words of the unigram model at most, the commonest; features of the classifier at most; letters of a word at most.
-VOCABULARY, FEATURES, LONGEST = 50_000, 50_000, 24
+#: Words that are common in urls and seldom in texts: part of the vocabulary, so that they aren't taken for others with an unknown rest.
+USUAL = ("archive", "article", "assets", "blog", "category", "content", "download", "downloads", "example", "forum", "html", "images", "index", "loads", "media", "news", "online", "page", "pages", "product", "roads", "search", "shop", "static", "store", "threads", "upload", "uploads", "user", "wiki")
+#: Words of the unigram model and of the classifier have this share of all words at least, at every size; letters of a word at most.
+LEAST_SHARE, LONGEST = 2e-6, 24
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"<[^>]*>")
+_ADDRESS = re.compile(r"\w[\w+.-]*://\S*|\w[\w-]*(?:\.\w[\w-]*)+(?:/\S*)?")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -43,7 +46,10 @@ def rule_for(rules: tuple[tuple[str, str, str], ...]) -> Column:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, n): words of letters in whole pages without their tags, and in urls; counted in tasks, then summed."""
+    """(word, n): words of letters in whole pages without tags and addresses; counted in tasks, then summed.
+
+    Names in urls are what is to be split, so they aren't counted, nor are a page's words that its own host has whole.
+    """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,32 +58,35 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
         counts: Counter = Counter()
         for b in batches:
-            for column in b.columns:
-                for text in column.to_pylist():
-                    counts.update(w for w in _LETTERS.findall(_TAG.sub(" ", text or "").lower()) if len(w) <= LONGEST)
+            for text, host in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = {w for w in _LETTERS.findall(host or "") if len(w) >= 4}
+                counts.update(w for w in _LETTERS.findall(_ADDRESS.sub(" ", _TAG.sub(" ", text or "")).lower()) if len(w) <= LONGEST and w not in own)
             if len(counts) > 500_000:
                 yield out(counts)
                 counts = Counter()
         if counts:
             yield out(counts)
 
-    return pages.select(F.col("html").cast("string"), F.col("url").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    src = pages.select(F.col("html").cast("string"), F.col("url").cast("string"))
+    return src.select("html", F.lower(split_url(F.col("url"))[0])).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def costs(pages: DataFrame) -> dict[str, float]:
-    """-log p of the commonest words; words of one letter count only if nothing else fits."""
-    rows = word_counts(pages).where("n > 1 and length(word) > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    """-log p of the words with LEAST_SHARE of all; words of one letter count only if nothing else fits."""
+    words = staged(word_counts(pages).where("length(word) > 1"), "url-words")
+    whole = words.agg(F.sum("n")).first()[0] or 0
+    rows = words.where((F.col("n") > 1) & (F.col("n") >= LEAST_SHARE * whole)).collect()
     counts = {r.word: r.n for r in rows}
     top = max(counts.values(), default=100)
-    for w in UNWANTED:
+    for w in UNWANTED + USUAL:
         counts[w] = max(counts.get(w, 0), top / 100)
-    total = sum(counts.values())
+    total = max(whole, sum(counts.values()))
     return {w: math.log(total / n) for w, n in counts.items()}
 
 
 def segment(name: str, cost: dict[str, float]) -> list[str]:
     """The likeliest split of a name into words, by Viterbi; pieces that are no words cost 6 and 4 more a letter."""
-    if name in cost or len(name) < 4:
+    if len(name) < 4:
         return [name] if name else []
     unknown = max(cost.values(), default=10.0)
     best: list[tuple[float, int]] = [(0.0, 0)]
@@ -132,16 +141,18 @@ def learn(urls: DataFrame, cost: dict[str, float]) -> dict[str, float]:
             words = list({w for w, _ in counts})
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([counts[w, k] for w in words], pa.int64()) for k in (True, False))], names=["word", "blocked", "allowed"])
 
-    sums = urls.select("host", "path").mapInArrow(run, "word string, blocked long, allowed long").groupBy("word").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    rows = sums.orderBy(F.desc("b"), F.desc("a"), "word").limit(FEATURES).collect()
+    counted = urls.select("host", "path").mapInArrow(run, "word string, blocked long, allowed long")
+    sums = staged(counted.groupBy("word").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")), "url-features")
+    whole = sums.where("word <> ''").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = sums.where((F.col("word") == "") | (F.col("b") + F.col("a") >= LEAST_SHARE * (whole[0] + whole[1]))).collect()
     blocked, allowed = {r.word: float(r.b) for r in rows}, {r.word: float(r.a) for r in rows}
     docs = (blocked.pop("", 0.0), allowed.pop("", 0.0))
     for w in bad:
         blocked.setdefault(w, 0.0), allowed.setdefault(w, 0.0)
-    prior = max(1.0, sum(blocked.values()) / 100)
+    prior = max(1.0, whole[0] / 100)
     for w in bad:
         blocked[w] += prior
-    nb, na, v = sum(blocked.values()), sum(allowed.values()), len(blocked)
+    nb, na, v = whole[0] + prior * len(bad), float(whole[1]), max(whole[2], len(blocked))
     odds = {w: math.log((blocked[w] + SMOOTH) / (nb + SMOOTH * v)) - math.log((allowed[w] + SMOOTH) / (na + SMOOTH * v)) for w in blocked}
     return odds | {"": math.log((docs[0] + 1) / (docs[1] + 1))}
 
@@ -152,7 +163,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     The longest rule that fits a url decides. Others are blocked if the naive Bayes log-odds of their words, score, are
     over 0; urls without known words are allowed. Null urls and urls without ``://`` have empty host and path. Null and
     repeated ids keep their rows; other columns are ignored, an empty table gives no rows. The vocabulary counts
-    all pages and the classifier all urls; what reaches the driver is bounded by VOCABULARY and FEATURES.
+    all pages and the classifier all urls; what reaches the driver is bounded by LEAST_SHARE.
     """
     src = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
     host, path = split_url(F.col("url"))

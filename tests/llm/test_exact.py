@@ -181,6 +181,19 @@ def test_url_rules(spark):
     assert urls.segment("cheappillsnow", {"cheap": 1.0, "pills": 1.0, "now": 1.0}) == ["cheap", "pills", "now"]
 
 
+def test_hosts_on_many_pages_are_split(spark):
+    text = "<p>cheap casino bets and fine garden tools for a quiet town, see quietgardentools.net or https://cheapcasinobets.net/x</p>"
+    hot = [(i, f"http://cheapcasinobets.net/page{i}", text + "cheapcasinobets") for i in range(60)]
+    fine = [(100 + i, f"http://quietgardentools.net/uploads/page{i}", text) for i in range(140)]
+    pages = spark.createDataFrame([*hot, *fine], "page_id long, url string, html string")
+    cost = urls.costs(pages)
+    assert urls.segment("cheapcasinobets", cost) == ["cheap", "casino", "bets"]
+    assert urls.segment("quietgardentools", cost) == ["quiet", "garden", "tools"]
+    assert urls.segment("uploads", cost) == ["uploads"]
+    got = {(r.host, r.verdict) for r in urls.judge_urls(pages).collect()}
+    assert got == {("cheapcasinobets.net", "block"), ("quietgardentools.net", "allow")}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (None, 5), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in common.connected_components(e, "a", "b").collect()}
