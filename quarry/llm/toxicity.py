@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quarry.llm.common import cut, small_batches, table
 
@@ -269,13 +270,13 @@ def fitted(sample: DataFrame, model: list) -> Scorer:
     return Scorer(model, weights, beta)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, score, predicted) of every row of ``docs``.
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_docs: int = TRAIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, predicted) of every row of ``docs``, with its columns ``carry`` between.
 
     The letter model counts all whole texts. The classifier is fitted on at most ``train_docs`` documents that have a label and
     satisfy ``learn`` (a condition on doc_id); of several labels of a document the larger counts, null labels and
     ids don't. Null and empty texts have no words and get the score of a text without telling words. Null and repeated
-    ids keep their rows; other columns of ``docs`` are ignored. Without labels, nothing is toxic.
+    ids keep their rows; columns of ``docs`` that aren't carried are ignored. Without labels, nothing is toxic.
     """
     model = language_model(letter_counts(docs))
     known = labels.where("doc_id is not null and toxic is not null").where(learn).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -284,11 +285,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_docs
     scorer = fitted(sample, model)
     small_batches(docs.sparkSession)
 
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *carry)
+    kind = StructType([StructField("doc_id", LongType()), *(StructField(f.name, f.dataType) for f in own.schema[2:]), StructField("score", DoubleType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+            score = pa.array([scorer(t) for t in b.column(1).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], score], names=["doc_id", *b.schema.names[2:], "score"])
 
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    got = own.mapInArrow(run, kind)
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
