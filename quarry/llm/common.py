@@ -10,8 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: texts can be long, so batches hold few of them.
-ROWS_PER_BATCH, BYTES_PER_BATCH = 256, 16 << 20
+#: Bytes of an Arrow batch: texts can be long, so batches hold few of them.
+BYTES_PER_BATCH = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Keep Arrow batches of whole texts small, whatever the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, whatever the texts' lengths.
+
+    All operators ask for the same bound, so a frame that runs after another operator was called runs alike. A tighter
+    bound that the session has already stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not known.isdigit() or not 0 < int(known) <= BYTES_PER_BATCH:
+        spark.conf.set(key, str(BYTES_PER_BATCH))
 
 
 def input_splits(spark: SparkSession, df: DataFrame) -> int:

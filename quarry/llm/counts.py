@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, table
+from quarry.llm.common import bounded_batches, table
 
 #: Characters of a chunk, and of the overlap tried first.
 CHUNK, OVERLAP = 65536, 512
@@ -82,7 +82,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CH
     A null text is empty and has no tokens. Null and repeated ids keep their rows. No text is cut; texts of more than
     ``chunk`` characters go through ``spliced_count``. Other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, table
+from quarry.llm.common import bounded_batches, table
 
 #: Tokens of a seed, which is the shortest tile too; share of an item's tokens under tiles that counts as a leak.
 SEED_TOKENS, COVERAGE = 5, 0.5
@@ -118,7 +118,7 @@ def overlaps(docs: DataFrame, items: DataFrame, shortest: int = SEED_TOKENS, bro
     each count. While the benchmark has ``broadcast_seeds`` seeds or fewer, its tokens go to every task and documents
     are read once; beyond that, seeds and documents meet in a shuffle join on distinct seeds of each document.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bench = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     # every word but the last of an item can start a seed, and white space or signs separate words

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, table
+from quarry.llm.common import bounded_batches, table
 
 #: Buckets of trigrams, and how steeply a bit's mean log-odds counts.
 BUCKETS, SLOPE = 1 << 14, 5.0
@@ -56,7 +56,7 @@ def codewords(n: int, seed: int = 1) -> np.ndarray:
 
 def gram_counts(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Trigram counts of every language over all rows of (text, lang); summed by Spark, one array a language comes back."""
-    small_batches(labelled.sparkSession)
+    bounded_batches(labelled.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -98,7 +98,7 @@ def predict_language(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     their rows; other columns are ignored.
     """
     langs, code, weights = bit_weights(gram_counts(labelled.where("text is not null and lang is not null")))
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import input_splits, shared_dir, small_batches, staged, table
+from quarry.llm.common import input_splits, shared_dir, bounded_batches, staged, table
 
 #: Bytes of a repeat, of a sample's core, and positions of which one at least is sampled: LENGTH = CORE + REACH - 1.
 LENGTH, CORE, REACH = 200, 50, 151
@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remove each other. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1024)
+    bounded_batches(spark)
     path = shared_dir(spark, "repeats-texts")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     docs.select(F.monotonically_increasing_id().alias("tid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).write.option("compression", "zstd").parquet(path)

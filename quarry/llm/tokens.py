@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import input_splits, shared_dir, small_batches, table
+from quarry.llm.common import input_splits, shared_dir, bounded_batches, table
 
 MAGIC = b"QTOK1"
 #: Documents whose id arrays train the dictionary, and bytes of each that count.
@@ -168,7 +168,7 @@ def write_shards(docs: DataFrame, order: Column, id_col: str, text_col: str, pat
     The order is made by a range partitioning, so no task or driver holds more than a part.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2048)
+    bounded_batches(spark)
     src = docs.select(order.alias("k"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     raw = train_dictionary(src, tokenizer, end_id)
     digest = hashlib.sha256(raw).hexdigest()
@@ -250,7 +250,6 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 run_up = np.cumsum([0, *row["counts"][:-1]])
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(run_up, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(crcs, pa.int64())], names=["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     read = shards.mapInArrow(run, "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
     return read.join(index, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
 

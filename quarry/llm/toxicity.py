@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quarry.llm.common import cut, small_batches, table
+from quarry.llm.common import cut, bounded_batches, table
 
 #: Labelled documents that the classifier is fitted on at most: those whose ids hash lowest.
 TRAIN_DOCS = 20_000
@@ -51,7 +51,7 @@ for _c in range(256):
 
 def letter_counts(docs: DataFrame) -> np.ndarray:
     """Counts of letter trigrams over all whole texts, [before last, last, next]."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SYMBOLS**3, dtype=np.int64)
@@ -229,7 +229,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30)
 
 def telling(sample: DataFrame, model: list) -> dict[str, float]:
     """Log-odds of the features that tell, from (text, toxic) rows, by which features a text has."""
-    small_batches(sample.sparkSession)
+    bounded_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(model)
@@ -283,7 +283,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_docs
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")
     scorer = fitted(sample, model)
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *carry)
     kind = StructType([StructField("doc_id", LongType()), *(StructField(f.name, f.dataType) for f in own.schema[2:]), StructField("score", DoubleType())])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, staged, table
+from quarry.llm.common import bounded_batches, staged, table
 
 #: (verdict, host, path) of the rules that the query applies.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -50,7 +50,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
     Names in urls are what is to be split, so they aren't counted, nor are a page's words that its own host has whole.
     """
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(c: Counter) -> pa.RecordBatch:
@@ -127,7 +127,7 @@ def learn(urls: DataFrame, cost: dict[str, float]) -> dict[str, float]:
     A url is labelled unwanted if one of its words is in UNWANTED. So words that keep their company tell too, and
     words found as often elsewhere tell nothing. Rules aren't labels: what they say holds for their own hosts only.
     """
-    small_batches(urls.sparkSession, 4096)
+    bounded_batches(urls.sparkSession)
     bad = frozenset(k + w for w in UNWANTED for k in ("h:", "p:"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     urls = src.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path")).withColumn("found", rule_for(rules))
     cost = costs(pages)
     odds = learn(urls, cost)
-    small_batches(pages.sparkSession, 4096)
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(cost)
