@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, staged, table
+from quarry.llm.common import bounded_batches, staged, table
 
 #: Vectors that the index is fitted on at most: those whose ids hash lowest. Centroids at most.
 SAMPLE, MOST_LISTS = 20_000, 1024
-#: Components of a subspace, codewords of a subspace, vectors in a block, queries in a block.
-SUB, CODES, BLOCK, QUERY_BLOCK = 4, 256, 4096, 256
+#: Components of a subspace, codewords of a subspace, vectors in a block, queries in a pile, parts that the blocks a pile meets are dealt into.
+SUB, CODES, BLOCK, PILE, PARTS = 4, 256, 4096, 64, 8
 #: Share of a sample's true neighbours that the lists probed must hold, and candidates of a query that are reranked.
 HELD, RERANKED = 0.97, 400
 
@@ -109,21 +109,82 @@ def assigned(vectors: DataFrame, index: Index, width: int) -> DataFrame:
     return vectors.mapInArrow(run, "id long, list int, code binary")
 
 
+def _piles(waiting: dict[int, int], centroids: np.ndarray) -> dict[int, tuple[int, int]]:
+    """First pile and number of piles of the queries nearest to each list, from how many there are.
+
+    Lists are walked from each to its nearest one left, so queries of a pile ask for much the same lists. A list with more
+    than PILE queries has piles of its own; others fill a pile together.
+    """
+    left, out, pile, size = sorted(waiting), {}, 0, 0
+    at = left[0] if left else None
+    while left:
+        left.remove(at)
+        n = waiting[at]
+        if size and size + n > PILE:
+            pile, size = pile + 1, 0
+        out[at] = (pile, max(1, math.ceil(n / PILE)))
+        if n >= PILE:
+            pile, size = pile + out[at][1], 0
+        else:
+            size += n
+        if left:
+            at = left[int(_squares(centroids[[at]], centroids[left])[0].argmin())]
+    return out
+
+
+class Nearest:
+    """The nearest ``most`` candidates of each query of a pile over all blocks met, ties to the smaller id."""
+
+    def __init__(self, index: Index, asking: np.ndarray, vecs: np.ndarray, lists: list[np.ndarray], most: int):
+        self.index, self.asking, self.vecs, self.most = index, asking, vecs, most
+        self.by_list: dict[int, list[int]] = {}
+        for q, own in enumerate(lists):
+            for c in own.tolist():
+                self.by_list.setdefault(c, []).append(q)
+        self.ids = [np.zeros(0, dtype=np.int64) for _ in asking]
+        self.far = [np.zeros(0) for _ in asking]
+        self.tables: tuple[int, np.ndarray] | None = None
+
+    def meet(self, c: int, ids: np.ndarray, codes: np.ndarray) -> None:
+        asked = self.by_list.get(c, [])
+        if not asked:
+            return
+        if self.tables is None or self.tables[0] != c:
+            rest = (self.vecs[asked] - self.index.centroids[c]).reshape(len(asked), len(self.index.words), 1, SUB)
+            self.tables = c, ((self.index.words[None] - rest) ** 2).sum(axis=3)
+        for q, table in zip(asked, self.tables[1]):
+            d = np.zeros(len(ids))
+            for s in range(table.shape[0]):
+                d += table[s, codes[:, s]]
+            near = ids != self.asking[q]
+            if len(self.far[q]) == self.most:
+                near &= d <= self.far[q][-1]
+            if near.any():
+                both, far = np.concatenate((self.ids[q], ids[near])), np.concatenate((self.far[q], d[near]))
+                best = np.lexsort((both, far))[: self.most]
+                self.ids[q], self.far[q] = both[best], far[best]
+
+    def batch(self) -> pa.RecordBatch:
+        again = np.repeat(self.asking, [len(x) for x in self.ids])
+        return pa.RecordBatch.from_arrays([pa.array(again), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.far))], names=["query_id", "vec_id", "near"])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", reranked: int = RERANKED, held: float = HELD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest vectors found for each query, by Euclidean distance.
 
     ``queries`` are rows of the same columns. A vector whose id is the query's is no candidate. Nulls, zero vectors and vectors with null
-    or non-finite components take no part, nor do vectors whose length isn't the commonest. Of repeated ids the nearest
+    or non-finite components take no part, nor do vectors whose length isn't the commonest, as no distance is defined between lengths. Of repeated ids the nearest
     vector counts. Ties go to the smaller id. An empty table gives no rows. Other columns are ignored.
 
     Every vector is in the index: in the list of its centroid, coded by its residual. Lists are stored in blocks of about BLOCK
     vectors, so a list that holds a third of all is many blocks. A query probes as many lists, nearest first, as hold the share ``held`` of a sample's
-    true neighbours, and on until they have four times the reranked candidates. Queries that probe a list meet each of its blocks in blocks
-    of QUERY_BLOCK; there distance tables give approximate distances and the nearest ``reranked`` go on. A
-    query's candidates over all blocks are cut to ``reranked`` again and measured on the original vectors.
+    true neighbours, and on until they have four times the reranked candidates. Queries that are near each other form a pile of about
+    PILE, and a pile meets the blocks of all lists that it probes in PARTS streams. There, distance tables give approximate
+    distances and each query keeps its nearest ``reranked``, so rows are in proportion to the queries, whatever the lists
+    hold. A query's candidates of all streams are cut to ``reranked`` again and measured on the original vectors.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    bounded_batches(spark)
     base, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
     kind = "query_id long, rank int, vec_id long, score double"
     widths = base.groupBy(F.size("vec").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").first()
@@ -139,9 +200,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     least = probed_lists(sample, index, k, held)
     coded = staged(assigned(base, index, width), "ann-index")
     sizes = dict(coded.groupBy("list").count().collect())  # one row a list: MOST_LISTS at most
-    salts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, math.ceil(n / BLOCK))])
-    blocks = coded.withColumn("salt", F.pmod(F.xxhash64("id"), F.element_at(salts, F.col("list")))).groupBy("list", "salt").agg(F.collect_list(F.struct("id", "code")).alias("rows"))
-    blocks = blocks.select("list", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"))
     n_lists = len(index.centroids)
     rows = np.array([sizes.get(c, 0) for c in range(n_lists)])
 
@@ -154,39 +212,43 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             n = np.minimum(n_lists, np.maximum(enough, least))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([o[:m].tolist() for o, m in zip(order, n)], pa.list_(pa.int32()))], names=["id", "vec", "lists"])
 
-    near = asked.mapInArrow(probes, "id long, vec array<double>, lists array<int>").select("id", "vec", F.explode("lists").alias("list"))
-    waiting = dict(near.groupBy("list").count().collect())  # one row a list
+    near = staged(asked.mapInArrow(probes, "id long, vec array<double>, lists array<int>"), "ann-queries")
+    waiting = dict(near.groupBy(F.col("lists")[0].alias("list")).count().collect())  # one row a list
     if not waiting:
         return spark.createDataFrame([], kind)
-    piles = F.create_map(*[F.lit(x) for c, n in waiting.items() for x in (c, math.ceil(n / QUERY_BLOCK))])
-    near = near.withColumn("pile", F.pmod(F.xxhash64("id"), F.element_at(piles, F.col("list")))).groupBy("list", "pile").agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
-    near = near.select("list", F.col("rows.id").alias("asking"), F.flatten("rows.vec").alias("vecs"))
+    piles = _piles(waiting, index.centroids)
+    firsts, counts = (F.create_map(*[F.lit(x) for c, p in piles.items() for x in (c, p[i])]) for i in (0, 1))
+    first_list = F.col("lists")[0]
+    pile = (F.element_at(firsts, first_list) + F.pmod(F.xxhash64("id"), F.element_at(counts, first_list))).cast("int")
+    asking = near.withColumn("pile", pile).groupBy("pile").agg(F.collect_list(F.struct("id", "vec", "lists")).alias("asking"))
+    salts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, math.ceil(n / BLOCK))])
+    blocks = coded.withColumn("salt", F.pmod(F.xxhash64("id"), F.element_at(salts, F.col("list")))).groupBy("list", "salt").agg(F.collect_list(F.struct("id", "code")).alias("rows"))
+    wanted = asking.select("pile", F.explode(F.array_distinct(F.flatten("asking.lists"))).alias("list"))
+    met = wanted.join(blocks, "list").select("pile", F.pmod(F.xxhash64("list", "salt"), F.lit(PARTS)).cast("int").alias("part"), "list", "salt", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"))
+    heads = asking.select("pile", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(-1).alias("list"), F.lit(-1).cast("long").alias("salt"), "asking")
+    streams = heads.unionByName(met, allowMissingColumns=True).repartition("pile", "part").sortWithinPartitions("pile", "part", "list", "salt")
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subs = np.arange(len(index.words))[None, :]
+        held: Nearest | None = None
         for b in batches:
+            lists, heads, ids, codes = (b.column(n) for n in ("list", "asking", "ids", "codes"))
             for row in range(b.num_rows):
-                c, ids, codes, asking, vecs = (b.column(i)[row] for i in range(5))
-                ids, asking = ids.values.to_numpy(), asking.values.to_numpy()
-                codes = np.frombuffer(b"".join(codes.as_py()), dtype=np.uint8).reshape(len(ids), -1)
-                order = np.argsort(ids, kind="stable")
-                ids, codes = ids[order], codes[order]
-                rest = _padded(vecs.values.to_numpy().reshape(len(asking), width), index.dim) - index.centroids[c.as_py()]
-                found: list[list] = [[], [], []]
-                for q, r in zip(asking.tolist(), rest):
-                    to_words = ((index.words - r.reshape(-1, 1, SUB)) ** 2).sum(axis=2)
-                    d = to_words[subs, codes].sum(axis=1)
-                    d[ids == q] = np.inf
-                    best = np.argsort(d, kind="stable")[:reranked]
-                    best = best[np.isfinite(d[best])]
-                    found[0].append(np.full(len(best), q)), found[1].append(ids[best]), found[2].append(d[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["query_id", "vec_id", "near"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    met = blocks.join(near, "list").select("list", "ids", "codes", "asking", "vecs").mapInArrow(tables, "query_id long, vec_id long, near double")
-    # the nearest candidates of each of 8 shares first, so that no query's candidates are sorted in one task
-    part = met.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(8))).withColumn("r", F.row_number().over(W.partitionBy("query_id", "part").orderBy("near", "vec_id"))).where(F.col("r") <= reranked)
-    kept = part.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("near", "vec_id"))).where(F.col("r") <= reranked).select("query_id", "vec_id").distinct()
+                c = lists[row].as_py()
+                if c < 0:  # the head of a stream: its queries
+                    if held:
+                        yield held.batch()
+                    own = heads[row].values
+                    vecs = own.field("vec").flatten().to_numpy().reshape(-1, width)
+                    held = Nearest(index, own.field("id").to_numpy(), _padded(vecs, index.dim), [np.array(x) for x in own.field("lists").to_pylist()], reranked)
+                    continue
+                block = ids[row].values.to_numpy()
+                coding = np.frombuffer(b"".join(codes[row].as_py()), dtype=np.uint8).reshape(len(block), -1)
+                held.meet(c, block, coding)
+        if held:
+            yield held.batch()
+
+    found = streams.select("list", "asking", "ids", "codes").mapInArrow(tables, "query_id long, vec_id long, near double")
+    kept = found.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("near", "vec_id"))).where(F.col("r") <= reranked).select("query_id", "vec_id").distinct()
     right = base.select(F.col("id").alias("vec_id"), F.col("vec").alias("v"))
     left = asked.select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
     pairs = kept.join(right, "vec_id").join(left, "query_id")
