@@ -7,7 +7,6 @@ import hashlib
 import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -20,14 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import input_splits, shared_dir, bounded_batches, table
+from quarry.llm.common import bounded_batches, input_splits, shared_dir, table
 
 MAGIC = b"QTOK1"
-#: Documents whose id arrays train the dictionary, and bytes of each that count.
-SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8192, 65536
+#: Documents whose id arrays train the dictionary, bytes of a piece of them, pieces of a document that count, and bytes of the dictionary.
+SAMPLE_DOCS, PIECE_BYTES, PIECES, DICT_BYTES = 1000, 2048, 4, 65536
 #: A shard row is closed when its frames reach this size.
 SHARD_BYTES = 2 << 20
-SHARDS = "part int, seq int, n_docs int, n_tokens long, dict_sha256 string, width int, doc_ids array<long>, counts array<int>, offsets array<long>, data binary"
+SHARDS = "part int, seq int, n_docs int, n_tokens long, dict_sha256 string, width int, low_id long, high_id long, doc_ids array<long>, counts array<int>, offsets array<long>, data binary"
 
 
 #: Pieces of Latin-1 letters with ASCII signs behind: lower-casing is per letter, composition changes nothing,
@@ -41,18 +40,23 @@ class WordEncoder:
     Exact for tokenizers whose pre-tokenizer never lets a token cross white space and drops it, and
     whose normalizer works within a piece, as in ``word_bpe_49k.json``. Pieces not seen before go through the
     library together: plain ones as one text, told apart by the word-end mark of their last tokens, all
-    others one by one. Memory is bounded: long pieces aren't kept, and of two stores of
-    ``keep`` pieces the older one is dropped when the younger is full.
+    others one by one. Memory is bounded: long pieces aren't kept, and of two stores of ``room`` bytes the older
+    one is dropped when the younger is full. Ids are ``width`` bytes each: two, or four where the tokenizer has more than 65,536.
     """
 
-    def __init__(self, path: str, keep: int = 500_000, longest: int = 64):
+    #: Bytes of an entry besides its characters and ids, as Python objects.
+    ENTRY = 200
+
+    def __init__(self, path: str, room: int = 24 << 20, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         spec = json.loads(Path(path).read_text())
         self.whole = Tokenizer.from_file(path)
         steps = spec["pre_tokenizer"].get("pretokenizers", [])
-        self.plain, self.young, self.old, self.keep, self.longest = None, {}, {}, keep, longest
+        self.plain, self.young, self.old, self.held, self.room, self.longest = None, {}, {}, 0, room, longest
+        self.width = width_of(self.whole)
+        self.kind = f"<u{self.width}"
         self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
         if [s["type"] for s in steps] == ["Split", "ByteLevel"] and spec["model"].get("end_of_word_suffix"):
             self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}))
@@ -60,11 +64,14 @@ class WordEncoder:
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(mark)]] = True
 
     def _each(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 1024):
+            out += [np.array(e.ids, dtype=self.kind).tobytes() for e in self.whole.encode_batch_fast(pieces[at : at + 1024], add_special_tokens=False)]
+        return out
 
     def _together(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u2")
-        cut = (np.flatnonzero(self.ends[ids]) + 1) * 2
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
+        cut = (np.flatnonzero(self.ends[ids]) + 1) * self.width
         if len(cut) != len(words):
             return self._each(words)
         raw, cut = ids.tobytes(), cut.tolist()
@@ -72,7 +79,7 @@ class WordEncoder:
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """The ids of pieces not kept so far; those too long to keep are returned."""
-        kept, old, hard, plain = self.young, self.old, [], []
+        kept, old, hard, plain = {}, self.old, [], []
         for p in new:
             if p in old:
                 kept[p] = old[p]
@@ -87,10 +94,15 @@ class WordEncoder:
         long = {}
         for p, got in zip(hard, self._each(hard)):
             (kept if len(p) <= self.longest else long)[p] = got
+        self.young.update(kept)
+        self.held += sum(self.ENTRY + 2 * len(p) + len(got) for p, got in kept.items())
         return long
 
-    def batch(self, texts: list[str], step: int = 1 << 23) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 16-bit integers, a few megabytes of text at a time."""
+    def forget(self) -> None:
+        self.young, self.old, self.held = {}, {}, 0
+
+    def batch(self, texts: list[str], step: int = 1 << 20) -> list[bytes]:
+        """The ids of each text as little-endian unsigned integers of ``width`` bytes, a megabyte of text at a time."""
         out: list[list[bytes]] = []
         rows: list[tuple[int, list[str]]] = []
         size = 0
@@ -104,8 +116,8 @@ class WordEncoder:
             for i, pieces in rows:
                 out[i].append(b"".join(map(get, pieces)))
             rows.clear()
-            if len(self.young) > self.keep:
-                self.old, self.young = self.young, {}
+            if self.held > self.room:
+                self.old, self.young, self.held = self.young, {}, 0
 
         for i, text in enumerate(texts):
             out.append([])
@@ -127,6 +139,11 @@ class WordEncoder:
         return self.batch([text])[0]
 
 
+def width_of(tokenizer) -> int:
+    """Bytes that an id of the tokenizer needs: two or four."""
+    return 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -141,16 +158,28 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample: int = SAMP
     """A zstandard dictionary of at most DICT_BYTES, trained on the id arrays of ``sample`` documents.
 
     The sample is the ``sample`` rows whose keys hash lowest, so it doesn't depend on the input's order; a
-    threshold on the hash leaves some four times as many to sort.
-    Only these bounded arrays reach the driver. Empty bytes if there is too little to train on.
+    threshold on the hash leaves some four times as many to sort. Whole documents of the sample are encoded; of each, up to PIECES
+    pieces of PIECE_BYTES, evenly spread over it, train. Only these bounded pieces reach the driver. Empty bytes if there is too little to train on.
     """
-    width = 8 * SAMPLE_BYTES
     share = min(1.0, 4 * sample / max(1, docs.count()))
-    drawn = docs.select(F.xxhash64("k").alias("h"), F.substring("text", 1, width).alias("text")).where(F.col("h") <= min(2**63 - 1, int(share * 2**64) - 2**63))
-    rows = drawn.orderBy("h", "text").limit(sample).collect()
-    arrays = [(encoder(path)(r.text or "") + struct.pack("<H", end_id))[:SAMPLE_BYTES] for r in rows]
+    drawn = docs.select(F.xxhash64("k").alias("h"), "text").where(F.col("h") <= min(2**63 - 1, int(share * 2**64) - 2**63))
+    drawn = drawn.orderBy("h", "text").limit(sample).select("h", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(path)
+        step = PIECE_BYTES // code.width * code.width
+        for b in batches:
+            rows = []
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = code(text or "") + end_id.to_bytes(code.width, "little")
+                n = min(PIECES, -(-len(ids) // step))
+                room = (len(ids) - n * step) // max(1, n - 1) // code.width * code.width if n > 1 else 0
+                rows += [(h, k, ids[k * (step + max(0, room)) : k * (step + max(0, room)) + step]) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["h", "k", "ids"])
+
+    pieces = [bytes(r.ids) for r in drawn.mapInArrow(run, "h long, k int, ids binary").orderBy("h", "k", "ids").collect()]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, arrays).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -176,34 +205,37 @@ def write_shards(docs: DataFrame, order: Column, id_col: str, text_col: str, pat
     parts = max(input_splits(spark, docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of strings live here, none of them in cycles
         code, press = encoder(tokenizer), zstandard.ZstdCompressor(level=3, dict_data=_dictionary(raw), write_checksum=True)
-        part, seq, end = TaskContext.get().partitionId(), 0, struct.pack("<H", end_id)
+        part, seq, width, end = TaskContext.get().partitionId(), 0, code.width, end_id.to_bytes(code.width, "little")
         ids, counts, offsets, frames, size, total = [], [], [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
-            row = {"part": part, "seq": seq, "n_docs": len(ids), "n_tokens": total, "dict_sha256": digest, "width": 2, "doc_ids": ids, "counts": counts, "offsets": offsets, "data": b"".join(frames)}
+            known = [i for i in ids if i is not None]
+            row = {"part": part, "seq": seq, "n_docs": len(ids), "n_tokens": total, "dict_sha256": digest, "width": width, "low_id": min(known, default=None), "high_id": max(known, default=None), "doc_ids": ids, "counts": counts, "offsets": offsets, "data": b"".join(frames)}
             return pa.RecordBatch.from_pylist([row], schema=_schema())
 
-        for b in batches:
-            for i, array in zip(b.column("id").to_pylist(), code.batch(b.column("text").to_pylist())):
-                array += end
-                frame = press.compress(array)
-                ids.append(i), counts.append(len(array) // 2), offsets.append(size), frames.append(frame)
-                size, total = size + len(frame), total + len(array) // 2
-                if size >= SHARD_BYTES or len(ids) >= 1 << 16:
-                    yield shard()
-                    seq, ids, counts, offsets, frames, size, total = seq + 1, [], [], [], [], 0, 0
-        if ids:
-            yield shard()
-        gc.enable()
+        gc.disable()  # many strings live here, none of them in cycles
+        try:
+            for b in batches:
+                for i, array in zip(b.column("id").to_pylist(), code.batch(b.column("text").to_pylist())):
+                    array += end
+                    frame = press.compress(array)
+                    ids.append(i), counts.append(len(array) // width), offsets.append(size), frames.append(frame)
+                    size, total = size + len(frame), total + len(array) // width
+                    if size >= SHARD_BYTES or len(ids) >= 1 << 16:
+                        yield shard()
+                        seq, ids, counts, offsets, frames, size, total = seq + 1, [], [], [], [], 0, 0
+            if ids:
+                yield shard()
+        finally:
+            gc.enable()
 
     dealt = src.repartitionByRange(parts, "k").sortWithinPartitions("k", "id", "text")
     dealt.select("id", "text").mapInArrow(run, SHARDS).write.option("compression", "uncompressed").parquet(f"{path}/shards")
 
 
 def _schema() -> pa.Schema:
-    return pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("dict_sha256", pa.string()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("data", pa.binary())])
+    return pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("dict_sha256", pa.string()), ("width", pa.int32()), ("low_id", pa.int64()), ("high_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
 def load_dictionary(spark: SparkSession, path: str) -> tuple[bytes, str]:
@@ -212,16 +244,20 @@ def load_dictionary(spark: SparkSession, path: str) -> tuple[bytes, str]:
 
 
 def read_documents(spark: SparkSession, path: str, ids: list[int]) -> dict[int, np.ndarray]:
-    """The ids of a few documents: only the frames that the index names are taken and decompressed."""
+    """The ids of a few documents: shards by their least and greatest ids, which Parquet's statistics skip; of these, only the
+    frames that the index names are taken and decompressed."""
     raw, digest = load_dictionary(spark, path)
-    found = spark.read.parquet(f"{path}/shards").where(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in ids])))
-    one = found.select("dict_sha256", F.explode(F.arrays_zip("doc_ids", "offsets", F.slice("offsets", F.lit(2), F.size("offsets")).alias("ends"))).alias("z"), "data").where(F.col("z.doc_ids").isin(ids))
+    within = F.lit(False)
+    for i in ids:
+        within = within | ((F.col("low_id") <= i) & (F.col("high_id") >= i))
+    found = spark.read.parquet(f"{path}/shards").where(within).where(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in ids])))
+    one = found.select("dict_sha256", "width", F.explode(F.arrays_zip("doc_ids", "offsets", F.slice("offsets", F.lit(2), F.size("offsets")).alias("ends"))).alias("z"), "data").where(F.col("z.doc_ids").isin(ids))
     frame = F.expr("substring(data, int(z.offsets) + 1, int(coalesce(z.ends, length(data)) - z.offsets))")
     press, out = zstandard.ZstdDecompressor(dict_data=_dictionary(raw)), {}
-    for r in one.select("dict_sha256", F.col("z.doc_ids").alias("id"), frame.alias("frame")).collect():
+    for r in one.select("dict_sha256", "width", F.col("z.doc_ids").alias("id"), frame.alias("frame")).collect():
         if r.dict_sha256 != digest:
             raise ValueError("shard and dictionary differ")
-        out[r.id] = np.frombuffer(press.decompress(bytes(r.frame)), dtype="<u2")
+        out[r.id] = np.frombuffer(press.decompress(bytes(r.frame)), dtype=f"<u{r.width}")
     return out
 
 
@@ -245,7 +281,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError("shard and dictionary differ")
                 ends, crcs = [*row["offsets"][1:], len(row["data"])], []
                 for s, e in zip(row["offsets"], ends):
-                    crcs.append(zlib.crc32(np.frombuffer(press.decompress(row["data"][s:e]), dtype="<u2").astype("<u4").tobytes()))
+                    crcs.append(zlib.crc32(np.frombuffer(press.decompress(row["data"][s:e]), dtype=f"<u{row['width']}").astype("<u4").tobytes()))
                 n = len(crcs)
                 run_up = np.cumsum([0, *row["counts"][:-1]])
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(run_up, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(crcs, pa.int64())], names=["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"])
