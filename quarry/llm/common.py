@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, local runs) a
-    temporary folder is taken and registered.
+    ``spark.checkpoint.dir`` is read from the session; only where it is unset and the master is local (tests) a
+    temporary folder is taken and registered. On a cluster an unset folder is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quarry-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -39,18 +41,19 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def numbered_rows(df: DataFrame) -> DataFrame:
-    """``df`` with a long column row, another number for each row and the same at every read: its file's rank and its place there.
+    """(row, own): each row of ``df`` whole as the struct own, and a long, another number for each row and the same at every read: its file's rank and its place there.
 
-    What isn't read from files as it is, is written to the shared folder first.
+    What isn't read from files as it is, is written to the shared folder first. The names of the files are ranked, and joined
+    by whatever way Spark finds fit for their number.
     """
     try:
-        placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+        about = df.metadataColumn("_metadata")
+        placed = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("own"), about["file_path"].alias("path"), about["row_index"].alias("at"))
     except AnalysisException:
         return numbered_rows(staged(df, "rows"))
-    names = sorted(r[0] for r in placed.select("_path").distinct().collect())
-    ranks = df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "_name string, _rank long")
-    row = F.shiftleft("_rank", 40) + F.col("_index")
-    return placed.join(F.broadcast(ranks), F.col("_path") == F.col("_name")).select(*df.columns, row.alias("row"))
+    names = sorted(r[0] for r in placed.select("path").distinct().collect())
+    ranks = df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "name string, rank long")
+    return placed.join(ranks, F.col("path") == F.col("name")).select((F.shiftleft("rank", 40) + F.col("at")).alias("row"), "own")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -77,19 +80,20 @@ def input_splits(spark: SparkSession, df: DataFrame) -> int:
 
 
 def words_in_slices(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The ASCII-whitespace separated words of ``text``, some at a time, so memory stays bounded."""
+    """The ASCII-whitespace separated words of ``text``, some at a time, so memory stays bounded by the longest word."""
     if len(text) <= size:
         yield text.split()
         return
-    view, at, rest = text, 0, b""
-    while at < len(view):
-        piece = rest + view[at : at + size]
-        at += size
-        if at < len(view):
-            cut_at = max(piece.rfind(b" "), piece.rfind(b"\n"), piece.rfind(b"\t"))
-            rest, piece = (piece, b"") if cut_at < 0 else (piece[cut_at:], piece[:cut_at])
-        if piece:
-            yield piece.split()
+    rest: list[bytes] = []  # pieces of a word that isn't over
+    for at in range(0, len(text), size):
+        piece = text[at : at + size]
+        cut_at = max(piece.rfind(c) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if cut_at < 0:
+            rest.append(piece)
+            continue
+        yield b"".join([*rest, piece[:cut_at]]).split()
+        rest = [piece[cut_at:]]
+    yield b"".join(rest).split()
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

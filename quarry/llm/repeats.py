@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import input_splits, shared_dir, bounded_batches, staged, table
+from quarry.llm.common import bounded_batches, input_splits, shared_dir, staged, table
 
 #: Bytes of a repeat, of a sample's core, and positions of which one at least is sampled: LENGTH = CORE + REACH - 1.
 LENGTH, CORE, REACH = 200, 50, 151

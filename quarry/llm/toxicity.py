@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quarry.llm.common import cut, bounded_batches, table
+from quarry.llm.common import bounded_batches, cut, table
 
 #: Labelled documents that the classifier is fitted on at most: those whose ids hash lowest.
 TRAIN_DOCS = 20_000
