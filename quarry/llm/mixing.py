@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import staged, table
 
 #: Documents of a block, and rows in a bucket of the numbering at the average.
 BLOCK_DOCS, BUCKET_ROWS = 64, 512
@@ -34,7 +34,8 @@ def schedule(counts: DataFrame) -> DataFrame:
     points = cycles.select(F.explode(F.array(F.lit(0).cast("long"), "full", F.col("full") + 1)).alias("first")).distinct()
     spans = points.withColumn("last", F.lead("first").over(W.partitionBy(F.lit(0)).orderBy("first")) - 1).where("last is not null")
     part = F.when(F.col("first") < F.col("full"), F.col("k")).when(F.col("first") == F.col("full"), F.col("rest")).otherwise(0)
-    per = spans.join(F.broadcast(cycles), F.col("first") <= F.col("full")).select("first", "last", "key", part.alias("n")).where("n > 0")
+    # a span meets the sources that go on to its first cycle: one row for each, sources and spans being few
+    per = spans.join(cycles, F.col("first") <= F.col("full")).select("first", "last", "key", part.alias("n")).where("n > 0")
     row = per.groupBy("first", "last").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), "key", "n"))).alias("s"), F.sum("n").cast("int").alias("size"))
     ready = "filter(transform(s, (x, j) -> named_struct('due', cast(ceil((acc.done[j] + 1) * size / x.n) as int), 'j', j)), y -> acc.done[y.j] < s[y.j].n and floor(acc.done[y.j] * size / s[y.j].n) <= t)"
     step = f"transform(array(array_min({ready}).j), p -> named_struct('done', transform(acc.done, (c, j) -> if(j = p, c + 1, c)), 'slots', concat(acc.slots, array(p))))[0]"
@@ -46,40 +47,48 @@ def schedule(counts: DataFrame) -> DataFrame:
     return flat.select(F.col("x.key").alias("key"), "first", "last", "base", "size", slots.alias("slots"))
 
 
+def _hashable(docs: DataFrame) -> Column:
+    """A hash of a whole row; columns that Spark can't hash (maps, variants) go in as JSON."""
+    odd = [f.name for f in docs.schema if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()]
+    plain = [docs[f"`{c}`"] for c in docs.columns if c not in odd]
+    return F.xxhash64(*plain, *([F.to_json(F.struct(*[docs[f"`{c}`"] for c in odd]))] if odd else []), F.lit(0))
+
+
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """All rows of ``docs`` with mix_block (its number in its source), mix_slot (its place in the interleaving) and mix_rank (within the block).
 
     ``weights`` gives whole blocks a cycle for each source; sources that it leaves out, and all without it, are weighted by the square
     root of their rows. No row is dropped: when a source ends, the others keep their proportions. A null source is
-    a source of its own. Within a source, rows go by a hash of the id, and rows alike in every column are interchangeable.
-    An empty table gives an empty result. Columns of ``docs`` called mix_* are replaced.
+    a source of its own. Within a source, rows go by a hash of id and row, and rows alike in every column are interchangeable.
+    An empty table gives an empty result. Columns of ``docs`` called mix_block, mix_slot and mix_rank are replaced; all others are kept, whatever their names and types.
 
-    Rows are numbered within a source by buckets of the id's hash, so that no task gets a source whole: counts of (source,
-    bucket) give each bucket's first number. Only counts and the schedule, a few rows for each source, are broadcast.
+    Rows are numbered within a source by buckets of that hash, so that no task gets a source whole, nor all rows of a null or
+    repeated id: counts of (source, bucket) give each bucket's first number. The schedule has a row for each source and
+    each cycle span in which it has blocks, so at most the sources times the different ends of sources; it is written to the shared folder, so
+    Spark knows its size and broadcasts it only if that is small, and joins it by source otherwise.
     """
     docs = docs.drop("mix_block", "mix_slot", "mix_rank")
-    key: Column = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    h = F.xxhash64(F.col(id_col).cast("string"))
+    source, one = docs[f"`{source_col}`"], _hashable(docs)
+    key: Column = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
+    h = F.xxhash64(docs[f"`{id_col}`"].cast("string"))
     buckets = max(1, docs.count() // BUCKET_ROWS)
-    bucket = F.pmod(h, F.lit(buckets))
-    narrow = docs.select(key.alias("key"), bucket.alias("bucket")).groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    firsts = narrow.select(F.col("key").alias("o_key"), F.col("bucket").alias("o_bucket"), (F.sum("n").over(W.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("mix_first"))
+    bucket = F.pmod(F.xxhash64(h, one), F.lit(buckets))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("own"), key.alias("key"), h.alias("h"), one.alias("one"), bucket.alias("bucket"))
+    narrow = rows.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    firsts = narrow.select("key", "bucket", (F.sum("n").over(W.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("first_row"))
     totals = _tempered(narrow.groupBy("key").agg(F.sum("n").alias("n")))
     if weights:
         given = F.create_map(*[F.lit(x) for s, k in sorted(weights.items()) for x in ("s" + s, int(k))])
         totals = totals.withColumn("k", F.coalesce(F.element_at(given, F.col("key")), "k"))
-    plan = schedule(totals.select("key", "k", F.ceil(F.col("n") / block_docs).cast("long").alias("blocks")))
-    plan = plan.withColumnRenamed("key", "p_key")
-    per = totals.select(F.col("key").alias("k_key"), F.col("k").alias("mix_k"))
-    own = [F.col(c) for c in docs.columns]
-    order = W.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", F.xxhash64(*own))
-    num = docs.select(*own, key.alias("mix_key"), bucket.alias("mix_bucket"), h.alias("mix_hash")).withColumn("mix_row", F.row_number().over(order) - 1)
-    num = num.join(firsts, (F.col("mix_key") == F.col("o_key")) & (F.col("mix_bucket") == F.col("o_bucket")))
-    num = num.withColumn("mix_row", F.col("mix_row") + F.col("mix_first")).withColumn("mix_block", F.expr(f"cast(mix_row div {block_docs} as bigint)")).withColumn("mix_rank", F.expr(f"cast(mix_row % {block_docs} as int)"))
-    num = num.join(F.broadcast(per), F.col("mix_key") == F.col("k_key")).withColumn("mix_cycle", F.expr("cast(mix_block div mix_k as bigint)"))
-    num = num.join(F.broadcast(plan), (F.col("mix_key") == F.col("p_key")) & F.col("mix_cycle").between(F.col("first"), F.col("last")))
-    slot = F.expr("base + (mix_cycle - first) * size + slots[int(mix_block % mix_k)]")
-    return num.withColumn("mix_slot", slot).select(*own, "mix_block", "mix_slot", "mix_rank")
+    blocks = F.ceil(F.col("n") / block_docs).cast("long").alias("blocks")
+    counts = staged(totals.select("key", "k", blocks), "mix-counts")
+    plan = staged(schedule(counts).join(counts.select("key", "k"), "key"), "mix-plan")
+    order = W.partitionBy("key", "bucket").orderBy("h", "one")
+    numbered = rows.withColumn("at", F.row_number().over(order) - 1).join(firsts, ["key", "bucket"]).withColumn("at", F.col("at") + F.col("first_row"))
+    numbered = numbered.select("own", "key", F.expr(f"cast(at div {block_docs} as bigint)").alias("block"), F.expr(f"cast(at % {block_docs} as int)").alias("rank"))
+    placed = numbered.join(plan, "key").where("block div k between first and last")
+    slot = F.expr("base + (block div k - first) * size + slots[int(block % k)]")
+    return placed.select("own.*", F.col("block").alias("mix_block"), slot.alias("mix_slot"), F.col("rank").alias("mix_rank"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
