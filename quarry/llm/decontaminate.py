@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,27 +19,26 @@ SEED_TOKENS, COVERAGE = 5, 0.5
 #: Seeds that are sent to every task at most; with more, seeds are joined by a shuffle.
 BROADCAST_SEEDS = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = re.compile(r"\w+")
 _RESULT = "doc_id long, item_id long, item_tokens int, covered int, tiles int"
 
 
-class _Codes(dict):
-    """Token to 64-bit code; emptied when full."""
+class Codes(dict):
+    """Token to 64-bit code; emptied when full, so a task holds so many tokens at most."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[token] = code = xxhash.xxh64_intdigest(token.encode("utf-8", "replace"))
         return code
 
 
-_codes = _Codes()
-
-
-def tokens(text: str | None) -> np.ndarray:
+def tokens(text: str | None, codes: Codes | None = None) -> np.ndarray:
     """The codes of a text's words, lower-cased: runs of letters, digits and underscores."""
-    found = _WORD.findall((text or "").lower())
-    return np.fromiter(map(_codes.__getitem__, found), dtype=np.uint64, count=len(found))
+    codes = Codes() if codes is None else codes
+    text = (text or "").lower()
+    return np.fromiter((codes[m[0]] for m in _WORD.finditer(text)), dtype=np.uint64)
 
 
 def rolling(codes: np.ndarray, n: int) -> np.ndarray:
@@ -54,53 +52,91 @@ def rolling(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tile(doc: np.ndarray, item: np.ndarray, shortest: int = SEED_TOKENS) -> list[tuple[int, int, int]]:
+class _Side:
+    """One side of a tiling: Karp-Rabin hashes of any run, from sums over beginnings, and which tokens are still free."""
+
+    def __init__(self, codes: np.ndarray, free: np.ndarray):
+        down = np.full(len(codes) + 1, _INVERSE, dtype=np.uint64)
+        down[0] = 1
+        self.up = np.full(len(codes) + 1, _BASE, dtype=np.uint64)
+        self.up[0] = 1
+        self.up = np.multiply.accumulate(self.up)
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(codes * np.multiply.accumulate(down)[:-1], dtype=np.uint64)))
+        self.free = free
+
+    def starts(self, n: int) -> np.ndarray:
+        """Where runs of n free tokens start."""
+        taken = np.concatenate(([0], np.cumsum(~self.free)))
+        return np.flatnonzero(taken[n:] == taken[:-n]) if n < len(taken) else np.zeros(0, dtype=np.int64)
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.up[at]
+
+
+def tile(doc: np.ndarray, item: np.ndarray, shortest: int = SEED_TOKENS, seeds: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in item, start in doc, length) of tiles, longest first.
 
-    Runs of equal tokens of ``shortest`` or more are found from equal rolling hashes, checked token by token.
-    The longest run without a marked token is marked on both sides, ties to the earlier start in
-    the item and then in the document; runs that lose tokens to a mark go back in pieces. Each token is
-    used once on either side, so passages in another order still count and repeats don't.
+    The longest run of free tokens on both sides with equal Karp-Rabin hashes, checked token by token, is marked, ties to the earlier
+    start in the item and then in the document, and so on while one has ``shortest`` tokens. Each token is used once
+    on either side, so passages in another order still count and repeats don't. Lengths are searched by halving, as a run
+    of n holds runs of n - 1. Only the document's tokens under common seeds (``seeds``: its rolling hashes) are held; time is
+    in proportion to them and the tiles, memory to them, however repetitive the texts are.
     """
-    hd, hi = rolling(doc, shortest), rolling(item, shortest)
-    if not len(hd) or not len(hi):
+    seeds, known = rolling(doc, shortest) if seeds is None else seeds, np.unique(rolling(item, shortest))
+    if not len(seeds) or not len(known):
+        return []
+    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, seeds), len(known) - 1)] == seeds)
+    if not len(at):
         return []
-    at = np.flatnonzero(np.isin(hd, hi))
-    places = defaultdict(list)
-    for i, h in enumerate(hi.tolist()):
-        places[h].append(i)
-    hits = [(d - i, i) for d in at.tolist() for i in places[int(hd[d])] if (doc[d : d + shortest] == item[i : i + shortest]).all()]
-    hits.sort()
-    heap: list[tuple[int, int, int]] = []
-    start = None
-    for k, (diagonal, i) in enumerate(hits):
-        start = i if start is None else start
-        if k + 1 == len(hits) or hits[k + 1] != (diagonal, i + 1):
-            heap.append((start - i - shortest, start, start + diagonal))
-            start = None
-    heapq.heapify(heap)
-    used_i, used_d = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool)
-    tiles = []
-    while heap:
-        minus, i, d = heapq.heappop(heap)
-        n = -minus
-        taken = used_i[i : i + n] | used_d[d : d + n]
-        if not taken.any():
-            used_i[i : i + n] = used_d[d : d + n] = True
-            tiles.append((i, d, n))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate(([1], taken.astype(np.int8), [1]))))
-        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if e - s >= shortest:
-                heapq.heappush(heap, (s - e, i + s, d + s))
-    return tiles
+    under = np.zeros(len(doc) + 1, dtype=np.int64)
+    np.add.at(under, at, 1)
+    np.add.at(under, at + shortest, -1)
+    held = np.flatnonzero(np.cumsum(under[:-1]) > 0)
+    # a token that isn't held parts those that don't follow each other
+    gaps = np.flatnonzero(np.diff(held) > 1) + 1
+    place = np.insert(held, gaps, -1)
+    d = _Side(np.where(place >= 0, doc[place], 0).astype(np.uint64), place >= 0)
+    i = _Side(item, np.ones(len(item), dtype=bool))
+
+    def met(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, starts in the item, starts in the document) of common runs of n, the item's first starts only."""
+        ours, first = np.unique(i.hashes(own := i.starts(n), n), return_index=True)
+        theirs = d.hashes(at := d.starts(n), n)
+        if not len(ours) or not len(theirs):
+            return ours[:0], own[:0], at[:0]
+        spot = np.minimum(np.searchsorted(ours, theirs), len(ours) - 1)
+        same = ours[spot] == theirs
+        return theirs[same], own[first[spot[same]]], at[same]
+
+    tiles: list[tuple[int, int, int]] = []
+    most = len(item)
+    while True:
+        low, high, best = shortest, min(most, len(item)), None
+        n = high if tiles else (low + high + 1) // 2  # after a tile another one as long is likely
+        while low <= high:
+            found = met(n)
+            if len(found[0]):
+                low, best = n + 1, (n, found)
+            else:
+                high = n - 1
+            n = (low + high + 1) // 2
+        if best is None:
+            return tiles
+        most, (_, si, sd) = best
+        s, t = min(zip(si.tolist(), sd.tolist()))
+        if (item[s : s + most] == doc[place[t] : place[t] + most]).all():
+            tiles.append((s, int(place[t]), most))
+            i.free[s : s + most] = False
+        d.free[t : t + most] = False
 
 
 def _scored(doc_id: int | None, doc: np.ndarray, items: list[tuple[int, np.ndarray]], shortest: int) -> list[tuple]:
-    out = []
+    out, seeds = [], {}
     for item_id, item in items:
         n = min(shortest, len(item))
-        if tiles := tile(doc, item, n):
+        if n not in seeds:
+            seeds[n] = rolling(doc, n)
+        if tiles := tile(doc, item, n, seeds[n]):
             out.append((doc_id, item_id, len(item), sum(t[2] for t in tiles), len(tiles)))
     return out
 
@@ -142,10 +178,11 @@ def _by_broadcast(src: DataFrame, known: list[tuple[int, np.ndarray]], shortest:
         for n in lengths:
             sieve[n] = np.zeros(1 << 22, dtype=bool)
             sieve[n][np.fromiter(owners[n], dtype=np.uint64) >> np.uint64(42)] = True
+        codes = Codes()
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                doc, met = tokens(text), set()
+                doc, met = tokens(text, codes), set()
                 for n in lengths:
                     h = rolling(doc, n)
                     for x in np.unique(h[sieve[n][h >> np.uint64(42)]]).tolist():
@@ -158,23 +195,31 @@ def _by_broadcast(src: DataFrame, known: list[tuple[int, np.ndarray]], shortest:
 
 
 def _by_shuffle(src: DataFrame, bench: DataFrame, shortest: int) -> DataFrame:
-    def seeds(lengths: list[int]):
-        """A map that gives the distinct seeds of each text: of all ``lengths``, or of the one that an item has."""
+    def lengths_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({min(shortest, len(tokens(t))) for t in b.column(0).to_pylist()}), pa.int32())], names=["n"])
+
+    # one of shortest values at most
+    lengths = sorted(r.n for r in bench.select("text").mapInArrow(lengths_of, "n int").where("n > 0").distinct().collect())
+
+    def seeds(own: list[int]):
+        """A map that gives the distinct seeds of each text: of the lengths ``own``, or of the one that an item has."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes = Codes()
             for b in batches:
                 lists = []
                 for text in b.column(1).to_pylist():
-                    t = tokens(text)
-                    own = lengths or [max(1, min(shortest, len(t)))]
-                    lists.append(np.unique(np.concatenate([rolling(t, n) for n in own])).view(np.int64))
+                    t = tokens(text, codes)
+                    found = [rolling(t, n) for n in own or [max(1, min(shortest, len(t)))]]
+                    lists.append(np.unique(np.concatenate(found)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["id", "text", "seeds"])
 
         return run
 
     kind = "id long, text string, seeds array<long>"
     bench_seeds = bench.mapInArrow(seeds([]), kind).select(F.col("id").alias("item_id"), F.explode("seeds").alias("seed"))
-    doc_seeds = src.mapInArrow(seeds(list(range(1, shortest + 1))), kind).select(F.col("id").alias("doc_id"), F.xxhash64("text").alias("key"), F.explode("seeds").alias("seed"))
+    doc_seeds = src.mapInArrow(seeds(lengths or [shortest]), kind).select(F.col("id").alias("doc_id"), F.xxhash64("text").alias("key"), F.explode("seeds").alias("seed"))
     pairs = doc_seeds.join(bench_seeds, "seed").select(F.col("doc_id").alias("p_doc"), F.col("key").alias("p_key"), F.col("item_id").alias("p_item")).distinct()
     texts = src.select(F.col("doc_id").alias("t_doc"), "text", F.xxhash64("text").alias("t_key"))
     both = pairs.join(texts, F.col("p_doc").eqNullSafe(F.col("t_doc")) & (F.col("p_key") == F.col("t_key"))).select("p_doc", "text", "p_item")
