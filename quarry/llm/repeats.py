@@ -15,8 +15,8 @@ from quarry.llm.common import bounded_batches, input_splits, shared_dir, staged,
 
 #: Bytes of a repeat, of a sample's core, and positions of which one at least is sampled: LENGTH = CORE + REACH - 1.
 LENGTH, CORE, REACH = 200, 50, 151
-#: Bytes of a text handled at once.
-SLICE = 4 << 20
+#: Windows of a text handled at once.
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MOD = 1 << 64
 
@@ -86,28 +86,34 @@ def samples(t: np.ndarray) -> tuple[np.ndarray, ...]:
     return core[spot], span, spot, first, last
 
 
-def _slices(t: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Pieces that overlap by LENGTH - 1 bytes, so every window lies in one."""
-    step = SLICE - LENGTH + 1
-    for at in range(0, max(1, len(t) - LENGTH + 1), step):
-        yield at, t[at : at + SLICE]
+def _sliced(t: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """What ``samples`` gives for a whole text, ``step`` windows at a time, places counted from the text's beginning.
+
+    A sampled position belongs to the slice with its first window. Each slice sees one window before it and REACH behind it, so it
+    knows whether a position was chosen before, and up to its last window.
+    """
+    windows = len(t) - LENGTH + 1
+    for at in range(0, max(0, windows), step):
+        left = max(0, at - 1)
+        core, span, s, lo, hi = samples(t[left : min(windows, at + step + REACH) + LENGTH - 1])
+        own = (lo + left >= at) & (lo + left < at + step)
+        yield core[own], span[own], s[own] + left, lo[own] + left, hi[own] + left
 
 
 def _bytes(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=np.uint8) for x in pc.cast(column, pa.large_binary()).to_pylist()]
 
 
-def _anchors(texts: DataFrame) -> DataFrame:
-    """(core, span, tid, s, lo, hi) of all sampled positions."""
+def _anchors(texts: DataFrame, step: int) -> DataFrame:
+    """(core, span, tid, s, lo, hi) of all sampled positions, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for tid, t in zip(b.column(0).to_pylist(), _bytes(b.column(1))):
-                for at, piece in _slices(t):
-                    core, span, s, lo, hi = samples(piece)
+                for core, span, s, lo, hi in _sliced(t, step):
                     if len(s):
-                        for o, x in zip(out, (core.view(np.int64), span.view(np.int64), np.full(len(s), tid), (s + at).astype(np.int32), (lo + at).astype(np.int32), (hi + at).astype(np.int32))):
+                        for o, x in zip(out, (core.view(np.int64), span.view(np.int64), np.full(len(s), tid), s.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))):
                             o.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["core", "span", "tid", "s", "lo", "hi"])
@@ -194,11 +200,11 @@ def _adjacent(contexts: DataFrame, by: str) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_splits(spark, contexts))
     found = staged(contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _FOUND), "repeats-adjacent")
     # two rows of each partition at most
-    ends = found.where("edge").select("core", "tid", "s", "lo", "hi", "before", "after").coalesce(1).sortWithinPartitions(*order)
+    ends = found.where("edge").select("core", "tid", "s", "lo", "hi", "before", "after").repartition(1).sortWithinPartitions(*order)
     return found.select("tid", "s", "core", "lo", "hi", "l", "r", "pairs").unionByName(ends.mapInArrow(run, _FOUND).select("tid", "s", "core", "lo", "hi", "l", "r", "pairs"))
 
 
-def covers(texts: DataFrame) -> DataFrame:
+def covers(texts: DataFrame, step: int = SLICE) -> DataFrame:
     """(tid, start, stop): bytes under windows of LENGTH that occur elsewhere; ``texts`` has tid (unique) and text (binary).
 
     1. Sampled positions whose core occurs once are dropped. 2. Those whose whole span occurs twice or more are covered
@@ -207,15 +213,17 @@ def covers(texts: DataFrame) -> DataFrame:
     other has the same ``a`` bytes before and LENGTH - a from there on. 4. Windows that the longest agreements on either side
     allow but no neighbour shows are compared in full within their core.
     """
-    anchors = _anchors(texts)
-    again = anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    kept = staged(anchors.join(again, "core"), "repeats-anchors")
-    kinds = kept.groupBy("core", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "s")).alias("rep"))
-    told = staged(kept.join(kinds, ["core", "span"]).select("core", "tid", "s", "lo", "hi", (F.col("n") > 1).alias("twice"), ((F.col("rep.tid") == F.col("tid")) & (F.col("rep.s") == F.col("s"))).alias("rep")), "repeats-told")
-    by_span = told.where("twice").select("tid", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"))
-    # a core all of whose positions have one span needs no more
-    open_cores = told.where("not twice").select("core").distinct()
-    contexts = staged(_contexts(texts, told.where("rep").join(open_cores, "core", "left_semi")), "repeats-contexts")
+    anchors = _anchors(texts, step)
+    # counts are written before they are joined, so the joins stand alone and Spark can split a hot core or span
+    again = staged(anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "repeats-again")
+    kept = staged(anchors.join(again, "core", "left_semi"), "repeats-anchors")
+    kinds = staged(kept.groupBy("core", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "s", "lo", "hi")).alias("rep")), "repeats-kinds")
+    many = kinds.where("n > 1").select("core", "span")
+    by_span = kept.join(many, ["core", "span"], "left_semi").select("tid", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"))
+    # a core all of whose spans occur again needs no more; of the others, one position of each span goes on
+    open_cores = staged(kinds.where("n = 1").select("core").distinct(), "repeats-open")
+    reps = kinds.join(open_cores, "core", "left_semi").select("core", "rep.tid", "rep.s", "rep.lo", "rep.hi")
+    contexts = staged(_contexts(texts, reps), "repeats-contexts")
     both = _adjacent(contexts, "after").unionByName(_adjacent(contexts, "before"))
     one = both.groupBy("tid", "s").agg(F.first("core").alias("core"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.max("l").alias("l"), F.max("r").alias("r"), F.flatten(F.collect_list("pairs")).alias("pairs"))
     least, most = F.greatest(F.col("s") - F.col("hi"), F.lit(LENGTH) - F.col("r")), F.least(F.col("s") - F.col("lo"), F.col("l"))
@@ -234,12 +242,12 @@ def covers(texts: DataFrame) -> DataFrame:
 _DIGEST = "tid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step: int = SLICE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     A byte is removed if a string of LENGTH bytes over it also starts anywhere else, in any row or the same one; matches stay within
     a text. Null texts are empty; texts shorter than LENGTH keep all. Null and repeated ids keep their rows, and repeated rows
-    remove each other. Other columns are ignored; an empty table gives no rows.
+    remove each other. Texts are scanned ``step`` windows at a time. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -247,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     docs.select(F.monotonically_increasing_id().alias("tid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).write.option("compression", "zstd").parquet(path)
     texts = spark.read.schema("tid long, doc_id long, text binary").parquet(path)
-    lists = staged(covers(texts).groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "repeats-covers")
+    lists = staged(covers(texts, step).groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "repeats-covers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
