@@ -30,9 +30,9 @@ def _is_letter() -> np.ndarray:
 def grams(text: str | None, step: int = 1 << 20) -> Iterator[np.ndarray]:
     """Buckets of a text's trigrams that hold a letter; case is folded, all but letters are blanks. In slices."""
     known = _is_letter()
-    text = text or ""
-    for at in range(0, len(text), step):
-        codes = np.frombuffer(f" {text[at : at + step + 2].lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)
+    text = f" {(text or '').lower()} "
+    for at in range(0, len(text) - 2, step):  # a slice's last trigram ends two characters into the next
+        codes = np.frombuffer(text[at : at + step + 2].encode("utf-32-le", "replace"), dtype=np.uint32)
         letter = known[codes]
         if not letter.any():
             continue
@@ -68,13 +68,19 @@ def gram_counts(labelled: DataFrame) -> dict[str, np.ndarray]:
                 counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 if parts:
                     counts[lang] += np.bincount(np.concatenate(parts), minlength=BUCKETS)
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.tolist() for c in counts.values()], pa.list_(pa.int64()))], names=["lang", "counts"])
-
-    parts = labelled.select("text", "lang").mapInArrow(run, "lang string, counts array<long>")
-    sums = parts.select("lang", F.posexplode("counts").alias("gram", "n")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("c")).select("lang", F.col("c.n").alias("n")).orderBy("lang").collect()
-    return {r.lang: np.array(r.n, dtype=np.float64) for r in rows}
+        for lang, c in counts.items():
+            seen = np.flatnonzero(c)
+            if not len(seen):
+                seen = np.zeros(1, dtype=np.int64)  # a language of texts without letters is known too
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(c[seen], pa.int64())], names=["lang", "gram", "n"])
+
+    parts = labelled.select("text", "lang").mapInArrow(run, "lang string, gram int, n long")
+    sums = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = sums.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("c")).select("lang", F.col("c.gram").alias("gram"), F.col("c.n").alias("n")).collect()
+    out = {r.lang: np.zeros(BUCKETS) for r in rows}
+    for r in rows:
+        out[r.lang][r.gram] = r.n
+    return dict(sorted(out.items()))
 
 
 def bit_weights(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
