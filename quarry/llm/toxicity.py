@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quarry.llm.common import bounded_batches, cut, table
+from quarry.llm.common import bounded_batches, table
 
 #: Labelled documents that the classifier is fitted on at most: those whose ids hash lowest.
 TRAIN_DOCS = 20_000
 #: A word counts if, two standard errors below its log-odds, it is still this much likelier in toxic texts.
 LEAST_ODDS = 4.0
-#: Lengths of beginnings that are features, and features that are kept at most.
-STEMS, TELLING = (4, 5, 6, 7), 5000
+#: Lengths of beginnings that are features.
+STEMS = (4, 5, 6, 7)
 #: Symbols of the language model: 0 a word's edge, 1-26 a-z, 27 any other letter.
 SYMBOLS = 28
 #: What a sign can stand for in disguised words.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "§": "s"}
 #: Signs put between letters.
 FILLERS = frozenset(".-_*'`~,^:;/\\#&%=\"​‌‍­·•")
+#: Characters of a text counted at once, and of a disguised token after which its ways are looked through for what they share.
+SLICE, LOOK = 1 << 20, 1024
 #: Costs in nats: a stand-in, a filler or blank dropped, a repeated letter dropped.
 STAND_IN, DROP, REPEAT = 1.0, 0.5, 0.7
 
@@ -57,15 +59,16 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(SYMBOLS**3, dtype=np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                for at in range(0, len(text or ""), 1 << 20):
-                    s = np.pad(_TABLE[np.frombuffer(text[at : at + (1 << 20)].lower().encode("latin-1", "replace"), dtype=np.uint8)], 2)
+                text = f"  {(text or '').lower()}  "  # two blanks at either end of the whole text, none at a slice's
+                for at in range(0, len(text) - 2, SLICE):
+                    s = _TABLE[np.frombuffer(text[at : at + SLICE + 2].encode("latin-1", "replace"), dtype=np.uint8)]
                     counts += np.bincount(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS**3) if len(s) > 4096 else 0
                     if len(s) <= 4096:
                         np.add.at(counts, s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], 1)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["counts"])
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen])], names=["k", "n"])
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "counts array<long>")
-    rows = parts.select(F.posexplode("counts").alias("k", "n")).where("n > 0").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # SYMBOLS**3 at most
     out = np.zeros(SYMBOLS**3)
     for r in rows:
         out[r.k] = r.n
@@ -82,15 +85,40 @@ def language_model(counts: np.ndarray) -> list:
     return (-np.log(p)).tolist()
 
 
-def decode(text: str, model: list) -> str:
+def _shared(ends: list[tuple | None]) -> tuple[list[str], dict[int, tuple | None]]:
+    """What all ways begin with, and what is left of each, by the way's identity. Ways are chains (symbol, way before)."""
+    chains = {}
+    for end in ends:
+        chain, way = [], end
+        while way:
+            chain.append(way)
+            way = way[1]
+        chains[id(end)] = chain[::-1]
+    n = 0
+    for column in zip(*chains.values()):
+        if any(x is not column[0] for x in column):
+            break
+        n += 1
+    common = next(iter(chains.values()))[:n]
+    left = {}
+    for key, chain in chains.items():
+        way = None
+        for x in chain[n:]:
+            way = (x[0], way)
+        left[key] = way
+    return [x[0] for x in common], left
+
+
+def decode(text: Iterable[str], model: list, look: int = LOOK) -> str:
     """The likeliest text behind a disguise: Viterbi over the lattice of what each character can stand for.
 
     A letter stands for itself or, repeated, for nothing; signs and digits for the letters of LEET; fillers for nothing;
-    a blank for a word's end or nothing. States are the last two symbols.
+    a blank for a word's end or nothing. States are the last two symbols. The whole text is one lattice, whatever its length: every
+    ``look`` characters what all ways share is put away, so memory stays small and nothing is cut.
     """
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    last = ""
-    for c in text:
+    last, done = "", []
+    for at, c in enumerate(text, 1):
         options: list[tuple[str, float]] = []
         if c.isalpha():
             options.append((c, 0.0))
@@ -117,18 +145,22 @@ def decode(text: str, model: list) -> str:
                 if key not in new or total < new[key][0]:
                     new[key] = (total, path)
         states, last = new, c
+        if at % look == 0:
+            common, left = _shared([way for _, way in states.values()])
+            done += common
+            states = {k: (cost, left[id(way)]) for k, (cost, way) in states.items()}
     cost, path = min(((cost + model[a][b][0], back) for (a, b), (cost, back) in states.items()), key=lambda x: x[0])
     out = []
     while path:
         out.append(path[0])
         path = path[1]
-    return "".join(reversed(out))
+    return "".join([*done, *reversed(out)])
 
 
 class Restorer:
     """Restored words of a text, keeping those of tokens seen before; emptied when full."""
 
-    def __init__(self, model: list, keep: int = 300_000):
+    def __init__(self, model: list, keep: int = 50_000):
         self.model, self.seen, self.keep = model, {}, keep
 
     def token(self, raw: str) -> tuple[str, ...]:
@@ -145,16 +177,12 @@ class Restorer:
         parts: list[str] = []
         for x in shown:
             if x and not (_CLEAN.fullmatch(x) and not _TWICE.search(x)):
-                for at in range(0, len(x), 64):  # a lattice of a long run of signs is searched piece by piece
-                    parts += decode(x[at : at + 64], self.model).split()
+                parts += decode(x, self.model).split()
         return tuple(dict.fromkeys([*known, *parts]))
 
     def spaced(self, run: list[str]) -> list[str]:
         """Words of a run of single characters."""
-        out: list[str] = []
-        for at in range(0, len(run), 128):
-            out += decode(" ".join(run[at : at + 128]), self.model).split()
-        return out
+        return decode(" ".join(run), self.model).split()
 
     def words(self, text: str | None) -> Counter:
         """How often each restored word occurs, a text's distinct tokens being restored once."""
@@ -196,7 +224,7 @@ class Scorer:
 
     def row(self, text: str | None) -> list[float]:
         """[1, weight of the strongest word, weights of all words a hundred, their sum with diminishing returns, size]."""
-        if len(self.known) > 500_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         words, known, hits, n = self.restore.words(text), self.known, [], 0
         for w, k in words.items():
@@ -237,19 +265,16 @@ def telling(sample: DataFrame, model: list) -> dict[str, float]:
             seen = (Counter(), Counter())
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen[label].update({f for w in restore.words(text) for f in features(w)})
-                seen[label][""] += 1
             words = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[k][w] for w in words], pa.int64()) for k in (1, 0))], names=["word", "t", "c"])
 
-    df = cut(sample.select("text", "toxic").mapInArrow(run, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("word = '' or t >= 3"))
-    both = df.where("word = ''").first()
-    if both is None:
-        return {}
-    odds = F.log((F.col("t") + 0.5) / (both.t + 1)) - F.log((F.col("c") + 0.5) / (both.c + 1))
+    texts = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    df = sample.select("text", "toxic").mapInArrow(run, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (texts.get(1, 0) + 1)) - F.log((F.col("c") + 0.5) / (texts.get(0, 0) + 1))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    told = df.where("word <> ''").withColumn("w", odds).where(F.col("w") - 2 * error > math.log(LEAST_ODDS))
-    rows = told.orderBy(F.desc(F.col("w") / error), "word").limit(TELLING).collect()
-    return {r.word: r.w for r in rows}
+    told = df.withColumn("w", odds).where(F.col("w") - 2 * error > math.log(LEAST_ODDS))
+    # of a bounded sample of documents, those features that it shows to tell
+    return {r.word: r.w for r in told.select("word", "w").collect()}
 
 
 def fitted(sample: DataFrame, model: list) -> Scorer:
@@ -280,8 +305,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_docs
     """
     model = language_model(letter_counts(docs))
     known = labels.where("doc_id is not null and toxic is not null").where(learn).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")
+    # a threshold on the hash leaves some four times as many to sort
+    h, share = F.xxhash64("doc_id"), min(1.0, 4 * train_docs / max(1, labels.count()))
+    drawn = known.where(h <= min(2**63 - 1, int(share * 2**64) - 2**63)).orderBy(h, "doc_id").limit(train_docs)
+    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")  # train_docs rows at most
     scorer = fitted(sample, model)
     bounded_batches(docs.sparkSession)
 
