@@ -9,11 +9,21 @@ UNKNOWN = "未识别"
 PERMISSION = r"ohos\.permission\.[A-Za-z0-9_]+"
 #: Titles of usual page names.
 PAGE_TITLES = {
+    "index": "首页", "home": "首页", "main": "首页", "entry": "首页", "chat": "聊天", "message": "聊天", "messages": "聊天",
+    "contact": "通讯录", "contacts": "通讯录", "addressbook": "通讯录", "discover": "发现", "find": "发现", "moment": "朋友圈",
     "moments": "朋友圈", "timeline": "朋友圈", "mine": "我的", "me": "我", "my": "我的", "profile": "我的", "setting": "设置",
     "settings": "设置", "search": "搜索", "login": "登录", "register": "注册", "qrcode": "二维码", "qr": "二维码", "scan": "扫一扫",
 }
+#: Titles of what the system calls, by kind of file; {page} is the page's title.
+LIFECYCLE_TITLES = {
+    "onCreate": "应用创建时", "onDestroy": "应用退出时", "onForeground": "应用切到前台时", "onBackground": "应用切到后台时", "onWindowStageCreate": "主窗口创建时",
+    "onWindowStageDestroy": "主窗口销毁时", "onWindowStageActive": "主窗口激活时", "onWindowStageInactive": "主窗口失焦时", "onNewWant": "收到新请求时", "onConfigurationUpdate": "系统配置更新时",
+}
+COMPONENT_TITLES = {"build": "组件展示与交互", "aboutToAppear": "组件显示时", "aboutToDisappear": "组件隐藏前", "onBackPress": "组件返回处理"}
+PAGE_EVENT_TITLES = {"build": "展示与交互", "aboutToAppear": "进入时", "aboutToDisappear": "离开前", "onPageShow": "显示时", "onPageHide": "隐藏时", "onBackPress": "返回处理"}
 #: Scenario texts that say nothing.
 GENERIC_SCENARIOS = ("功能入口", "页面主布局容器", "页面展示与交互", "组件展示与交互", "页面展示时", "组件展示时", "相关功能处理过程中", "相关功能处理时", "相关操作时")
+#: Words of the framework that say nothing to a user.
 FRAMEWORK = r"ArkUI|UIAbility|WindowStage|生命周期函数|(?<![A-Za-z0-9_])(?:build|onDestroy|onForeground|onBackground)(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])onWindowStage"
 #: What a call does, by the first rule that fits: words of the API key, words of the description, action.
 ACTIONS = (
@@ -29,6 +39,12 @@ ACTIONS = (
 )
 
 
+#: Signs that a scenario's key lacks.
+GENERIC_SIGNS = r"""(?U)[“”"'`、，,。.!！？?；;：:\-_\s]+"""
+#: First words of an English description and what the call does.
+FIRST_WORDS = (("subscribe", "订阅系统事件"), ("unsubscribe", "取消订阅系统事件"), ("checks?", "检查系统状态"), ("loads?", "加载相关内容"), ("starts?", "启动相关功能"), ("stops?", "停止相关功能"))
+
+
 def trim_all(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -98,8 +114,8 @@ def is_english_like(c: Column) -> Column:
 def is_low_quality(c: Column) -> Column:
     """Empty, generic, framework words or English-like."""
     t = clean_text(c)
-    bare = F.regexp_replace(t, r"(?U)[\s。.!！]+", "")
-    return (t == "") | bare.isin(*GENERIC_SCENARIOS) | is_framework_scenario(t) | is_english_like(t)
+    bare = F.lower(F.regexp_replace(t, GENERIC_SIGNS, ""))
+    return (t == "") | (bare == "") | bare.isin(*GENERIC_SCENARIOS) | is_framework_scenario(t) | is_english_like(t)
 
 
 def action_of(api_key: Column, description: Column) -> Column:
@@ -113,7 +129,7 @@ def action_of(api_key: Column, description: Column) -> Column:
         for w in words:
             fits = fits | F.contains(desc, F.lit(w))
         out = F.when(fits, action) if out is None else out.when(fits, action)
-    for word, action in (("subscribe", "订阅系统事件"), ("unsubscribe", "取消订阅系统事件"), ("checks?", "检查系统状态"), ("loads?", "加载相关内容"), ("starts?", "启动相关功能"), ("stops?", "停止相关功能")):
+    for word, action in FIRST_WORDS:
         out = out.when(desc.rlike(rf"^{word}(?![a-z0-9_])"), action)
     return out.otherwise("")
 
@@ -139,7 +155,7 @@ def page_title(path: Column) -> Column:
     names = F.reverse(F.transform(after, lambda x: F.regexp_replace(x, "(Page|View|Screen|Ability)$", "")))
 
     def known(x: Column) -> Column:
-        words = F.split(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1 $2"), " ")
+        words = F.filter(F.split(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1 $2"), r"(?U)\s+"), lambda w: w != "")
         said = F.array_join(F.filter(F.transform(words, lambda w: F.try_element_at(table, F.lower(w))), lambda w: w.isNotNull()), "")
         return F.when(has_cjk(x), x).otherwise(F.coalesce(F.try_element_at(table, F.lower(x)), F.when(F.size(words) > 1, F.nullif(said, F.lit("")))))
 
@@ -150,6 +166,32 @@ def page_title(path: Column) -> Column:
     return F.when((base == "首页") | base.rlike("(页|页面|界面|主页)$"), base).otherwise(F.concat(base, F.lit("页面")))
 
 
+def path_file(path: Column) -> Column:
+    """A path with slashes in lower case, as the tests of its kind see it."""
+    return F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")))
+
+
+def page_description(description: Column, path: Column) -> Column:
+    """A page's own description if it is Chinese without Latin words, else its title by its path."""
+    d = trim_all(F.coalesce(description, F.lit("")))
+    return F.when(has_cjk(d) & ~d.rlike("[A-Za-z]{3,}"), d).otherwise(page_title(path))
+
+
+def source_title(function: Column, path: Column, page: Column) -> Column:
+    """Title of a feature that begins where the system calls: by the file's kind and the function's name; ``page`` is the page's description."""
+    fn, file = trim_all(F.coalesce(function, F.lit(""))), path_file(path)
+    known = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), fn)
+    other = lambda head, bare: F.when(fn != "", F.concat(head, fn)).otherwise(bare)
+    app = F.coalesce(known(LIFECYCLE_TITLES), other(F.lit("应用生命周期："), F.lit("应用生命周期")))
+    part = F.coalesce(known(COMPONENT_TITLES), other(F.lit("组件逻辑："), F.lit("组件逻辑")))
+    own = F.coalesce(F.concat(page, known(PAGE_EVENT_TITLES)), other(F.concat(page, F.lit("逻辑：")), F.concat(page, F.lit("逻辑"))))
+    return F.when(file.rlike("(?:^|/)entryability/"), app).when(file.rlike("(?:^|/)component/"), part).otherwise(own)
+
+
+def feature_title(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\s+", "")
+
+
 def category_of(component: Column) -> Column:
     return F.when(component == "Button", "Button").when(component.isin("TextInput", "TextArea", "Search"), "Input").when(component.isin("Text", "Image"), "Display").otherwise("Component")
 
@@ -175,7 +217,37 @@ def stable_id(prefix: str, *parts: Column, digits: int = 12) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(trim_all(c), "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    """Letters, digits, underscores and hyphens; all else as one underscore, none at the ends, no two in a row."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", ""), "_+", "_")
+
+
+def route_key(c: Column) -> Column:
+    """A route as files are known by: without a slash before and the file's ending behind."""
+    u = F.regexp_replace(trim_all(c), "^/", "")
+    return F.regexp_replace(F.regexp_replace(u, r"\.ets$", ""), r"\.ts$", "")
+
+
+def file_route(path: Column) -> Column:
+    """What a file is routed by: its path below the last ``/src/main/ets/``, without its ending."""
+    return F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^.*/src/main/ets/", ""), r"\.(ets|ts)$", "")
+
+
+def absolute_path(c: Column) -> Column:
+    """An absolute path with ``.`` and ``..`` resolved; null unless it begins with a slash."""
+    p = F.replace(trim_all(c), F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
+    return F.when(p.startswith("/"), F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
+def limit_number(c: Column) -> Column:
+    """A limit typed in: its whole part, 1 at least; null where it is no number."""
+    return F.greatest(F.lit(1).cast("long"), F.floor(trim_all(c).try_cast("double")).cast("long"))
+
+
+def cut_list(array: Column, most: int) -> Column:
+    """(items, cut): the first ``most`` items and whether there were more."""
+    return F.struct(F.slice(array, 1, most).alias("items"), (F.size(array) > most).alias("cut"))
 
 
 def clamp_text(c: Column, most: int) -> Column:

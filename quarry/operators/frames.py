@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators import graphs
+
 
 def lines_of(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, line_no, line): texts cut at line ends, numbered from 1."""
@@ -43,16 +45,27 @@ def navigation(lines: DataFrame, keys: list[str], rows: int = 10, line: str = "l
     return got.select(*keys, at, kind.alias("kind"), url.alias("url")).where("kind <> ''")
 
 
-def head_tail(lines: DataFrame, keys: list[str], most: int = 80, head: int = 56, tail: int = 20, at: str = "line_no") -> DataFrame:
-    """All lines of texts of ``most`` lines or fewer; else the first ``head`` and the last ``tail``. Adds n_lines."""
+def head_tail(lines: DataFrame, keys: list[str], most: int = 80, head: int = 56, tail: int = 20, at: str = "line_no", line: str | None = None) -> DataFrame:
+    """All lines of texts of ``most`` lines or fewer; else the first ``head`` and the last ``tail``. Adds n_lines.
+
+    With ``line``, a row that says how many lines were left out stands in between, at place head + 1.
+    """
     n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    return lines.withColumn("n_lines", n).where((F.col("n_lines") <= most) | (F.col(at) <= head) | (F.col(at) > F.col("n_lines") - tail))
+    told = lines.withColumn("n_lines", n)
+    kept = (F.col("n_lines") <= most) | (F.col(at) <= head) | (F.col(at) > F.col("n_lines") - tail)
+    if line is None:
+        return told.where(kept)
+    mark = (F.col("n_lines") > most) & (F.col(at) == head + 1)
+    left_out = F.concat(F.lit("...（中间省略 "), (F.col("n_lines") - head - tail).cast("string"), F.lit(" 行）..."))
+    return told.where(kept | mark).withColumn(line, F.when(mark, left_out).otherwise(F.col(line)))
 
 
 def numbered(df: DataFrame, *order: Column | str, prefix: str = "p", name: str = "seq", keys: list[str] | None = None) -> DataFrame:
-    """Adds ``name``: prefix and the row's number in ``order``, within ``keys`` if given."""
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn(name, F.concat(F.lit(prefix), F.row_number().over(w).cast("string")))
+    """Adds ``name``: prefix and the row's number in ``order``, within ``keys`` if given; without, by ranges of the order, so no task holds all rows."""
+    if keys:
+        return df.withColumn(name, F.concat(F.lit(prefix), F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("string")))
+    got = graphs.ranked(df.withColumn("_order", F.struct(*order)), "_order", "_number")
+    return got.withColumn(name, F.concat(F.lit(prefix), F.col("_number").cast("string"))).drop("_order", "_number")
 
 
 def chunked(df: DataFrame, keys: list[str], size: int, *order: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,11 +14,17 @@ CUT = 4
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder; one of our own only where none is named."""
+    """Written to the cluster's shared folder and read again: one job, no lineage. A folder of our own only where none is named and all runs here."""
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-graphs-"))
-    return df.checkpoint()
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quarry-graphs-")
+        sc.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def edges_of(df: DataFrame, src: str, dst: str, *kinds: str) -> DataFrame:
@@ -58,41 +65,62 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def trim(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) on some way from a source to a sink."""
+    """(nodes, edges) on some way from a source to a sink. Both directions are walked in one loop, told apart by a mark."""
     edges = _cut(edges)
-    ahead, back = _hops(edges, sources).select("node"), _hops(reversed_edges(edges), sinks).select("node")
-    nodes = ahead.intersect(back)
+    both = edges.select(F.struct(F.lit(True).alias("ahead"), F.col("src").alias("n")).alias("src"), F.struct(F.lit(True).alias("ahead"), F.col("dst").alias("n")).alias("dst"))
+    both = both.unionByName(edges.select(F.struct(F.lit(False).alias("ahead"), F.col("dst").alias("n")).alias("src"), F.struct(F.lit(False).alias("ahead"), F.col("src").alias("n")).alias("dst")))
+    starts = [df.where("node is not null").select(F.struct(F.lit(ahead).alias("ahead"), F.col("node").alias("n")).alias("node")) for df, ahead in ((sources, True), (sinks, False))]
+    seen = _hops(both, starts[0].unionByName(starts[1])).select("node.ahead", F.col("node.n").alias("node"))
+    nodes = seen.groupBy("node").agg(F.count(F.lit(1)).alias("ways")).where("ways = 2").select("node")
     kept = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
     return nodes, kept.select(*edges.columns)
 
 
+def ranked(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds ``name``: each row's number, from 1, in the order of ``key`` over the whole table, no task holding more than a range.
+
+    Ranges of the key are numbered within; the rows of all ranges before a range are added, a sum over one row a range.
+    """
+    parts = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    dealt = _cut(parts)
+    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = before.select("_part", (F.sum("_rows").over(W.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    within = dealt.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(key)))
+    return within.join(before, "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+
+
 def simple_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, longest: int = 60, most: int | None = None) -> DataFrame:
     """(path_id, path, source, sink): ways without repeated nodes from each source to the first sink on them.
 
     Edges off every way to a sink are trimmed first. Paths grow by one edge a round, all at once; finished ones leave.
     They are numbered depth first: sources by name, at each node the children nearest to a sink first, then by name.
-    ``most`` keeps the first ones. A source that is a sink is a path of one node.
+    ``most`` keeps the first ones: once so many are finished, open paths behind them in that order end, and what is finished behind them
+    goes. A source that is a sink is a path of one node.
     """
     edges = _cut(edges.select("src", "dst").distinct())
-    to_sink = _hops(reversed_edges(edges), sinks)
-    step = edges.join(to_sink.select(F.col("node").alias("dst"), "hops"), "dst")
+    to_sink = _cut(_hops(reversed_edges(edges), sinks))
+    step = _cut(edges.join(to_sink.select(F.col("node").alias("dst"), "hops"), "dst"))
     goals = sinks.select(F.col("node").alias("last")).distinct().withColumn("_goal", F.lit(True))
     begin = sources.select("node").distinct().join(to_sink, "node", "left_semi")
     open_ = begin.select(F.array("node").alias("path"), F.array(F.struct(F.lit(0).alias("h"), F.col("node").alias("n"))).alias("key"), F.col("node").alias("last"))
+    most = None if most is None else max(1, most)
     done, k = None, 1
     while True:
         told = _cut(open_.join(goals, "last", "left"))
         ended = told.where("_goal").select("path", "key")
         done = ended if done is None else done.unionByName(ended)
         going = told.where("_goal is null").drop("_goal")
+        if most is not None:
+            done = _cut(done.orderBy("key").limit(most))
+            full = done.agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("_worst")).where(F.col("n") >= most).select("_worst")
+            # one row at most: without it, nothing is dropped
+            going = going.join(full, F.lit(True), "left").where("_worst is null or key < _worst").drop("_worst")
         if k >= longest or going.isEmpty():
             break
         grown = going.join(step, going["last"] == step["src"]).where(~F.array_contains("path", F.col("dst")))
         open_ = grown.select(F.concat("path", F.array("dst")).alias("path"), F.concat("key", F.array(F.struct(F.col("hops").alias("h"), F.col("dst").alias("n")))).alias("key"), F.col("dst").alias("last"))
         k += 1
-    seq = F.row_number().over(W.orderBy("key"))
-    out = done.withColumn("_n", seq)
-    out = out if most is None else out.where(F.col("_n") <= max(1, most))
+    out = ranked(done, "key", "_n")
     return out.select(F.concat(F.lit("p"), F.col("_n").cast("string")).alias("path_id"), "path", F.col("path")[0].alias("source"), F.element_at("path", -1).alias("sink"))
 
 

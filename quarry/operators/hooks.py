@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame
 DELAYS = (0.3, 0.8)
 
 
-def describe_rows(df: DataFrame, describe: Callable[[pd.DataFrame], pd.Series], name: str, default: str, workers: int = 3, delays: tuple[float, ...] = DELAYS) -> DataFrame:
+class Stop(Exception):
+    """Raised by a caller's function to end the job at once, as when it isn't let in."""
+
+
+def describe_rows(df: DataFrame, describe: Callable[[pd.DataFrame], pd.Series], name: str, default: str, workers: int | None = None, delays: tuple[float, ...] = DELAYS) -> DataFrame:
     """Adds ``name``: what ``describe`` returns for a batch; ``default`` where that is empty or the last try fails.
 
-    At most ``workers`` batches run at a time, as many as there are partitions.
+    Any error but Stop is tried again after ``delays``. As many batches run at a time as there are task slots; for a service that bears
+    fewer, ``workers`` streams all rows through so many tasks, a batch at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -25,10 +30,12 @@ def describe_rows(df: DataFrame, describe: Callable[[pd.DataFrame], pd.Series],
                 try:
                     got = describe(b)
                     break
-                except (OSError, ValueError):
+                except Stop:
+                    raise
+                except Exception:  # noqa: BLE001: whatever the caller's function raises
                     if wait is not None:
                         time.sleep(wait)
             yield b.assign(**{name: got.where(got.notna() & (got != ""), default)})
 
     kind = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.repartition(workers).mapInPandas(run, f"{kind}, `{name}` string")
+    return (df.coalesce(workers) if workers else df).mapInPandas(run, f"{kind}, `{name}` string")

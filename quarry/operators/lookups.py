@@ -50,8 +50,19 @@ def priority_coalesce(df: DataFrame, on: list[str], tiers: list[DataFrame], valu
 
 
 def containing(points: DataFrame, blocks: DataFrame, on: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Every block that holds a point: inclusive at both ends, within equal keys."""
-    return points.join(blocks, on).where(F.col(at).between(F.col(start), F.col(end)))
+    """Every block that holds a point: inclusive at both ends, within equal keys.
+
+    An equi join on (keys, level, bin): a block goes by its length to a level whose bins are as wide or up to twice so, and lies in
+    two of them at most; a point looks into one bin of every level that has blocks. So candidates are in
+    proportion to the results, and a hot key is split by its bins.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col(end).cast("double") - F.col(start).cast("double"), F.lit(0.0)) + 1)).cast("int")
+    cell = lambda c, k: F.expr(f"shiftright(cast(floor(`{c}`) as bigint), {k})")
+    sized = blocks.where(F.col(start) <= F.col(end)).withColumn("_level", F.least(level, F.lit(62)))
+    levels = sorted(r[0] for r in sized.select("_level").distinct().collect())  # 63 at most
+    binned = sized.withColumn("_bin", F.explode(F.array_distinct(F.array(cell(start, "_level"), cell(end, "_level")))))
+    looks = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_bin", cell(at, "_level"))
+    return looks.join(binned, [*on, "_level", "_bin"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_level", "_bin")
 
 
 def innermost(points: DataFrame, blocks: DataFrame, on: list[str], point_id: list[str], at: str, start: str, end: str) -> DataFrame:
@@ -60,9 +71,23 @@ def innermost(points: DataFrame, blocks: DataFrame, on: list[str], point_id: lis
 
 
 def nearest_in_band(left: DataFrame, right: DataFrame, on: list[str], left_id: list[str], a: str, b: str, low: float, high: float, *ties: str) -> DataFrame:
-    """The right row nearest to each left row with b - a from low to high."""
-    met = left.join(right, on).where((F.col(b) - F.col(a)).between(low, high))
-    return pick_one(met, left_id, F.abs(F.col(b) - F.col(a)), F.col(b), *[F.col(t) for t in ties])
+    """The right row nearest to each left row with b - a from low to high, ties to the smaller b, then by ``ties``.
+
+    The nearest is the first at or after the band's near end, or the last at or before it; so two as-of looks find it, and no pairs
+    are formed. Left rows are told apart by ``left_id``.
+    """
+    names = [c for c in right.columns if c not in on]
+    one = right.where(F.col(b).isNotNull()).groupBy(*on, b).agg(F.min(F.struct(*[F.col(t).alias(f"_t{i}") for i, t in enumerate(ties)], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(names)])).alias("_row"))
+    near = min(max(0, low), high)
+    sides = []
+    for forward, wanted in ((True, near <= high and high >= 0), (False, low <= 0)):
+        if wanted:
+            from_ = near if forward else min(0, high)
+            spots = left.withColumn("_at", F.col(a) + from_)
+            found = asof(spots, one.select(*on, F.col(b).alias("_at"), F.struct(F.col(b).alias("b"), "_row").alias("_seen")), on, "_at", "_seen", forward=forward)
+            sides.append(found.where((F.col("_seen.b") - F.col(a)).between(low, high)).drop("_at"))
+    both = sides[0] if len(sides) == 1 else pick_one(sides[0].unionByName(sides[1]), left_id, F.abs(F.col("_seen.b") - F.col(a)), F.col("_seen.b"))
+    return both.select(*left.columns, *[F.col(f"_seen._row._v{i}").alias(c) for i, c in enumerate(names)])
 
 
 def ranges_to_next(df: DataFrame, on: list[str], start: str, last: int | None = None, name: str = "range_end") -> DataFrame:
@@ -71,28 +96,37 @@ def ranges_to_next(df: DataFrame, on: list[str], start: str, last: int | None =
     return df.withColumn(name, F.coalesce(nxt - 1, F.lit(last)))
 
 
-def asof(left: DataFrame, right: DataFrame, on: list[str], at: str, value: str, strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: list[str], at: str, value: str, strict: bool = False, forward: bool = False) -> DataFrame:
     """Each left row with ``value`` of the last right row at or before it (before it, if strict); null if there's none.
 
-    One union sorted once by key and place, so its cost doesn't depend on how many pairs there would be. Right
-    rows at the same place go by value, the largest last. ``value`` may be a struct.
+    With ``forward``, of the first right row at or after it. One union sorted once by key and place, so its cost doesn't depend on
+    how many pairs there would be. Right rows at the same place go by value, the largest nearest. ``value`` may be a struct.
     """
     kind = right.schema[value].dataType
-    l = left.select(*on, at, F.struct(*[F.col(c) for c in left.columns]).alias("_l"), F.lit(None).cast(kind).alias("_v"), F.lit(0 if strict else 1).alias("_k"))
-    r = right.select(*on, at, F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.col(value).alias("_v"), F.lit(1 if strict else 0).alias("_k"))
-    w = W.partitionBy(*on).orderBy(F.col(at), F.col("_k"), F.col("_v")).rowsBetween(W.unboundedPreceding, 0)
+    l = left.select(*on, F.col(at).alias("_at"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"), F.lit(None).cast(kind).alias("_v"), F.lit(0 if strict else 1).alias("_k"))
+    r = right.select(*on, F.col(at).alias("_at"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.col(value).alias("_v"), F.lit(1 if strict else 0).alias("_k"))
+    place = F.col("_at").desc() if forward else F.col("_at").asc()
+    w = W.partitionBy(*on).orderBy(place, F.col("_k"), F.col("_v")).rowsBetween(W.unboundedPreceding, 0)
     both = l.unionByName(r).withColumn("_seen", F.last("_v", ignorenulls=True).over(w))
     return both.where("_l is not null").select("_l.*", F.col("_seen").alias(value))
 
 
-def resolve_by_name(calls: DataFrame, defs: DataFrame, name: str, call_id: list[str], same: Column, distance: Column, *ties: str) -> DataFrame:
+def resolve_by_name(calls: DataFrame, defs: DataFrame, name: str, call_id: list[str], place: tuple[str, str], distance: Column, *ties: str, other: Column | None = None) -> DataFrame:
     """A definition for each call: the nearest of the same place, else the only one of that name anywhere.
 
-    ``same`` and ``distance`` are over columns of both sides. How many definitions a name has is counted before the join.
+    ``place`` names the column of the calls and that of the definitions which are equal at the same place; ``distance`` and ``other``, a condition
+    on candidates of the same place, are over columns of both sides. Calls meet definitions by name and place, and by name
+    only those names that have one definition: so a common name isn't paired out.
     """
-    counted = defs.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(name)))
-    met = calls.join(counted, name).withColumn("_same", same).where(F.col("_same") | (F.col("_n") == 1))
-    return pick_one(met, call_id, F.desc("_same"), distance, *[F.col(t) for t in ties]).drop("_same", "_n")
+    own, theirs = place
+    local = calls.join(defs.withColumn("_place", F.col(theirs)), [F.col(own) == F.col("_place"), calls[name] == defs[name]]).drop("_place").drop(defs[name])
+    if other is not None:
+        local = local.where(other)
+    near = pick_one(local, call_id, distance, *[F.col(t) for t in ties])
+    cells = [c for c in defs.columns if c != name]
+    only = defs.groupBy(name).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*cells)).alias("_d")).where("_n = 1").select(name, "_d.*")
+    rest = calls.join(near.select(*call_id), call_id, "left_anti").join(only, name)
+    return near.select(*rest.columns).unionByName(rest)
 
 
 def argmin(candidates: list[DataFrame], keys: list[str], *order: str) -> DataFrame:
@@ -104,17 +138,34 @@ def argmin(candidates: list[DataFrame], keys: list[str], *order: str) -> DataFra
     return pick_one(both, keys, F.col("strategy"), *[F.col(o) for o in order])
 
 
-def text_matches(lines: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
-    """Pairs of a text and a needle that occurs in it; empty needles match nothing.
+#: Characters of the seeds by which needles meet texts.
+GRAM = 4
+
+
+def text_matches(lines: DataFrame, needles: DataFrame, text: str, needle: str, gram: int = GRAM) -> DataFrame:
+    """Pairs of a text and a needle that occurs in it, whatever its signs and wherever it starts; empty needles match nothing.
 
-    Each needle goes by its first word of letters and digits to the texts with that word, so it's an equi join;
-    needles that begin within a word are compared in full only there too, as whole words.
+    A needle goes by its first ``gram`` characters (all, if it is shorter) to the texts that hold these anywhere: an equi join
+    on narrow rows (hash of the text, seed). Pairs that met are joined with the texts and compared in full.
     """
-    word = F.regexp_extract(F.col(needle), r"[A-Za-z0-9]+", 0)
-    n = needles.where(F.length(needle) > 0).withColumn("_word", word)
-    words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z0-9]+"), F.lit(0)))
-    t = lines.withColumn("_word", F.explode(words))
-    return t.join(n, "_word").where(F.contains(F.col(text), F.col(needle))).drop("_word")
+    n = needles.where(F.length(needle) > 0)
+    seed = F.substring(F.col(needle), 1, gram)
+    sizes = sorted(r[0] for r in n.select(F.length(seed)).distinct().collect())  # gram at most
+    key = F.xxhash64(F.col(text))
+    pieces = [F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in sizes] or [F.array().cast("array<string>")]
+    seeds = lines.select(key.alias("_key"), F.explode(F.array_distinct(F.concat(*pieces))).alias("_seed"))
+    asked = n.select(F.col(needle).alias("_needle"), seed.alias("_seed")).distinct()
+    met = seeds.join(asked, "_seed").select("_key", "_needle").distinct()
+    found = lines.withColumn("_key", key).join(met, "_key").where(F.contains(F.col(text), F.col("_needle")))
+    return found.join(n.withColumn("_needle", F.col(needle)), "_needle").drop("_key", "_needle")
+
+
+def named_in(lines: DataFrame, names: DataFrame, on: list[str], text: str, name: str) -> DataFrame:
+    """Pairs of a line and a name, within equal keys, that the line takes from ``this`` or calls: an equi join on the names in it."""
+    own = F.regexp_extract_all(F.col(text), F.lit(r"\bthis\s*\.\s*(\w+)"), F.lit(1))
+    called = F.regexp_extract_all(F.col(text), F.lit(r"\b(\w+)\s*\("), F.lit(1))
+    told = lines.withColumn(name, F.explode(F.array_distinct(F.concat(own, called))))
+    return told.join(names.select(*on, name).distinct(), [*on, name])
 
 
 def split_known(df: DataFrame, known: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import frames, graphs, lookups
+from quarry.plans import analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -182,11 +183,31 @@ def noise_titles(spark, sf_dir):
     return c.select("conv_id", "turn", T.is_noise(F.col("text")).alias("noise"))
 
 
-@query(r"""select page_id, case when regexp_matches(last, '^[0-9]+') then last || '页面' else coalesce(nullif(last, ''), '页面') || '页面' end as title from (select page_id, regexp_extract(regexp_replace(split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1), '/+$', ''), '([^/]*)$', 1) as last from pages) where regexp_matches(last, '^[0-9]+$')""")
+def sql_page_title(path: str) -> str:
+    """DuckDB SQL for a page's title by its path, step by step as lists; ``path`` is a query with page_id and path."""
+    known = "case lower({x}) " + " ".join(f"when '{k}' then '{v}'" for k, v in T.PAGE_TITLES.items()) + " end"
+    words = "list_filter(string_split(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), ' '), lambda w: w <> '')"
+    named = f"case when regexp_matches(x, '[一-鿿]') then x else coalesce({known.format(x='x')}, case when len({words.format(x='x')}) > 1 then nullif(list_aggregate(list_filter(list_transform({words.format(x='x')}, lambda w: {known.format(x='w')}), lambda y: y is not null), 'string_agg', ''), '') end) end"
+    short = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({x}, '“”\"’''', ''), '[（(]\\s*', '（', 'g'), '\\s*[）)]', '）', 'g'), '\\s+', '', 'g'), '^[：:，,。.!！？?]+|[：:，,。.!！？?]+$', '', 'g')"
+    return f"""with p as ({path}), s as (select page_id, list_transform(list_filter(string_split(coalesce(path, ''), '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '\\.(ets|ts|tsx|js|jsx)$', '')) as bare from p),
+    a as (select page_id, bare, list_position(list_reverse(list_transform(bare, lambda x: lower(x))), 'pages') as spot from s),
+    n as (select page_id, list_reverse(list_transform(case when spot > 0 then bare[len(bare) - spot + 2 :] else bare end, lambda x: regexp_replace(x, '(Page|View|Screen|Ability)$', ''))) as names from a),
+    f as (select page_id, names, list_filter(list_transform(names[1:2], lambda x: {named}), lambda y: y is not null) as first, list_filter(list_transform(names, lambda x: {known.format(x="x")}), lambda y: y is not null) as rest from n),
+    b as (select page_id, coalesce(nullif({short.format(x="coalesce(first[1], rest[1], nullif(names[1], ''), '页面')")}, ''), '页面') as base from f)
+    select page_id, case when base = '首页' or regexp_matches(base, '(页|页面|界面|主页)$') then base else base || '页面' end as title from b"""
+
+
+_URL_PATH = "select page_id, case when page_id % 3 = 0 then '/ets/pages/' || split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) || case page_id % 4 when 0 then '/ChatMessagePage.ets' when 1 then '/Index.ets' when 2 then '/my/SettingView.ts' else '/首页.ets' end else split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) end as path from pages"
+
+
+@query(sql_page_title(_URL_PATH))
 def title_from_path(spark, sf_dir):
     p = tab(spark, sf_dir, "pages", "page_id", "url")
-    path = F.regexp_replace(F.split_part(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), "/+$", "")
-    return p.select("page_id", path.alias("path")).where(F.col("path").rlike("(^|/)[0-9]+$")).select("page_id", T.page_title(F.col("path")).alias("title"))
+    part = F.split_part(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
+    k = F.col("page_id") % 4
+    ending = F.when(k == 0, "/ChatMessagePage.ets").when(k == 1, "/Index.ets").when(k == 2, "/my/SettingView.ts").otherwise("/首页.ets")
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/ets/pages/"), part, ending)).otherwise(part)
+    return p.select("page_id", T.page_title(path).alias("title"))
 
 
 @query("select page_id, 'page:' || left(sha1(page_id::varchar || '|' || url), 12) as id from pages where url is not null")
@@ -202,10 +223,42 @@ def json_lenient(spark, sf_dir):
     return e.select("event_id", F.try_variant_get(T.lenient_json(noisy), "$.k", "long").alias("k"))
 
 
-@query("select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), '^ | $', '', 'g') as text from documents where text is null or not regexp_matches(text, '[\\x0b\\x1c-\\x1f\\x85\\xa0]')".replace("\\\\", "\\"))
+#: White space as ``clean_text`` knows it, spelt out for DuckDB's expressions, whose \\s is ASCII only.
+_BLANK = r"[\x09-\x0d\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(f"select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{_BLANK}', ' ', 'g'), '^ | $', '', 'g') as text from documents")
 def clean_texts(spark, sf_dir):
-    d = tab(spark, sf_dir, "documents", "doc_id", "text").where(F.col("text").isNull() | ~F.col("text").rlike(r"[\x0b\x1c-\x1f\x{85}\x{a0}]"))
-    return d.select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    return tab(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+
+
+_LOW = r"t = '' or bare = '' or bare in ({generic}) or regexp_matches(t, 'ArkUI|UIAbility|WindowStage|生命周期函数|\b(build|onDestroy|onForeground|onBackground)\b|\bonWindowStage') or (not regexp_matches(t, '[一-鿿]') and regexp_matches(t, '[A-Za-z]')) or (len(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9-]*')) >= 4 and len(regexp_extract_all(t, '[一-鿿]')) <= 2)".replace("{generic}", ", ".join(f"'{g}'" for g in T.GENERIC_SCENARIOS))
+_SAID = "case page_id % 6 when 0 then '功能，入口；' when 1 then '查询' || page_id || '的天气时' when 2 then url when 3 then 'build 页面 ' || page_id when 4 then ' 相关 操作-时。' else left(html, 60) end"
+
+
+@query(f"select page_id, {_LOW} as low from (select page_id, t, lower(regexp_replace(t, '[“”\"''`、，,。.!！？?；;：:\\-_\\x09-\\x0d\\x1c-\\x1f \\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', '', 'g')) as bare from (select page_id, regexp_replace(regexp_replace(coalesce({_SAID}, ''), '{_BLANK}', ' ', 'g'), '^ | $', '', 'g') as t from pages))")
+def low_quality_texts(spark, sf_dir):
+    p = tab(spark, sf_dir, "pages", "page_id", "url", "html")
+    k = F.col("page_id") % 6
+    said = F.when(k == 0, "功能，入口；").when(k == 1, F.concat(F.lit("查询"), F.col("page_id").cast("string"), F.lit("的天气时"))).when(k == 2, F.col("url")).when(k == 3, F.concat(F.lit("build 页面 "), F.col("page_id").cast("string"))).when(k == 4, " 相关 操作-时。").otherwise(F.left("html", F.lit(60)))
+    return p.select("page_id", T.is_low_quality(said).alias("low"))
+
+
+@query("select page_id, case when page_id % 3 = 0 then case fn when 'onCreate' then '应用创建时' when '' then '应用生命周期' else '应用生命周期：' || fn end when page_id % 3 = 1 then case fn when 'build' then '组件展示与交互' when '' then '组件逻辑' else '组件逻辑：' || fn end else case fn when 'build' then '登录页面展示与交互' when '' then '登录页面逻辑' else '登录页面逻辑：' || fn end end as title from (select page_id, case page_id % 5 when 0 then 'build' when 1 then 'onCreate' when 2 then '' when 3 then 'go' || page_id else 'x' end as fn from pages)")
+def source_titles(spark, sf_dir):
+    k = F.col("page_id") % 5
+    fn = F.when(k == 0, "build").when(k == 1, "onCreate").when(k == 2, "").when(k == 3, F.concat(F.lit("go"), F.col("page_id").cast("string"))).otherwise("x")
+    path = F.when(F.col("page_id") % 3 == 0, "a/EntryAbility/E.ets").when(F.col("page_id") % 3 == 1, "a\\component\\C.ets").otherwise("ets/pages/LoginPage.ets")
+    page = T.page_description(F.lit("Login"), F.lit("ets/pages/LoginPage.ets"))
+    return tab(spark, sf_dir, "pages", "page_id").select("page_id", T.source_title(fn, path, page).alias("title"))
+
+
+@query("select page_id, regexp_replace(regexp_replace(ltrim(r, '/'), '\\.ets$', ''), '\\.ts$', '') as route, '/' || r as absolute, greatest(1, floor(try_cast(x as double)))::bigint as most from (select page_id, 'p' || page_id || '/q' || case when page_id % 2 = 0 then '.ets' else '.ts' end as r, case when page_id % 3 = 0 then 'none' else (page_id - 5)::varchar || '.7' end as x from pages)")
+def path_helpers(spark, sf_dir):
+    p = tab(spark, sf_dir, "pages", "page_id")
+    r = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("/q"), F.when(F.col("page_id") % 2 == 0, ".ets").otherwise(".ts"))
+    typed = F.when(F.col("page_id") % 3 == 0, "none").otherwise(F.concat((F.col("page_id") - 5).cast("string"), F.lit(".7")))
+    return p.select("page_id", T.route_key(F.concat(F.lit(" /"), r)).alias("route"), T.absolute_path(F.concat(F.lit("/x/../y/.././"), r)).alias("absolute"), T.limit_number(typed).alias("most"))
 
 
 @query()
@@ -297,13 +350,25 @@ def band_nearest(spark, sf_dir):
 @query("with e as (select user_id, epoch_us(ts) as t from events where event_type = 'error'), p as (select user_id, t as start, coalesce(lead(t) over (partition by user_id order by t) - 1, 9000000000000000000) as stop from e) select v.event_id, p.start::bigint as page_start from events v join p on v.user_id = p.user_id and epoch_us(v.ts) between p.start and p.stop")
 def page_range_lead(spark, sf_dir):
     e = tab(spark, sf_dir, "events", "user_id", "event_id", "event_type", micros().alias("t"))
-    pages = error_pages(e)
-    return lookups.containing(e, pages, ["user_id"], "t", "start", "stop").select("event_id", F.col("start").alias("page_start"))
+    starts = e.where("event_type = 'error'").select("user_id", "t", F.col("t").alias("page_start"))
+    # ranges that end where the next begins hold what comes at or after their start: an as-of look
+    return lookups.asof(e, starts, ["user_id"], "t", "page_start").where("page_start is not null").select("event_id", "page_start")
 
 
-def error_pages(e: DataFrame) -> DataFrame:
-    starts = e.where("event_type = 'error'").select("user_id", F.col("t").alias("start"))
-    return lookups.ranges_to_next(starts, ["user_id"], "start", 9_000_000_000_000_000_000, "stop")
+@query("select doc_id, spot, start, stop from (select doc_id, (doc_id * 37) % 1000 as spot from documents where doc_id is not null) join (select conv_id, (conv_id * 53) % 900 as start, (conv_id * 53) % 900 + (conv_id % 4) * 40 + conv_id % 3 as stop, conv_id % 7 as f from (select distinct conv_id from conversations)) on doc_id % 7 = f and spot between start and stop")
+def range_join_files(spark, sf_dir):
+    d = tab(spark, sf_dir, "documents", "doc_id", (F.col("doc_id") % 7).alias("f"), (F.col("doc_id") * 37 % 1000).alias("spot")).where("doc_id is not null")
+    c = tab(spark, sf_dir, "conversations", "conv_id").distinct()
+    blocks = c.select((F.col("conv_id") % 7).alias("f"), (F.col("conv_id") * 53 % 900).alias("start"), (F.col("conv_id") * 53 % 900 + F.col("conv_id") % 4 * 40 + F.col("conv_id") % 3).alias("stop"))
+    return lookups.containing(d, blocks, ["f"], "spot", "start", "stop").select("doc_id", "spot", "start", "stop")
+
+
+@query("select a.event_id, b.event_id as near_id from events a join events b on a.user_id = b.user_id and b.event_type = 'view' and epoch_us(b.ts) - epoch_us(a.ts) between -40000000000 and 90000000000 where a.event_type = 'purchase' qualify row_number() over (partition by a.event_id order by abs(epoch_us(b.ts) - epoch_us(a.ts)), epoch_us(b.ts), b.event_id) = 1")
+def band_nearest_both_sides(spark, sf_dir):
+    e = tab(spark, sf_dir, "events", "event_id", "user_id", "event_type", micros().alias("t"))
+    a = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("t").alias("a"))
+    b = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("near_id"), F.col("t").alias("b"))
+    return lookups.nearest_in_band(a, b, ["user_id"], ["event_id"], "a", "b", -40_000_000_000, 90_000_000_000, "near_id").select("event_id", "near_id")
 
 
 @query("select a.event_id, b.event_id as seen_id, least((epoch(a.ts) - epoch(b.ts))::bigint, 999999) as score from (select * from events where event_type = 'purchase') a asof join (select * from events where event_type in ('click', 'view')) b on a.user_id = b.user_id and a.ts >= b.ts where epoch(a.ts) - epoch(b.ts) <= 259200")
@@ -315,6 +380,18 @@ def asof_backward_score(spark, sf_dir):
     return got.select("event_id", F.col("seen.event_id").alias("seen_id"), F.least(F.round(F.col("t") / 1e6 - F.col("seen.t") / 1e6).cast("long"), F.lit(999999).cast("long")).alias("score"))
 
 
+_PENALTY = "case event_type when 'click' then 0 when 'view' then 2 when 'error' then 4 else 8 end"
+
+
+@query(f"with e as (select user_id, epoch_us(ts) // 3600000000 as line, event_type, {_PENALTY} as penalty from events), p as (select distinct user_id, line from e where event_type = 'purchase'), u as (select user_id, line, min(penalty) as penalty from e where event_type <> 'purchase' group by user_id, line) select p.user_id, p.line::bigint as line, (p.line - u.line + u.penalty)::bigint as score from p asof join u on p.user_id = u.user_id and p.line >= u.line where p.line - u.line <= 80")
+def asof_category_penalty(spark, sf_dir):
+    e = tab(spark, sf_dir, "events", "user_id", "event_type", micros().alias("t")).withColumn("line", F.expr("t div 3600000000")).withColumn("path", F.col("user_id").cast("string"))
+    kind = F.when(F.col("event_type") == "click", "Button").when(F.col("event_type") == "view", "Input").when(F.col("event_type") == "error", "Component").otherwise("Other")
+    elements = e.where("event_type <> 'purchase'").select("path", "line", F.col("event_type").alias("component"), kind.alias("category"))
+    got = analysis.nearest_element(e.where("event_type = 'purchase'").select("path", "line"), elements)
+    return got.select(F.col("path").cast(e.schema["user_id"].dataType).alias("user_id"), "line", big("score").alias("score"))
+
+
 @query("select a.event_id, b.event_id as seen_id from (select * from events where event_type = 'purchase') a asof join (select * from events) b on a.user_id = b.user_id and a.ts > b.ts")
 def asof_strict(spark, sf_dir):
     e = tab(spark, sf_dir, "events", "event_id", "user_id", "event_type", micros().alias("t"))
@@ -328,7 +405,7 @@ def nearest_name_resolution(spark, sf_dir):
     p = tab(spark, sf_dir, "part", "p_name", "p_partkey", "p_brand", "p_size")
     calls = p.select("p_name", F.col("p_partkey").alias("call_id"), F.col("p_brand").alias("a_brand"), F.col("p_size").alias("a_size"))
     defs = p.select("p_name", F.col("p_partkey").alias("def_id"), "p_brand", "p_size")
-    met = lookups.resolve_by_name(calls, defs, "p_name", ["call_id"], (F.col("a_brand") == F.col("p_brand")) & (F.col("call_id") != F.col("def_id")), F.abs(F.col("a_size") - F.col("p_size")), "def_id")
+    met = lookups.resolve_by_name(calls, defs, "p_name", ["call_id"], ("a_brand", "p_brand"), F.abs(F.col("a_size") - F.col("p_size")), "def_id", other=F.col("call_id") != F.col("def_id"))
     return met.where("call_id <> def_id").select("call_id", "def_id")
 
 
@@ -340,13 +417,28 @@ def cascade_argmin(spark, sf_dir):
     return got.select("o_custkey", "o_orderkey", big("strategy").alias("strategy"))
 
 
-@query("select doc_id, item_id, count(*)::bigint as n from documents join (select item_id, left(text, 24) as needle from benchmark) on contains(text, needle) group by doc_id, item_id")
+_NEEDLES = "(select item_id, case item_id % 4 when 0 then left(text, 24) when 1 then substring(text, 3, 21) when 2 then substring(text, 6, 3) else substring(text, 9, 12) end as needle from benchmark)"
+
+
+@query(f"select doc_id, item_id, count(*)::bigint as n from documents join {_NEEDLES} on needle <> '' and contains(text, needle) group by doc_id, item_id")
 def text_theta_join(spark, sf_dir):
     d = tab(spark, sf_dir, "documents", "doc_id", "text")
-    b = tab(spark, sf_dir, "benchmark", "item_id", F.left("text", F.lit(24)).alias("needle"))
+    k = F.col("item_id") % 4
+    needle = F.when(k == 0, F.left("text", F.lit(24))).when(k == 1, F.substring("text", 3, 21)).when(k == 2, F.substring("text", 6, 3)).otherwise(F.substring("text", 9, 12))
+    b = tab(spark, sf_dir, "benchmark", "item_id", needle.alias("needle"))
     return lookups.text_matches(d, b, "text", "needle").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_HANDLERS = "(select 'href' as name union all select 'div' union all select 'class' union all select 'nav')"
+
+
+@query(rf"select page_id, name, count(*)::bigint as n from (select page_id, replace(replace(html, '<', 'this . '), '=', ' (') as line from pages where page_id is not null) join {_HANDLERS} on regexp_matches(line, '\bthis\s*\.\s*' || name || '\b') or regexp_matches(line, '\b' || name || '\s*\(') group by page_id, name")
+def handler_theta_join(spark, sf_dir):
+    p = tab(spark, sf_dir, "pages", "page_id", F.lit(0).alias("file"), F.replace(F.replace(F.col("html"), F.lit("<"), F.lit("this . ")), F.lit("="), F.lit(" (")).alias("line")).where("page_id is not null")
+    names = spark.createDataFrame([(0, n) for n in ("href", "div", "class", "nav")], "file int, name string")
+    return lookups.named_in(p, names, ["file"], "line", "name").groupBy("page_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select count(*)::bigint as n, sum(c_acctbal) as total from customer where exists (select 1 from orders where o_custkey = c_custkey)".replace("sum(c_acctbal)", "round(sum(c_acctbal), 2)"))
 def known_semi(spark, sf_dir):
     c, o = tab(spark, sf_dir, "customer", F.col("c_custkey").alias("k"), "c_acctbal"), tab(spark, sf_dir, "orders", F.col("o_custkey").alias("k"))
