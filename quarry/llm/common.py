@@ -43,8 +43,8 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
 def numbered_rows(df: DataFrame) -> DataFrame:
     """(row, own): each row of ``df`` whole as the struct own, and a long, another number for each row and the same at every read: its file's rank and its place there.
 
-    What isn't read from files as it is, is written to the shared folder first. The names of the files are ranked, and joined
-    by whatever way Spark finds fit for their number.
+    What isn't read from files as it is, is written to the shared folder first. The names of the files are ranked and written, so that
+    Spark knows their size and broadcasts them only if that is small.
     """
     try:
         about = df.metadataColumn("_metadata")
@@ -52,10 +52,28 @@ def numbered_rows(df: DataFrame) -> DataFrame:
     except AnalysisException:
         return numbered_rows(staged(df, "rows"))
     names = sorted(r[0] for r in placed.select("path").distinct().collect())
-    ranks = df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "name string, rank long")
+    ranks = staged(df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "name string, rank long").coalesce(1), "files")
     return placed.join(ranks, F.col("path") == F.col("name")).select((F.shiftleft("rank", 40) + F.col("at")).alias("row"), "own")
 
 
+class Kept:
+    """What was found for keys seen before, in two stores of ``most`` entries: when the younger is full, the older is dropped."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession, "cut")  # registers a folder where none is set
