@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quarry.llm.common import bounded_batches, table
+from quarry.llm.common import Kept, bounded_batches, table
 
 #: Labelled documents that the classifier is fitted on at most: those whose ids hash lowest.
 TRAIN_DOCS = 20_000
@@ -158,47 +158,56 @@ def decode(text: Iterable[str], model: list, look: int = LOOK) -> str:
 
 
 class Restorer:
-    """Restored words of a text, keeping those of tokens seen before; emptied when full."""
+    """Restored words of a text, keeping what tokens seen before, and disguises within them, stand for."""
 
     def __init__(self, model: list, keep: int = 50_000):
-        self.model, self.seen, self.keep = model, {}, keep
+        self.model, self.seen, self.decoded = model, Kept(keep), Kept(keep)
+
+    def decode(self, x: str) -> list[str]:
+        got = self.decoded.get(x)
+        if got is None:
+            got = decode(x, self.model).split()
+            if len(x) <= 64:
+                self.decoded.put(x, got)
+        return got
 
     def token(self, raw: str) -> tuple[str, ...]:
         """The word as it stands, without the signs around it, and what it decodes to if signs, digits or doubled letters may disguise it.
 
         Signs at an end can be stand-ins or marks, so the token is decoded with them and without.
         """
-        if _CLEAN.fullmatch(raw) and not _TWICE.search(raw):
+        if raw.isalpha() and not _TWICE.search(raw):
             return (raw,)
         core = _ENDS.sub("", raw)
+        if not _SIGN.search(raw):  # no stand-in anywhere: all readings are the word without the signs around it
+            if core.isalpha():
+                return tuple(dict.fromkeys([core, *self.decode(core)])) if _TWICE.search(core) else (core,)
+            return tuple(dict.fromkeys([*_CLEAN.findall(core), *(self.decode(core) if core else ())]))
         plain = _PLAIN_END.sub("", core)
-        known = [plain] if _CLEAN.fullmatch(plain) else _CLEAN.findall(core)
+        known = [plain] if plain.isalpha() else _CLEAN.findall(core)
         shown = dict.fromkeys(x if _SIGN.search(x) else _ENDS.sub("", x) for x in (raw, _MARKS.sub("", raw), _BARS.sub("", raw), core))
         parts: list[str] = []
         for x in shown:
-            if x and not (_CLEAN.fullmatch(x) and not _TWICE.search(x)):
-                parts += decode(x, self.model).split()
+            if x and not (x.isalpha() and not _TWICE.search(x)):
+                parts += self.decode(x)
         return tuple(dict.fromkeys([*known, *parts]))
 
     def spaced(self, run: list[str]) -> list[str]:
         """Words of a run of single characters."""
         return decode(" ".join(run), self.model).split()
 
-    def words(self, text: str | None) -> Counter:
+    def words(self, text: str | None) -> dict[str, int]:
         """How often each restored word occurs, a text's distinct tokens being restored once."""
         tokens = Counter((text or "").lower().split())
-        found, seen = Counter(), self.seen
-        if len(seen) > self.keep:
-            seen.clear()
+        found: dict[str, int] = {}
         for t, n in tokens.items():
-            got = seen.get(t)
-            if got is None:
+            if len(t) > 64:
                 got = self.token(t)
-                if len(t) <= 64:
-                    seen[t] = got
+            elif (got := self.seen.young.get(t)) is None and (got := self.seen.get(t)) is None:
+                self.seen.put(t, got := self.token(t))
             for w in got:
-                found[w] += n
-        if sum(len(t) == 1 or (len(t) <= 4 and len(_MARKS.sub("", t)) == 1) for t in tokens) >= 2:
+                found[w] = found.get(w, 0) + n
+        if sum(len(t) == 1 or len(_MARKS.sub("", t)) == 1 for t in tokens if len(t) <= 4) >= 2:
             run: list[str] = []
             for t in [*(text or "").lower().split(), ""]:
                 bare = t if len(t) == 1 else _MARKS.sub("", t) if len(t) <= 4 else ""
@@ -206,7 +215,8 @@ class Restorer:
                     run.append(bare)
                 if len(bare) != 1 or (len(t) > 1 and t[-1] != bare):
                     if len(run) >= 3:
-                        found.update(self.spaced(run))
+                        for w in self.spaced(run):
+                            found[w] = found.get(w, 0) + 1
                     run = []
         return found
 
@@ -220,20 +230,19 @@ class Scorer:
     """Log-odds that a text is toxic: a logistic regression on what its telling features weigh."""
 
     def __init__(self, model: list, weights: dict[str, float], beta: np.ndarray | None = None):
-        self.restore, self.weights, self.beta, self.known = Restorer(model), weights, beta, {}
+        self.restore, self.weights, self.beta, self.known = Restorer(model), weights, beta, Kept(50_000)
 
     def row(self, text: str | None) -> list[float]:
         """[1, weight of the strongest word, weights of all words a hundred, their sum with diminishing returns, size]."""
-        if len(self.known) > 100_000:
-            self.known.clear()
         words, known, hits, n = self.restore.words(text), self.known, [], 0
         for w, k in words.items():
             n += k
-            if w not in known:
-                own = [self.weights[f] for f in features(w) if f in self.weights]
-                known[w] = max(own, default=0.0)
-            if known[w]:
-                hits.append(known[w])
+            weight = known.get(w)
+            if weight is None:
+                weight = max((self.weights[f] for f in features(w) if f in self.weights), default=0.0)
+                known.put(w, weight)
+            if weight:
+                hits.append(weight)
         total = sum(hits)
         return [1.0, max(hits, default=0.0), 20 * total / (n + 20), math.log1p(total), math.log1p(n) / 5]
 
