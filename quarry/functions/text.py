@@ -273,11 +273,11 @@ def handler_names(c: Column) -> Column:
     return uniq(F.regexp_extract_all(c, F.lit(r"\.on[A-Z][A-Za-z]*\s*\([^\n]*?this\s*\.\s*([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))
 
 
-def element_title(category: Column, texts: Column, handlers: Column, icon: Column, url: Column) -> Column:
+def element_title(category: Column, texts: Column, handlers: Column, icon: Column, url: Column | None = None) -> Column:
     """Visible text, then handler, icon and target, by category; else the category's default."""
     text = F.try_element_at(F.filter(texts, lambda x: ~is_noise(x)), F.lit(1))
     handler = F.try_element_at(handlers, F.lit(1))
-    target = F.when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit("跳转"), page_title(url)))
+    target = F.lit(None).cast("string") if url is None else F.when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit("跳转"), page_title(url)))
     default = F.when(category == "Button", "按钮").when(category == "Input", "输入").when(category == "Display", "展示").otherwise("组件")
     return short_title(F.when(category == "Button", F.coalesce(text, target, handler, icon)).when(category == "Display", F.coalesce(text, icon, target)).otherwise(F.coalesce(text, handler, target, icon, default)))
 

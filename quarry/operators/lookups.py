@@ -119,7 +119,7 @@ def resolve_by_name(calls: DataFrame, defs: DataFrame, name: str, call_id: list[
     only those names that have one definition: so a common name isn't paired out.
     """
     own, theirs = place
-    local = calls.join(defs.withColumn("_place", F.col(theirs)), [F.col(own) == F.col("_place"), calls[name] == defs[name]]).drop("_place").drop(defs[name])
+    local = calls.withColumn("_place", F.col(own)).join(defs.withColumn("_place", F.col(theirs)), [name, "_place"]).drop("_place")
     if other is not None:
         local = local.where(other)
     near = pick_one(local, call_id, distance, *[F.col(t) for t in ties])

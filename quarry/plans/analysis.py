@@ -140,19 +140,6 @@ def flow_permissions(flow_nodes: DataFrame, sinks: DataFrame) -> DataFrame:
     return flow_nodes.where("type = 'sinkCall'").join(s, ["path", "line"]).groupBy("flow_id", "permission").agg(F.sort_array(F.collect_set("node")).alias("refs"))
 
 
-def pages_for(flow_nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(flow_id, page_id, score): the page with the lowest score for each flow.
-
-    pages: page_id, path, line, start, stop (its range), build_start, build_stop, is_root. A source's line scores from 0,
-    other nodes from 50; more the farther from the page's line; less in the root page, its build or its range.
-    """
-    near = flow_nodes.join(pages.withColumnRenamed("line", "page_line"), "path")
-    base = F.when(F.col("ord") == 0, 0).otherwise(50) + F.coalesce(F.least(F.lit(300), F.abs(F.col("line") - F.col("page_line"))), F.lit(200))
-    inside = F.when(F.col("line").between(F.col("build_start"), F.col("build_stop")), 20).when(F.col("line").between(F.col("start"), F.col("stop")), 10).otherwise(0)
-    scored = near.withColumn("score", base - F.when(F.col("is_root"), 5).otherwise(0) - inside)
-    return lookups.pick_one(scored, ["flow_id"], F.col("score"), F.col("page_id")).select("flow_id", "page_id", "score")
-
-
 def nearest_element(evidence: DataFrame, elements: DataFrame, most: int = 80) -> DataFrame:
     """(path, line, element, score): the last element at or before each evidence line, with a penalty by category."""
     rank = F.when(F.col("category") == "Button", 0).when(F.col("category") == "Input", 2).when(F.col("category") == "Component", 4).when(F.col("category") == "Display", 6).otherwise(8)
@@ -172,18 +159,40 @@ def reconcile(declared: DataFrame, inferred: DataFrame, practices: DataFrame, ru
     return kept, dropped, known.join(practices.select("permission"), "permission", "left_anti")
 
 
-def analyse(files: DataFrame, sdk_files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sinks, trimmed edges, flow nodes) of program files (path, text), with declaration files if there are any."""
-    spark = files.sparkSession
-    lines = frames.lines_of(files, ["path"])
+def sink_titles(sinks: DataFrame) -> DataFrame:
+    """(path, line, description): what a call site does: a single record's description, of several each API with its own."""
+    named = F.when(F.coalesce("description", F.lit("")) != "", F.concat_ws("：", F.coalesce(F.nullif("api_key", F.lit("")), F.lit("(unknown api)")), "description")).otherwise(F.coalesce(F.nullif("api_key", F.lit("")), F.lit("(unknown api)")))
+    got = sinks.groupBy("path", "line").agg(F.count(F.lit(1)).alias("n"), F.max("description").alias("one"), F.array_join(F.sort_array(F.collect_set(named)), "；").alias("all"))
+    return got.select("path", "line", F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("all")).alias("description"))
+
+
+def scan(files: DataFrame) -> dict[str, DataFrame]:
+    """Lines, blocks, calls, imports and structs of program files (path, text): each scanned once and written for all further uses."""
+    scanned = {"lines": frames.lines_of(files, ["path"]), "blocks": scanners.scan_blocks(files), "calls": scanners.scan_calls(files), "imports": scanners.scan_imports(files), "structs": scanners.scan_structs(files)}
+    return {k: graphs._cut(df) for k, df in scanned.items()}
+
+
+def declared(sdk_files: DataFrame) -> DataFrame:
+    """Declarations with their module by the file's name."""
+    return scanners.scan_declarations(sdk_files).withColumn("module", F.regexp_extract("path", r"(@(?:ohos|kit)\.[^/]+?)\.d\.(?:ts|ets)$", 1))
+
+
+def find_sinks(facts: dict[str, DataFrame], sdk_files: DataFrame | None = None) -> DataFrame:
+    """Calls of imported APIs, from scanned files and declaration files if there are any."""
+    spark = facts["calls"].sparkSession
     spaces, returns = spark.createDataFrame([], "module string"), spark.createDataFrame([], "module string, member string, type string")
     if sdk_files is not None:
-        decl = scanners.scan_declarations(sdk_files).withColumn("module", F.regexp_extract("path", r"(@(?:ohos|kit)\.[^/]+?)\.d\.(?:ts|ets)$", 1))
+        decl = declared(sdk_files)
         spaces = decl.where("kind = 'namespace' and container = ''").select("module")
         returns = decl.where("size(returns) > 0").groupBy("module", "member").agg(F.min(F.struct("line", F.col("returns")[0].alias("t"))).alias("x")).select("module", "member", F.col("x.t").alias("type"))
-    calls = scanners.scan_calls(files)
-    sinks = api_calls(calls, scanners.scan_imports(files), spaces, returns)
-    graph = trimmed(call_graph(scanners.scan_blocks(files), calls, entry_points(lines), sinks))
+    return graphs._cut(api_calls(facts["calls"], facts["imports"], spaces, returns))
+
+
+def analyse(files: DataFrame, sdk_files: DataFrame | None = None, facts: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sinks, trimmed edges, flow nodes) of program files (path, text), with declaration files if there are any."""
+    facts = facts or scan(files)
+    sinks = find_sinks(facts, sdk_files)
+    graph = trimmed(call_graph(facts["blocks"], facts["calls"], entry_points(facts["lines"]), sinks))
     return sinks, graph.edges, flows(graph)
 
 

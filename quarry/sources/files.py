@@ -38,17 +38,21 @@ def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the CSV tables below ``path`` that have the API column: file, row, key and trimmed cells; files without it give nothing."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("wholetext", True).text(path)
     head = F.regexp_replace(F.split(F.col("value"), "\r?\n")[0], "^﻿", "")
-    named = raw.select(F.col("_metadata.file_path").alias("file"), F.array_contains(F.transform(F.split(head, ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit("")))), KEY).alias("own")).where("own")
-    files = sorted(r.file for r in named.collect())  # names of knowledge files, a handful
+    named = raw.select(F.col("_metadata.file_path").alias("file"), head.alias("head"), F.array_contains(F.transform(F.split(head, ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit("")))), KEY).alias("own")).where("own")
+    # files with the same heading are read together: a heading each, not a plan for each file
+    heads: dict[str, list[str]] = {}
+    for r in named.select("head", "file").collect():  # names of knowledge files
+        heads.setdefault(r.head, []).append(r.file)
     out = None
-    for i, f in enumerate(files):
-        df = spark.read.csv(f, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
-        df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-        cell = lambda c: T.trim_all(F.coalesce(F.col(f"`{c}`"), F.lit(""))) if c in df.columns else F.lit("")  # noqa: B023, E731
-        one = df.select(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("row"), T.normalize_api_key(cell(KEY)).alias("key"), cell(ACTION).alias("action"), cell(DETAIL).alias("detail"), cell(PERMISSIONS).alias("permissions"), cell(DATA).alias("data"), cell(DATA_DETAIL).alias("data_detail"))
+    for files in heads.values():
+        df = spark.read.csv(sorted(files), header=True, multiLine=True, escape='"', mode="PERMISSIVE")
+        placed = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)], F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+        names = {c.lstrip("\ufeff").strip(): f"_c{i}" for i, c in enumerate(df.columns)}
+        cell = lambda c: T.trim_all(F.coalesce(F.col(names[c]), F.lit(""))) if c in names else F.lit("")  # noqa: B023, E731
+        one = placed.select("file", "row", T.normalize_api_key(cell(KEY)).alias("key"), cell(ACTION).alias("action"), cell(DETAIL).alias("detail"), cell(PERMISSIONS).alias("permissions"), cell(DATA).alias("data"), cell(DATA_DETAIL).alias("data_detail"))
         out = one if out is None else out.unionByName(one)
     if out is None:
-        return spark.createDataFrame([], "file int, row long, key string, action string, detail string, permissions string, data string, data_detail string")
+        return spark.createDataFrame([], "file string, row long, key string, action string, detail string, permissions string, data string, data_detail string")
     return out.where(F.col("key").startswith("@ohos.") | F.col("key").startswith("@kit."))
 
 
@@ -94,7 +98,7 @@ def string_table(spark: SparkSession, *candidates: str) -> DataFrame:
     """(name, value) of the first candidate file that reads and parses; the last of equal names counts."""
     for path in candidates:
         try:
-            df = spark.read.schema("string array<struct<name:string,value:string>>, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True).cache()
+            df = spark.read.schema("string array<struct<name:string,value:string>>, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True)
             if df.where("_corrupt is null and string is not null").isEmpty():
                 continue
         except Exception as e:
@@ -129,20 +133,45 @@ def app_permissions(files: DataFrame) -> DataFrame:
     return own.select(F.explode(T.extract_tokens(F.col("text"))).alias("permission")).distinct()
 
 
+#: Calls that ask the user, where their permissions stand among the arguments, and how far they reach.
+REQUESTS = ((r"(?s)\b(?:[\w$.]+\.)?requestPermissionsFromUser\s*\((.{0,400}?)\)", 1), (r"(?s)\b[\w$]+\.(?:request|requestPermission)\s*\((.{0,300}?)\)", 0))
+_DOTTED = r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*$"
+
+
 def runtime_permissions(files: DataFrame) -> DataFrame:
-    """(permission): asked of the user at run time, named within 400 characters of the call or through a constant of the same file."""
-    asked = files.select("path", "text", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(?:requestPermissionsFromUser|\.request(?:Permission)?)\s*\((.{0,400})"), F.lit(1))).alias("said"))
-    named = asked.select(F.explode(T.extract_tokens(F.col("said"))).alias("permission"))
-    refs = asked.select("path", F.explode(F.regexp_extract_all("said", F.lit(r"([A-Za-z_][A-Za-z0-9_]{2,})"), F.lit(1))).alias("name")).distinct()
-    consts = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{2,}[^=\n]{0,160}=\s*[^;]{0,400})"), F.lit(1))).alias("c"))
-    consts = consts.select("path", F.regexp_extract("c", r"^([A-Za-z_][A-Za-z0-9_]*)", 1).alias("name"), F.explode(T.extract_tokens(F.col("c"))).alias("permission"))
-    return named.unionByName(refs.join(consts, ["path", "name"]).select("permission")).distinct()
+    """(permission): asked of the user at run time: named in the call, else through the constant that it names, looked up in its own file first, then in all."""
+    code = files.where(~F.contains(F.col("path"), F.lit("/src/ohosTest/")) & F.col("path").rlike(r"\.(ets|ts|js)$")).select("path", "text")
+    asked = None
+    for pattern, at in REQUESTS:
+        said = code.select("path", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("said"))
+        one = said.select("path", "said", T.clean_text(F.get(F.split("said", ","), at)).alias("ref"))
+        asked = one if asked is None else asked.unionByName(one)
+    named = asked.withColumn("own", T.extract_tokens(F.col("said")))
+    direct = named.select(F.explode("own").alias("permission"))
+    refs = named.where((F.size("own") == 0) & F.col("ref").rlike(_DOTTED)).select("path", "ref").distinct()
+    return direct.unionByName(constants(refs, code).select("permission")).distinct()
+
+
+def constants(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, ref, permission): permissions behind the names (path, ref): what is assigned to the name, or else to its last part, in its own file, else in the first that has any.
+
+    Every assignment whose value names permissions is found once; names and assignments meet in an equi join on the name.
+    """
+    found = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)((?<![\w$.])[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*[^=\n]{0,160}=\s*[^=].{0,400})"), F.lit(1))).alias("c"))
+    names = F.regexp_extract_all(F.regexp_extract("c", r"^([^=]*)=", 1), F.lit(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*"), F.lit(0))
+    set_ = found.select("path", F.explode(F.array_distinct(names)).alias("name"), T.extract_tokens(F.regexp_extract("c", r"(?s)=\s*(.*)$", 1)).alias("permissions")).where("size(permissions) > 0")
+    wanted = refs.select(F.col("path").alias("own"), "ref", F.posexplode(F.array_distinct(F.array("ref", F.element_at(F.split("ref", r"\."), -1)))).alias("rank", "name"))
+    met = lookups.pick_one(wanted.join(set_, "name"), ["own", "ref"], F.col("rank"), F.col("own") != F.col("path"), F.col("path"), F.col("permissions"))
+    return met.select(F.col("own").alias("path"), "ref", F.explode("permissions").alias("permission"))
 
 
 def groundtruth(spark: SparkSession, path: str) -> DataFrame:
     """(app, permission) of text files, one app each: tokens of a line, else the line itself if it begins as one does."""
     rows = spark.read.text(path).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.txt$", 1).alias("app"), "value")
-    return rows.select("app", F.explode(T.extract_tokens(F.col("value"))).alias("permission")).distinct()
+    line = T.trim_all(F.regexp_replace("value", "（[^）]*）", ""))
+    tokens = T.extract_tokens(F.col("value"))
+    told = F.when(F.size(tokens) > 0, tokens).when(line.startswith("ohos.permission."), F.array(line)).otherwise(F.array().cast("array<string>"))
+    return rows.select("app", F.explode(told).alias("permission")).distinct()
 
 
 def predictions(spark: SparkSession, root: str) -> DataFrame:
@@ -153,6 +182,17 @@ def predictions(spark: SparkSession, root: str) -> DataFrame:
     return names.select("path", F.explode(T.extract_tokens(F.col("name"))).alias("permission")).distinct()
 
 
+#: Where a run's own walk finds predictions, and its narrower pattern of names.
+RUN_FACTS, RUN_PERMISSION = r"/(pages/[^/]+/features/[^/]+|app_permissions)/privacy_facts\.json$", r"ohos\.permission\.[A-Z0-9_]+"
+
+
+def run_predictions(spark: SparkSession, root: str) -> DataFrame:
+    """(permission): as ``predictions``, but only of a run's features and of the app, and names in capitals only."""
+    schema = "facts struct<permissionPractices:array<struct<permissionName:string>>>"
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "privacy_facts.json").json(root, multiLine=True).where(F.col("_metadata.file_path").rlike(RUN_FACTS))
+    return df.select(F.explode("facts.permissionPractices.permissionName").alias("name")).select(F.explode(F.regexp_extract_all("name", F.lit(RUN_PERMISSION), F.lit(0))).alias("permission")).distinct()
+
+
 def run_registry(spark: SparkSession, root: str) -> DataFrame:
     """(run_id, output_dir, mtime) of the registry's entries, the latest first; broken ones left out."""
     df = spark.read.schema("runId string, outputDir string").option("pathGlobFilter", "*.json").json(root, multiLine=True)
@@ -161,6 +201,15 @@ def run_registry(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("name <> 'latest' and output_dir is not null").drop("name").orderBy(F.desc("mtime"), "run_id")
 
 
+def resolve_run(runs: DataFrame, output_dir: str | None = None, run_id: str | None = None) -> str | None:
+    """A run's folder: the one given, else that of the run of this id, else that of the latest run (run_id, output_dir, mtime); None without any."""
+    if output_dir and output_dir.strip():
+        return output_dir.strip()
+    known = runs.where(F.col("run_id") == run_id) if run_id else runs
+    row = known.orderBy(F.desc("mtime"), F.desc("run_id")).select("output_dir").first()
+    return row.output_dir if row else None
+
+
 def latest_runs(runs: DataFrame, app: str = "app", at: str = "run_ts") -> DataFrame:
     return runs.groupBy(app).agg(F.max(at).alias(at))
 
@@ -170,3 +219,15 @@ def sink_records(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema("`App源码文件路径` string, `调用行号` int, `__apiKey` string").json(path, multiLine=True)
     got = df.select(F.col("App源码文件路径").alias("file_path"), F.col("调用行号").alias("call_line"), F.col("__apiKey").alias("api_key"))
     return got.withColumn("valid", F.col("file_path").isNotNull() & F.col("call_line").isNotNull() & F.col("api_key").isNotNull())
+
+
+def checked(df: DataFrame, needed: list[str], numbers: list[str] = (), kinds: dict[str, tuple[str, ...]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows fit to show, rows that aren't): ``needed`` columns aren't null or blank, ``numbers`` are 1 or more, ``kinds`` have one of the values named."""
+    fit = F.lit(True)
+    for c in needed:
+        fit = fit & (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "")
+    for c in numbers:
+        fit = fit & F.coalesce(F.col(c) >= 1, F.lit(False))
+    for c, values in (kinds or {}).items():
+        fit = fit & F.coalesce(F.col(c).isin(*values), F.lit(False))
+    return df.where(fit), df.where(~fit)

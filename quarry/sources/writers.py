@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +20,37 @@ def csv_lines(df: DataFrame, headers: list[str]) -> DataFrame:
     return df.select(F.concat_ws(",", *[quoted(c) for c in headers]).alias("line"))
 
 
+def write_document(df: DataFrame, path: str) -> None:
+    """One JSON document, indented, of a small table's rows: a meta file, an index. The rows go through one task."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("row"))
+    one = rows.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("row"), ",\n"), F.lit("\n]")).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_csv(df: DataFrame, path: str, headers: list[str]) -> None:
-    """CSV part files, each with a header."""
-    df.select(*headers).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
+    """CSV part files, each with a byte order mark and a heading; cells are quoted only where they must be."""
+    head = csv_lines(df.sparkSession.createDataFrame([tuple(headers)], ", ".join(f"`{h}` string" for h in headers)), headers).first().line
+    told = csv_lines(df, headers)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["\ufeff" + head]})
+        for b in batches:
+            yield b.rename(columns={"line": "value"})
+
+    told.mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
-def write_run(df: DataFrame, path: str) -> None:
-    """One folder for each page and feature."""
-    df.repartition("page_id", "feature_id").write.mode("overwrite").partitionBy("page_id", "feature_id").json(path)
+def write_run(tables: dict[str, DataFrame], path: str) -> None:
+    """A run's tables, each in a folder of its name; those with page and feature in one folder for each."""
+    for name, df in tables.items():
+        if {"page_id", "feature_id"} <= set(df.columns):
+            df.repartition("page_id", "feature_id").write.mode("overwrite").partitionBy("page_id", "feature_id").json(f"{path}/{name}")
+        else:
+            df.write.mode("overwrite").json(f"{path}/{name}")
 
 
 def register_run(runs: DataFrame, path: str) -> None:
-    """Append entries (run_id, output_dir) to the registry; the latest of a run counts when it is read."""
+    """Append entries (run_id, output_dir) to the registry; the latest of a run counts when it is read, and the newest file is the latest run."""
     runs.select(F.col("run_id").alias("runId"), F.col("output_dir").alias("outputDir")).write.mode("append").json(path)
 
 
