@@ -21,6 +21,8 @@ KEYWORDS = frozenset(("if", "for", "while", "switch", "catch", "return", "typeof
 WRAPPERS = frozenset(("Promise", "Array", "ReadonlyArray", "AsyncCallback", "Callback", "Record", "Partial", "Required", "Pick", "Omit", "Map", "Set"))
 _NAMED = re.compile(r"(?m)^[ \t]*(?:(?:export|public|private|protected|async|static|readonly|abstract|override|function|const|let|var)\s+)*([A-Za-z_]\w*)\s*(?:<[^>\n]+>\s*)?(=\s*(?:async\s*)?)?\(")
 _CALL = re.compile(r"(\bnew\s+)?((?:[A-Za-z_$][\w$]*|\))(?:\s*\??\.\s*[A-Za-z_$][\w$]*)*)\s*(?:<[^<>()\n]*>)?\s*\(")
+_FUNCTION = re.compile(r"\bfunction\s*\*?\s*$")
+_BY_NAME = re.compile(r"(?<=[\w$)\]])\s*\[\s*([A-Za-z_$][\w$]*)\s*\]\s*\(")
 _IMPORT = re.compile(r"(?m)^[ \t]*import\s+(type\s+)?([^;'\"]*?)\s*from\s*(['\"])([^'\"]+)\3[^\n]*")
 _STRUCT = re.compile(r"(?m)(export\s+default\s+)?\bstruct\s+([A-Za-z_]\w*)\s*\{")
 _DECL = re.compile(r"(?m)^[ \t]*(?:(?:export|default|declare|static|readonly|public|async)\s+)*(namespace|class|interface|enum|function|const)?\s*([A-Za-z_]\w*)\s*(?:<[^>\n]*>)?\s*(\(|\{|extends|implements|:)")
@@ -78,10 +80,19 @@ def blocks(text: str) -> Iterator[tuple]:
 
 
 def calls(text: str) -> Iterator[tuple]:
-    """(pos, end, line, code, base, chain, callee, is_new, assigned) of every call; ``chain`` is what is called, dotted."""
+    """(pos, end, line, code, base, chain, callee, is_new, assigned) of every call; ``chain`` is what is called, dotted.
+
+    What begins a block is a call too if it lies in another block and isn't declared with ``function``, as elements with children are. Names in
+    brackets behind a value, as in ``x[go]()``, are called by that name.
+    """
     bare = quiet(text)
     pairs, lines = brackets(bare), _Lines(text)
-    heads = {b[1] for b in blocks(text)}
+    known = list(blocks(text))
+    heads = {b[1] for b in known if _FUNCTION.search(bare, max(0, b[1] - 40), b[1]) or not any(o[4] < b[1] < o[5] for o in known)}
+    for m in _BY_NAME.finditer(bare):
+        if (end := pairs.get(m.end() - 1)) is not None:
+            n = lines.number(m.start())
+            yield m.start(), end + 1, n, lines.code(n), "", f"[{m[1]}]", m[1], False, None, False
     at = 0
     while m := _CALL.search(bare, at):
         opening = m.end() - 1
@@ -96,7 +107,8 @@ def calls(text: str) -> Iterator[tuple]:
             before = re.search(r"([\w$.]+)\s*$", bare[: inner or 0])
             base, chain = (before[1] if before else "") + "()", (before[1] if before else "") + "()" + chain[1:]
         n = lines.number(m.start())
-        left = re.search(r"([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:await\s+)?$", bare[lines.starts[n - 1] : m.start()])
+        # what stands between a name and the call that it is set to: brackets, await, type assertions
+        left = re.search(r"([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:await\s+|\(\s*|<[^<>\n]*>\s*)*$", bare[lines.starts[n - 1] : m.start()])
         declared = bool(left and re.search(r"\b(const|let|var)\s+$", bare[lines.starts[n - 1] : lines.starts[n - 1] + left.start()]))
         yield m.start(), end + 1, n, lines.code(n), base, chain, name, bool(m[1]), left[1] if left else None, declared
 

@@ -155,10 +155,11 @@ def test_whole_run(spark, tmp_path):
     assert [k for k, in rows(got.ui_edges, "kind")] == ["contains", "contains", "contains", "navigatesTo"]
     assert rows(got.pages, "page_id", "is_root") == [("Home", True), ("Login", False)]
     assert {r.fallback for r in got.flow_nodes.collect()} == {True}
-    assert got.flow_nodes.select("flow_id").distinct().count() == 2
-    assert all(r.page_id == "Home" and r.kind == "ui" for r in got.features.collect())
-    assert rows(got.permissions, "permission", "mode") == []  # the app's own files don't name it
-    assert got.report.count() >= 1
+    assert got.flow_nodes.select("flow_id").distinct().count() == 3
+    assert rows(got.features, "page_id", "kind", "title", "n_flows") == [("Home", "ui", "你好", 1), ("Home", "ui", "登录", 2)]
+    assert {tuple(r) for r in got.page_index.collect()} == {("Home", 2, 3), ("Login", 0, 0), (None, 2, 3)}
+    assert rows(got.permissions, "permission", "mode", "scenario") == [("ohos.permission.LOCATION", "preauthorized", "登录")]
+    assert "在“登录”场景中，我们会调用ohos.permission.LOCATION" in " ".join(r.text for r in got.report.collect())
     writers.write_run(got.tables(), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/pages")).count() == 2
 
