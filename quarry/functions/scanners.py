@@ -141,6 +141,12 @@ def exports(text: str) -> Iterator[tuple]:
             yield (alias or first).strip(), first.strip(), m[2]
 
 
+def defaults(text: str) -> Iterator[tuple]:
+    """(name): the name that a file exports as its default, if it is a name."""
+    if m := re.search(r"(?m)^[ \t]*export\s+default\s+([A-Za-z_$][\w$]*)\s*;?[ \t]*$", quiet(text)):
+        yield (m[1],)
+
+
 def structs(text: str) -> Iterator[tuple]:
     """(name, start_line, end_line, is_default)."""
     bare = quiet(text)
@@ -221,5 +227,6 @@ scan_blocks = _deal(blocks, "name string, pos int, start_line int, end_line int,
 scan_calls = _deal(calls, "pos int, end int, line int, code string, base string, chain string, callee string, is_new boolean, assigned string, declared boolean")
 scan_imports = _deal(imports, "module string, kind string, imported string, local string, import_line int, import_code string")
 scan_exports = _deal(exports, "exported string, local string, module string")
+scan_defaults = _deal(defaults, "name string")
 scan_structs = _deal(structs, "name string, start_line int, end_line int, is_default boolean")
 scan_declarations = _deal(declarations, "container string, member string, kind string, summary string, permissions array<string>, returns array<string>, line int")

@@ -282,10 +282,40 @@ def element_title(category: Column, texts: Column, handlers: Column, icon: Colum
     return short_title(F.when(category == "Button", F.coalesce(text, target, handler, icon)).when(category == "Display", F.coalesce(text, icon, target)).otherwise(F.coalesce(text, handler, target, icon, default)))
 
 
+#: Names in programs and what people call them.
+IDENTIFIERS = {"currentlocation": "当前位置", "startposition": "起始位置", "isstart": "计步状态", "stepgoal": "步数目标", "build": "页面构建入口", "foreground": "前台状态", "background": "后台状态"}
+
+
+def identifier_label(c: Column) -> Column:
+    """What people call a name from a program, ``this.`` before it or not; null for others."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)\s+", "")), r"^this\.", "")
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in IDENTIFIERS.items() for x in kv]), bare)
+
+
 def user_text(c: Column) -> Column:
-    """``name（中文）`` as 中文, other Latin text in brackets off."""
-    t = F.regexp_replace(clean_text(c), "[A-Za-z_][A-Za-z0-9_.]*（([^（）]*[一-鿿][^（）]*)）", "$1")
-    return trim_all(F.regexp_replace(t, r"[（(][A-Za-z0-9_.,:/@ -]+[）)]", ""))
+    """A text as people read it: known names as they call them, ``name（中文）`` as 中文, Latin text in brackets off where the rest is Chinese."""
+    t = clean_text(c)
+    hint = clean_text(F.regexp_extract(t, r"^[A-Za-z_$][\w$.]*\s*[（(]\s*([^()（）]*[一-鿿][^()（）]*)\s*[）)]$", 1))
+    rest = clean_text(F.when(has_cjk(t), F.regexp_replace(t, r"\s*[（(]\s*[^()（）]*[A-Za-z][^()（）]*\s*[）)]", "")).otherwise(t))
+    return F.when(t.isin("", UNKNOWN), t).otherwise(F.coalesce(identifier_label(t), F.nullif(hint, F.lit("")), identifier_label(rest), F.nullif(rest, F.lit("")), t))
+
+
+def user_texts(array: Column) -> Column:
+    return uniq(F.transform(array, user_text))
+
+
+def first_text(*columns: Column) -> Column:
+    """The first that isn't null or blank, without white space at its ends."""
+    return F.coalesce(*[F.nullif(trim_all(c), F.lit("")) for c in columns])
+
+
+def run_stamp(ts: Column) -> Column:
+    return F.date_format(ts, "yyyyMMdd-HHmmss")
+
+
+def app_name(path: Column) -> Column:
+    """The last part of an app's path."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(path, r"[\\/]+$", ""), r"([^\\/]*)$", 1), F.lit("")), F.lit("app"))
 
 
 def permission_sentence(scenario: Column, label: Column, purpose: Column, deny: Column) -> Column:

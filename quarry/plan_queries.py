@@ -267,3 +267,10 @@ def hourly_kinds(spark, sf_dir):
 def short_titles(spark, sf_dir):
     p = tab(spark, sf_dir, "pages", "page_id")
     return p.select("page_id", T.short_title(F.when(F.col("page_id") % 2 == 0, " “去 (登录)。” ").otherwise("功 能")).alias("title"))
+
+
+@query("select page_id, case page_id % 6 when 0 then '步数目标' when 1 then '当前 位置' when 2 then '位置 信息' when 3 then 'plain (text)' when 4 then '页面构建入口' else '未识别' end as said, case when page_id % 2 = 0 then 'b' else 'app' end as name from pages where page_id is not null")
+def user_texts(spark, sf_dir):
+    k = F.col("page_id") % 6
+    told = F.when(k == 0, "this.stepGoal").when(k == 1, "x.y（当前 位置）").when(k == 2, "位置 (GPS data) 信息").when(k == 3, "plain (text)").when(k == 4, " Build ").otherwise("未识别")
+    return tab(spark, sf_dir, "pages", "page_id").where("page_id is not null").select("page_id", T.user_text(told).alias("said"), T.app_name(F.when(F.col("page_id") % 2 == 0, "/a/b//").otherwise("/")).alias("name"))

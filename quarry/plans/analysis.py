@@ -177,13 +177,20 @@ def declared(sdk_files: DataFrame) -> DataFrame:
     return scanners.scan_declarations(sdk_files).withColumn("module", F.regexp_extract("path", r"(@(?:ohos|kit)\.[^/]+?)\.d\.(?:ts|ets)$", 1))
 
 
+def default_exports(sdk_files: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(module, name, kind): what a module exports as its default, and as what it is declared at the top, unknown if it isn't."""
+    named = scanners.scan_defaults(sdk_files).select(F.regexp_extract("path", r"(@(?:ohos|kit)\.[^/]+?)\.d\.(?:ts|ets)$", 1).alias("module"), "name")
+    top = declarations.where("container = '' and kind in ('namespace', 'class', 'function')").groupBy("module", F.col("member").alias("name")).agg(F.min_by("kind", "line").alias("kind"))
+    return named.join(top, ["module", "name"], "left").withColumn("kind", F.coalesce("kind", F.lit("unknown")))
+
+
 def find_sinks(facts: dict[str, DataFrame], sdk_files: DataFrame | None = None) -> DataFrame:
     """Calls of imported APIs, from scanned files and declaration files if there are any."""
     spark = facts["calls"].sparkSession
     spaces, returns = spark.createDataFrame([], "module string"), spark.createDataFrame([], "module string, member string, type string")
     if sdk_files is not None:
         decl = declared(sdk_files)
-        spaces = decl.where("kind = 'namespace' and container = ''").select("module")
+        spaces = default_exports(sdk_files, decl).where("kind = 'namespace'").select("module")
         returns = decl.where("size(returns) > 0").groupBy("module", "member").agg(F.min(F.struct("line", F.col("returns")[0].alias("t"))).alias("x")).select("module", "member", F.col("x.t").alias("type"))
     return graphs._cut(api_calls(facts["calls"], facts["imports"], spaces, returns))
 

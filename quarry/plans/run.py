@@ -49,7 +49,7 @@ def described(sinks: DataFrame, sdk_files: DataFrame | None, knowledge: DataFram
     sdk = spark.createDataFrame([], kind)
     if sdk_files is not None:
         decl = analysis.declared(sdk_files)
-        names = decl.where("kind = 'namespace' and container = ''").select("module", F.col("member").alias("name"))
+        names = analysis.default_exports(sdk_files, decl).select("module", "name")
         wanted = sinks.select("module", "api_key").distinct().withColumn("symbol", F.expr("substring(api_key, length(module) + 2)"))
         found = symbols.resolve(wanted, symbols.rooted(decl, names)).where("found is not null")
         sdk = found.select(F.col("api_key").alias("key"), F.coalesce("summary", F.lit("")).alias("description"), F.coalesce("permissions", F.array().cast("array<string>")).alias("permissions"))
