@@ -157,6 +157,24 @@ def decode(text: Iterable[str], model: list, look: int = LOOK) -> str:
     return "".join([*done, *reversed(out)])
 
 
+def undoubled(word: str, model: list) -> str | None:
+    """What ``decode`` gives for a word of letters whose only disguise are letters written twice; None for others.
+
+    Such a lattice falls apart: dropping one of two equal letters changes the costs of that letter and of the one behind only, so each pair is decided alone.
+    """
+    out, done = [], 0
+    for m in _TWICE.finditer(word):
+        i, j = m.span()
+        if j < len(word) and word[j] == m[1]:
+            return None
+        k = symbol(m[1])
+        y, behind = symbol(word[i - 1]) if i else 0, symbol(word[j]) if j < len(word) else 0
+        keep, drop = model[y][k][k] + model[k][k][behind], REPEAT + model[y][k][behind]
+        out.append(word[done : j - 1 if drop < keep else j])
+        done = j
+    return "".join([*out, word[done:]])
+
+
 class Restorer:
     """Restored words of a text, keeping what tokens seen before, and disguises within them, stand for."""
 
@@ -164,6 +182,8 @@ class Restorer:
         self.model, self.seen, self.decoded = model, Kept(keep), Kept(keep)
 
     def decode(self, x: str) -> list[str]:
+        if x.isalpha() and (plain := undoubled(x, self.model)) is not None:
+            return [plain]
         got = self.decoded.get(x)
         if got is None:
             got = decode(x, self.model).split()

@@ -84,6 +84,8 @@ def test_decoding_against_all_ways():
         text = "".join(rng.choice("ab1!$0. @l") for _ in range(rng.randint(1, 7)))
         ways = [way(model, p) for p in itertools.product(*[options(c, text[i - 1] if i else "") for i, c in enumerate(text)])]
         assert toxicity.decode(text, model, look=3) in {said for cost, said in ways if cost < min(ways)[0] + 1e-9}
+        word = "".join(rng.choice("aab") for _ in range(rng.randint(1, 12)))
+        assert toxicity.undoubled(word, model) in (None, toxicity.decode(word, model))
         text = "".join(rng.choice("abst1!$0. @l") for _ in range(300))
         assert toxicity.decode(text, model, look=7) == toxicity.decode(text, model)
 
