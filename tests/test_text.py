@@ -27,7 +27,7 @@ def test_tokeniser_takes_longest_anchor_first(spark):
     assert one(spark, T.tokenise(F.col("x"), ["甲"]), x="没有") == []
 
 
-@pytest.mark.parametrize(("path", "title"), [("entry/src/main/ets/pages/LoginPage.ets", "登录页面"), ("ets/pages/my/Index.ets", "我的页面"), ("ets/pages/首页.ets", "首页"), ("ets/pages/Foo.ets", "Foo页面"), ("", "页面页面")])
+@pytest.mark.parametrize(("path", "title"), [("entry/src/main/ets/pages/LoginPage.ets", "登录页面"), ("ets/pages/my/Index.ets", "首页"), ("ets/pages/my/Foo.ets", "我的页面"), ("ets/pages/ChatPage.ets", "聊天页面"), ("ets/pages/首页.ets", "首页"), ("ets/pages/Foo.ets", "Foo页面"), ("", "页面页面")])
 def test_page_titles(spark, path, title):
     assert one(spark, T.page_title(F.col("x")), x=path) in (title, "页面" if not path else title)
 
