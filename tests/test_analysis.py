@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scanners
 from quarry.operators import frames
-from quarry.plans import analysis
+from quarry.plans import analysis, features
 from quarry.sources import files, writers
 
 CODE = """import router from '@ohos.router';
@@ -93,7 +93,8 @@ def test_sources_and_writers(spark, tmp_path):
 def test_page_choice_and_nearest_element(spark):
     nodes = spark.createDataFrame([("f1", 0, "p.ets", 20), ("f2", 0, "p.ets", 45)], "flow_id string, ord int, path string, line int")
     pages = spark.createDataFrame([("a", "p.ets", 3, 3, 39, 12, 30, False), ("b", "p.ets", 40, 40, 60, 42, 50, False)], "page_id string, path string, line int, start int, stop int, build_start int, build_stop int, is_root boolean")
-    assert {r.flow_id: r.page_id for r in analysis.pages_for(nodes, pages).collect()} == {"f1": "a", "f2": "b"}
+    scores = features.page_scores(nodes.withColumn("base", F.lit(0)), pages)
+    assert sorted((r.flow_id, r.page_id, r.score) for r in scores.collect()) == [("f1", "a", -3), ("f1", "b", 20), ("f2", "a", 42), ("f2", "b", -15)]
     ui = spark.createDataFrame([("f", 10, "Button", "Button"), ("f", 14, "TextInput", "Input"), ("f", 14, "Text", "Display"), ("f", 30, "X", "Component")], "path string, line int, component string, category string")
     at = spark.createDataFrame([("f", 16), ("f", 35), ("f", 9), ("f", 300)], "path string, line int")
     assert sorted((r.line, r.element, r.score) for r in analysis.nearest_element(at, ui).collect()) == [(16, "TextInput", 4), (35, "X", 9)]
