@@ -149,6 +149,21 @@ def test_mixing_is_earliest_deadline_first(docs, weights):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_simhash_links_between_parts(spark, monkeypatch):
+    """Pairs of different parts by brute force, with and without anchors that count as crowded."""
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    near = list(dict.fromkeys(base ^ sum(1 << b for b in rng.sample(range(64), s % 5)) for s in range(90)))
+    comps = [min(k % 7, 3) for k in range(len(near))]
+    prints = spark.createDataFrame([(k, [x - 2**64 if x >> 63 else x], comps[k]) for k, x in enumerate(near)], "rep long, fps array<long>, comp int")
+    want = {(a, b) for a, x in enumerate(near) for b, y in enumerate(near) if a < b and comps[a] != comps[b] and (x ^ y).bit_count() <= 3}
+    for crowd in (0, 10_000):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        got = simhash.links(prints).collect()
+        assert {(min(r.a, r.b), max(r.a, r.b)) for r in got} == want
+        assert all({r.ca, r.cb} == {comps[r.a], comps[r.b]} for r in got)
+
+
 def test_mixing_keeps_any_column(spark):
     names = "first last size slots base mix_key o_key p_key key own bucket h one k block rank at".split()
     df = spark.range(300).select((F.col("id") % 40).alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), *[F.col("id").alias(n) for n in names], F.create_map(F.lit("x"), F.col("id")).alias("m"), F.lit(1).alias("mix_slot"))
