@@ -242,7 +242,8 @@ def absolute_path(c: Column) -> Column:
 
 def limit_number(c: Column) -> Column:
     """A limit typed in: its whole part, 1 at least; null where it is no number."""
-    return F.greatest(F.lit(1).cast("long"), F.floor(trim_all(c).try_cast("double")).cast("long"))
+    n = F.floor(trim_all(c).try_cast("double")).cast("long")
+    return F.when(n < 1, F.lit(1).cast("long")).otherwise(n)
 
 
 def cut_list(array: Column, most: int) -> Column:

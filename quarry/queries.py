@@ -256,7 +256,7 @@ def source_titles(spark, sf_dir):
     return tab(spark, sf_dir, "pages", "page_id").select("page_id", T.source_title(fn, path, page).alias("title"))
 
 
-@query("select page_id, regexp_replace(regexp_replace(ltrim(r, '/'), '\\.ets$', ''), '\\.ts$', '') as route, '/' || r as absolute, greatest(1, floor(try_cast(x as double)))::bigint as most from (select page_id, 'p' || page_id || '/q' || case when page_id % 2 = 0 then '.ets' else '.ts' end as r, case when page_id % 3 = 0 then 'none' else (page_id - 5)::varchar || '.7' end as x from pages)")
+@query("select page_id, regexp_replace(regexp_replace(ltrim(r, '/'), '\\.ets$', ''), '\\.ts$', '') as route, '/' || r as absolute, (case when floor(try_cast(x as double)) < 1 then 1 else floor(try_cast(x as double)) end)::bigint as most from (select page_id, 'p' || page_id || '/q' || case when page_id % 2 = 0 then '.ets' else '.ts' end as r, case when page_id % 3 = 0 then 'none' else (page_id - 5)::varchar || '.7' end as x from pages)")
 def path_helpers(spark, sf_dir):
     p = tab(spark, sf_dir, "pages", "page_id")
     r = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("/q"), F.when(F.col("page_id") % 2 == 0, ".ets").otherwise(".ts"))

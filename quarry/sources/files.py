@@ -155,11 +155,12 @@ def runtime_permissions(files: DataFrame) -> DataFrame:
 def constants(refs: DataFrame, files: DataFrame) -> DataFrame:
     """(path, ref, permission): permissions behind the names (path, ref): what is assigned to the name, or else to its last part, in its own file, else in the first that has any.
 
-    Every assignment whose value names permissions is found once; names and assignments meet in an equi join on the name.
+    A value reaches 400 characters. Every assignment whose value names permissions is found once; names and assignments meet in an equi join on the name.
     """
-    found = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)((?<![\w$.])[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*[^=\n]{0,160}=\s*[^=].{0,400})"), F.lit(1))).alias("c"))
-    names = F.regexp_extract_all(F.regexp_extract("c", r"^([^=]*)=", 1), F.lit(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*"), F.lit(0))
-    set_ = found.select("path", F.explode(F.array_distinct(names)).alias("name"), T.extract_tokens(F.regexp_extract("c", r"(?s)=\s*(.*)$", 1)).alias("permissions")).where("size(permissions) > 0")
+    pattern = F.lit(r"(?s)(?<![\w$.])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*[^=\n]{0,160}=)(?=\s*([^=].{0,399}))")
+    found = files.select("path", F.explode(F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("left"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("right"))).alias("c"))
+    names = F.regexp_extract_all("c.left", F.lit(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*"), F.lit(0))
+    set_ = found.select("path", F.explode(F.array_distinct(names)).alias("name"), T.extract_tokens(F.col("c.right")).alias("permissions")).where("size(permissions) > 0")
     wanted = refs.select(F.col("path").alias("own"), "ref", F.posexplode(F.array_distinct(F.array("ref", F.element_at(F.split("ref", r"\."), -1)))).alias("rank", "name"))
     met = lookups.pick_one(wanted.join(set_, "name"), ["own", "ref"], F.col("rank"), F.col("own") != F.col("path"), F.col("path"), F.col("permissions"))
     return met.select(F.col("own").alias("path"), "ref", F.explode("permissions").alias("permission"))

@@ -203,7 +203,7 @@ def test_runs_and_documents(spark, tmp_path):
 
 def test_permission_constants(spark):
     a = "const ASK = ['ohos.permission.MIC'];\nctx.requestPermissionsFromUser(c, ASK)\nmgr.request(Other.CAM)"
-    b = "export class Other { static CAM = 'ohos.permission.CAMERA' }\nconst ASK = 'ohos.permission.WRONG'"
+    b = "export class Other { static CAM = 'ohos.permission.CAMERA' }\n" + "//" * 220 + "\nconst ASK = 'ohos.permission.WRONG'"
     got = files.runtime_permissions(spark.createDataFrame([("x/a.ets", a), ("x/b.ets", b), ("x/src/ohosTest/t.ets", "m.request('ohos.permission.TEST')")], "path string, text string"))
     assert rows(got, "permission") == [("ohos.permission.CAMERA",), ("ohos.permission.MIC",)]
 
