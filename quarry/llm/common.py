@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: computed once, safe against lost executors."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
