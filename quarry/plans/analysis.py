@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scanners
 from quarry.functions import text as T
 from quarry.operators import frames, graphs, lookups
+from quarry.sources import files as sources
 
 #: Names of functions that the system calls.
 ENTRY_NAMES = (
@@ -45,9 +46,10 @@ def entry_structs(lines: DataFrame, structs: DataFrame) -> DataFrame:
 
 
 def resolve_kits(imports: DataFrame, kits: DataFrame) -> DataFrame:
-    """Imports of ``@kit.`` modules led to the module that has the name: kits (kit, exported, module, imported)."""
-    k = kits.select(F.col("kit").alias("module"), F.col("exported").alias("imported"), F.col("module").alias("_m"), F.col("imported").alias("_i"))
-    return imports.join(k, ["module", "imported"], "left").withColumns({"module": F.coalesce("_m", "module"), "imported": F.coalesce("_i", "imported")}).drop("_m", "_i")
+    """Named imports of ``@kit.`` modules led to where the name comes from: kits (kit, exported, module, kind, imported). Others stay as they are."""
+    k = kits.select(F.col("kit").alias("module"), F.col("exported").alias("imported"), F.lit("named").alias("kind"), F.struct("module", "kind", "imported").alias("_to"))
+    led = imports.join(k, ["module", "kind", "imported"], "left")
+    return led.withColumns({c: F.coalesce(F.col(f"_to.{c}"), F.col(c)) for c in ("module", "kind", "imported")}).select(*imports.columns)
 
 
 def api_segments(kind: Column, imported: Column, local: Column, method: Column, namespace: Column) -> Column:
@@ -66,7 +68,8 @@ def api_calls(calls: DataFrame, imports: DataFrame, namespaces: DataFrame, retur
     own = lookups.last_wins(imports.where(F.col("module").rlike(r"^@(ohos|kit)\.")), ["path", "local"], "import_line")
     spaces = namespaces.select("module").distinct().withColumn("_ns", F.lit(True))
     method = F.when(F.contains(F.col("chain"), F.lit(".")), F.col("callee"))
-    hit = calls.withColumn("local", F.col("base")).join(own, ["path", "local"]).join(spaces, "module", "left").where(F.size(F.split("chain", r"\.")) <= 2)
+    # ``new`` makes what its name says; a dotted name after it isn't an import's
+    hit = calls.where(~F.col("is_new") | ~F.contains("chain", F.lit("."))).withColumn("local", F.col("base")).join(own, ["path", "local"]).join(spaces, "module", "left").where(F.size(F.split("chain", r"\.")) <= 2)
     hit = hit.withColumn("segments", api_segments(F.col("kind"), F.col("imported"), F.col("local"), method, F.coalesce("_ns", F.lit(False)))).where("size(segments) > 0")
     hit = hit.withColumn("api_key", F.concat_ws(".", F.col("module"), F.concat_ws(".", "segments")))
     direct = hit.select("path", "import_line", "import_code", "line", "code", "api_key", "module", "pos")
@@ -167,38 +170,45 @@ def sink_titles(sinks: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame) -> dict[str, DataFrame]:
-    """Lines, blocks, calls, imports and structs of program files (path, text): each scanned once and written for all further uses."""
-    scanned = {"lines": frames.lines_of(files, ["path"]), "blocks": scanners.scan_blocks(files), "calls": scanners.scan_calls(files), "imports": scanners.scan_imports(files), "structs": scanners.scan_structs(files)}
-    return {k: graphs._cut(df) for k, df in scanned.items()}
+    """Lines, blocks, calls, imports and structs of program files (path, text): each text is read once, the facts written for all further uses."""
+    kinds = ("block", "call", "import", "struct")
+    facts = graphs._cut(scanners.scan_facts(files, *kinds))
+    return {"lines": graphs._cut(frames.lines_of(files, ["path"]))} | {f"{k}s": scanners.facts_of(facts, k) for k in kinds}
 
 
 def declared(sdk_files: DataFrame) -> DataFrame:
     """Declarations with their module by the file's name."""
-    return scanners.scan_declarations(sdk_files).withColumn("module", F.regexp_extract("path", r"(@(?:ohos|kit)\.[^/]+?)\.d\.(?:ts|ets)$", 1))
+    return scan_sdk(sdk_files)["declarations"]
 
 
-def default_exports(sdk_files: DataFrame, declarations: DataFrame) -> DataFrame:
-    """(module, name, kind): what a module exports as its default, and as what it is declared at the top, unknown if it isn't."""
-    named = scanners.scan_defaults(sdk_files).select(F.regexp_extract("path", r"(@(?:ohos|kit)\.[^/]+?)\.d\.(?:ts|ets)$", 1).alias("module"), "name")
-    top = declarations.where("container = '' and kind in ('namespace', 'class', 'function')").groupBy("module", F.col("member").alias("name")).agg(F.min_by("kind", "line").alias("kind"))
-    return named.join(top, ["module", "name"], "left").withColumn("kind", F.coalesce("kind", F.lit("unknown")))
+def scan_sdk(sdk_files: DataFrame) -> dict[str, DataFrame]:
+    """Of declaration files (path, text), one for each module: declarations, default exports (module, name, kind) and kit_exports. Each text is read once."""
+    modules = graphs._cut(sources.sdk_modules(sdk_files))
+    own = sdk_files.join(modules.select("path"), "path", "left_semi")
+    facts = graphs._cut(scanners.scan_facts(own, "declaration", "default", "import", "export"))
+    decl = scanners.facts_of(facts, "declaration").join(modules, "path")
+    named = scanners.facts_of(facts, "default").join(modules, "path").select("module", "name")
+    top = decl.where("container = '' and kind in ('namespace', 'class', 'function')").groupBy("module", F.col("member").alias("name")).agg(F.min_by("kind", "line").alias("kind"))
+    defaults = named.join(top, ["module", "name"], "left").withColumn("kind", F.coalesce("kind", F.lit("unknown")))
+    return {"declarations": decl, "defaults": defaults, "kit_exports": sources.kit_exports(modules, scanners.facts_of(facts, "import"), scanners.facts_of(facts, "export"))}
 
 
-def find_sinks(facts: dict[str, DataFrame], sdk_files: DataFrame | None = None) -> DataFrame:
-    """Calls of imported APIs, from scanned files and declaration files if there are any."""
+def find_sinks(facts: dict[str, DataFrame], sdk: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Calls of imported APIs, from scanned files and what declaration files say, if there are any: names that kits pass on are those of their modules."""
     spark = facts["calls"].sparkSession
     spaces, returns = spark.createDataFrame([], "module string"), spark.createDataFrame([], "module string, member string, type string")
-    if sdk_files is not None:
-        decl = declared(sdk_files)
-        spaces = default_exports(sdk_files, decl).where("kind = 'namespace'").select("module")
-        returns = decl.where("size(returns) > 0").groupBy("module", "member").agg(F.min(F.struct("line", F.col("returns")[0].alias("t"))).alias("x")).select("module", "member", F.col("x.t").alias("type"))
-    return graphs._cut(api_calls(facts["calls"], facts["imports"], spaces, returns))
+    imports = facts["imports"]
+    if sdk is not None:
+        spaces = sdk["defaults"].where("kind = 'namespace'").select("module")
+        returns = sdk["declarations"].where("size(returns) > 0").groupBy("module", "member").agg(F.min(F.struct("line", F.col("returns")[0].alias("t"))).alias("x")).select("module", "member", F.col("x.t").alias("type"))
+        imports = resolve_kits(imports, sdk["kit_exports"])
+    return graphs._cut(api_calls(facts["calls"], imports, spaces, returns))
 
 
 def analyse(files: DataFrame, sdk_files: DataFrame | None = None, facts: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sinks, trimmed edges, flow nodes) of program files (path, text), with declaration files if there are any."""
     facts = facts or scan(files)
-    sinks = find_sinks(facts, sdk_files)
+    sinks = find_sinks(facts, scan_sdk(sdk_files) if sdk_files is not None else None)
     graph = trimmed(call_graph(facts["blocks"], facts["calls"], entry_points(facts["lines"]), sinks))
     return sinks, graph.edges, flows(graph)
 

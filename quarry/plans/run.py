@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import frames, graphs
-from quarry.plans import analysis, features, report, symbols, ui
+from quarry.operators import frames, graphs, lookups
+from quarry.plans import analysis, documents, features, report, symbols, ui
 from quarry.plans import flows as flow_plans
 from quarry.sources import files as sources
 from quarry.sources import writers
@@ -37,19 +37,23 @@ class Run:
     page_index: DataFrame
     permissions: DataFrame
     report: DataFrame
+    files: DataFrame
+    per_flow: DataFrame
+    page_nodes: DataFrame
+    page_edges: DataFrame
+    unmatched: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
 
-def described(sinks: DataFrame, sdk_files: DataFrame | None, knowledge: DataFrame, override: DataFrame) -> DataFrame:
+def described(sinks: DataFrame, declared: dict[str, DataFrame] | None, knowledge: DataFrame, override: DataFrame) -> DataFrame:
     """Sinks with description and permissions: from declarations by the hierarchical lookup, from the tables, from the override."""
     spark = sinks.sparkSession
     kind = "key string, description string, permissions array<string>"
     sdk = spark.createDataFrame([], kind)
-    if sdk_files is not None:
-        decl = analysis.declared(sdk_files)
-        names = analysis.default_exports(sdk_files, decl).select("module", "name")
+    if declared is not None:
+        decl, names = declared["declarations"], declared["defaults"].select("module", "name")
         wanted = sinks.select("module", "api_key").distinct().withColumn("symbol", F.expr("substring(api_key, length(module) + 2)"))
         found = symbols.resolve(wanted, symbols.rooted(decl, names)).where("found is not null")
         sdk = found.select(F.col("api_key").alias("key"), F.coalesce("summary", F.lit("")).alias("description"), F.coalesce("permissions", F.array().cast("array<string>")).alias("permissions"))
@@ -62,8 +66,9 @@ def run(app_files: DataFrame, sdk_files: DataFrame | None = None, knowledge: Dat
     facts = analysis.scan(app_files)
     knowledge = knowledge if knowledge is not None else spark.createDataFrame([], "file string, row long, key string, action string, detail string, permissions string, data string, data_detail string")
     override = override if override is not None else spark.createDataFrame([], "key string, description string")
-    raw = analysis.find_sinks(facts, sdk_files)
-    sinks = graphs._cut(described(raw, sdk_files, knowledge, override))
+    declared = analysis.scan_sdk(sdk_files) if sdk_files is not None else None
+    raw = analysis.find_sinks(facts, declared)
+    sinks = graphs._cut(described(raw, declared, knowledge, override))
     entries = analysis.entry_points(facts["lines"])
     graph = analysis.trimmed(analysis.call_graph(facts["blocks"], facts["calls"], entries, sinks))
     nodes = graphs._cut(graph.nodes.join(analysis.sink_titles(sinks), ["path", "line"], "left"))
@@ -80,13 +85,16 @@ def run(app_files: DataFrame, sdk_files: DataFrame | None = None, knowledge: Dat
     grouped = features.group(flow_nodes, ui_nodes, ui_edges, roots, entries, facts["blocks"], facts["lines"], counts, asked)
     per_flow = grouped.per_flow
     allowed = report.feature_permissions(flow_nodes, per_flow, sinks, sources.api_permissions(knowledge), grouped.pages)
-    kept, _, missing = analysis.reconcile(sources.app_permissions(app_files), allowed.select("permission").distinct(), allowed.withColumn("_p", F.col("permission")), sources.runtime_permissions(app_files))
+    runtime = graphs._cut(sources.runtime_permissions(app_files))
+    inferred = allowed.select("permission").union(sinks.select(F.explode("permissions").alias("permission"))).distinct()
+    kept, _, missing = analysis.reconcile(sources.app_permissions(app_files), inferred, allowed.withColumn("_p", F.col("permission")), runtime)
     kept = graphs._cut(kept.drop("_p"))
+    unmatched = graphs._cut(lookups.flag_member(missing, runtime, ["permission"], "mode", "dynamic", "preauthorized"))
     sentence = T.permission_sentence(F.col("scenario"), F.col("permission"), F.lit(PURPOSE), F.lit(DENIED))
     tokens = kept.select(F.lit("permissions").alias("section"), "feature_id", F.row_number().over(features.W.partitionBy("feature_id").orderBy("permission")).alias("ord"), sentence.alias("text"))
     silent = grouped.features.select("feature_id").join(kept.select("feature_id"), "feature_id", "left_anti")
     tokens = tokens.unionByName(report.placeholder_report(silent, "无权限证据").where("section = 'permissions'").join(kept.select(F.lit(True).alias("_any")).limit(1), F.lit(True), "left").where(F.col("_any").isNull() | (F.col("feature_id") != report.STATUS)).drop("_any"))
-    return Run(sinks, entries, nodes, graph.edges, flow_nodes, flow_edges, ui_nodes, ui_edges, grouped.pages, grouped.features, grouped.index, kept, tokens)
+    return Run(sinks, entries, nodes, graph.edges, flow_nodes, flow_edges, ui_nodes, ui_edges, grouped.pages, grouped.features, grouped.index, kept, tokens, app_files.select("path"), grouped.per_flow, graphs._cut(grouped.nodes), graphs._cut(grouped.edges), unmatched)
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -99,6 +107,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     a.add_argument("--sdk")
     a.add_argument("--csv")
     a.add_argument("--max-paths", type=int)
+    a.add_argument("--stamp", help="the run's name below its app; the present time without it")
+    a.add_argument("--tables", help="also write the run's tables to this folder")
     e = sub.add_parser("evaluate", allow_abbrev=False)
     e.add_argument("--groundtruth", required=True)
     e.add_argument("--runs", required=True)
@@ -127,8 +137,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     sdk = sources.read_texts(spark, args.sdk, (".d.ts", ".d.ets")) if args.sdk else None
     knowledge, override = (sources.read_knowledge(spark, args.csv), sources.override_descriptions(spark, f"{args.csv}/sdk_api_description_override.csv")) if args.csv else (None, None)
     got = run(app, sdk, knowledge, override, most_paths=args.max_paths)
-    writers.write_run(got.tables(), args.out)
-    print(json.dumps({"out": args.out, "rows": {n: df.count() for n, df in got.tables().items()}}))
+    run_id, folder = save(got, args.out, args.app, args.stamp, {"appPath": args.app, "sdkPath": args.sdk or "", "csvDir": args.csv or ""})
+    if args.tables:
+        writers.write_run(got.tables(), args.tables)
+    print(json.dumps({"runId": run_id, "out": folder}))
+
+
+def save(got: Run, root: str, app: str, stamp: str | None = None, given: dict[str, str] | None = None) -> tuple[str, str]:
+    """Write a run's documents to ``root``/app/stamp and register it in ``root``/_runs: (run id, folder)."""
+    now = got.sinks.sparkSession.range(1).select(T.run_stamp(F.current_timestamp()).alias("stamp"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at"), T.app_name(F.lit(app)).alias("app")).first()
+    run_id, folder = f"{now.app}_{stamp or now.stamp}", f"{root.rstrip('/')}/{now.app}/{stamp or now.stamp}"
+    documents.write_run(got, folder, f"{root.rstrip('/')}/_runs", run_id, now.at, given or {}, PURPOSE, DENIED)
+    return run_id, folder
 
 
 if __name__ == "__main__":

@@ -16,7 +16,7 @@ KEY, ACTION, DETAIL, PERMISSIONS, DATA, DATA_DETAIL = "相关API", "敏感行为
 
 def read_texts(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (), pruned: tuple[str, ...] = PRUNED) -> DataFrame:
     """(path, text) of all files below ``root`` whose names end with a suffix, without pruned folders; in no order."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    df = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     if pruned:
         df = df.where(~F.col("path").rlike("/(" + "|".join(p.replace(".", r"\.") for p in pruned) + ")/"))
     if suffixes:
@@ -36,7 +36,7 @@ def app_sources(spark: SparkSession, root: str) -> DataFrame:
 
 def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the CSV tables below ``path`` that have the API column: file, row, key and trimmed cells; files without it give nothing."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("wholetext", True).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True)
     head = F.regexp_replace(F.split(F.col("value"), "\r?\n")[0], "^﻿", "")
     named = raw.select(F.col("_metadata.file_path").alias("file"), head.alias("head"), F.array_contains(F.transform(F.split(head, ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit("")))), KEY).alias("own")).where("own")
     # files with the same heading are read together: a heading each, not a plan for each file
@@ -87,11 +87,19 @@ def sdk_modules(files: DataFrame) -> DataFrame:
     return lookups.first_wins(files.select(m.alias("module"), "path", F.col("path").endswith(".d.ets").alias("late")).where("module <> ''"), ["module"], "late", "path").select("module", "path")
 
 
-def kit_exports(imports: DataFrame, exports: DataFrame) -> DataFrame:
-    """(path, exported, module, imported): what a kit file passes on, through its own imports or straight from a module."""
-    straight = exports.where("module is not null").select("path", "exported", "module", F.col("local").alias("imported"))
-    bound = exports.where("module is null").select("path", "exported", "local").join(imports.select("path", "local", "module", "imported"), ["path", "local"])
-    return straight.unionByName(bound.select("path", "exported", "module", "imported"))
+def kit_exports(modules: DataFrame, imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """(kit, exported, module, kind, imported): what each kit's file passes on, through its own imports or straight from a module; the last of equal names counts.
+
+    ``modules`` (module, path) say which file a kit is. An import that is passed on keeps its kind; what comes straight from a module is its default
+    export or has a name.
+    """
+    kits = modules.where(F.col("module").startswith("@kit.")).select(F.col("module").alias("kit"), "path")
+    own = exports.join(kits, "path")
+    kind = F.when(F.col("local") == "default", "default").otherwise("named")
+    straight = own.where("module is not null").select("kit", "exported", "pos", "module", kind.alias("kind"), F.col("local").alias("imported"))
+    last = lookups.last_wins(imports, ["path", "local"], "import_line").select("path", "local", "module", "kind", "imported")
+    bound = own.where("module is null").drop("module").join(last, ["path", "local"]).select("kit", "exported", "pos", "module", "kind", "imported")
+    return lookups.last_wins(straight.unionByName(bound), ["kit", "exported"], "pos").drop("pos")
 
 
 def string_table(spark: SparkSession, *candidates: str) -> DataFrame:

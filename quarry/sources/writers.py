@@ -13,11 +13,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def csv_lines(df: DataFrame, headers: list[str]) -> DataFrame:
-    """(line): rows as CSV: only cells with quotes, commas or line ends are quoted; nulls are empty. Columns as in ``headers``."""
+def csv_lines(df: DataFrame, headers: list[str], keep: list[str] = ()) -> DataFrame:
+    """(line, and the columns kept): rows as CSV: only cells with quotes, commas or line ends are quoted; nulls are empty. Columns as in ``headers``."""
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     quoted = lambda c: F.when(cell(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(cell(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell(c))
-    return df.select(F.concat_ws(",", *[quoted(c) for c in headers]).alias("line"))
+    return df.select(F.concat_ws(",", *[quoted(c) for c in headers]).alias("line"), *keep)
 
 
 def write_document(df: DataFrame, path: str) -> None:
