@@ -40,6 +40,23 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whole, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def placed_rows(df: DataFrame) -> DataFrame:
+    """(own, place): each row of ``df`` whole as the struct own, and a hash of its file and its place there, so that rows alike in all columns differ, the same at every read.
+
+    What isn't read from files as it is, is written to the shared folder first.
+    """
+    try:
+        about = df.metadataColumn("_metadata")
+        return df.select(F.struct(*[df[quoted(c)] for c in df.columns]).alias("own"), F.xxhash64(about["file_path"], about["row_index"]).alias("place"))
+    except AnalysisException:
+        return placed_rows(staged(df, "rows"))
+
+
 def numbered_rows(df: DataFrame) -> DataFrame:
     """(row, own): each row of ``df`` whole as the struct own, and a long, another number for each row and the same at every read: its file's rank and its place there.
 
@@ -48,7 +65,7 @@ def numbered_rows(df: DataFrame) -> DataFrame:
     """
     try:
         about = df.metadataColumn("_metadata")
-        placed = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("own"), about["file_path"].alias("path"), about["row_index"].alias("at"))
+        placed = df.select(F.struct(*[df[quoted(c)] for c in df.columns]).alias("own"), about["file_path"].alias("path"), about["row_index"].alias("at"))
     except AnalysisException:
         return numbered_rows(staged(df, "rows"))
     names = sorted(r[0] for r in placed.select("path").distinct().collect())

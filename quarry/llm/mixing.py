@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import staged, table
+from quarry.llm.common import placed_rows, quoted, staged, table
 
 #: Documents of a block, and rows in a bucket of the numbering at the average.
 BLOCK_DOCS, BUCKET_ROWS = 64, 512
@@ -47,11 +49,11 @@ def schedule(counts: DataFrame) -> DataFrame:
     return flat.select(F.col("x.key").alias("key"), "first", "last", "base", "size", slots.alias("slots"))
 
 
-def _hashable(docs: DataFrame) -> Column:
-    """A hash of a whole row; columns that Spark can't hash (maps, variants) go in as JSON."""
+def _hashable(docs: DataFrame, own: Callable[[str], Column]) -> Column:
+    """A hash of a whole row, its columns by ``own``; those that Spark can't hash (maps, variants) go in as JSON."""
     odd = [f.name for f in docs.schema if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()]
-    plain = [docs[f"`{c}`"] for c in docs.columns if c not in odd]
-    return F.xxhash64(*plain, *([F.to_json(F.struct(*[docs[f"`{c}`"] for c in odd]))] if odd else []), F.lit(0))
+    plain = [own(c) for c in docs.columns if c not in odd]
+    return F.xxhash64(*plain, *([F.to_json(F.struct(*[own(c) for c in odd]))] if odd else []), F.lit(0))
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -59,21 +61,23 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int
 
     ``weights`` gives whole blocks a cycle for each source; sources that it leaves out, and all without it, are weighted by the square
     root of their rows. No row is dropped: when a source ends, the others keep their proportions. A null source is
-    a source of its own. Within a source, rows go by a hash of id and row, and rows alike in every column are interchangeable.
+    a source of its own. Within a source, rows go by a hash of id, row and place in the files, so that rows alike in every column are spread too.
     An empty table gives an empty result. Columns of ``docs`` called mix_block, mix_slot and mix_rank are replaced; all others are kept, whatever their names and types.
 
     Rows are numbered within a source by buckets of that hash, so that no task gets a source whole, nor all rows of a null or
-    repeated id: counts of (source, bucket) give each bucket's first number. The schedule has a row for each source and
+    repeated id, alike or not: counts of (source, bucket) give each bucket's first number. The schedule has a row for each source and
     each cycle span in which it has blocks, so at most the sources times the different ends of sources; it is written to the shared folder, so
     Spark knows its size and broadcasts it only if that is small, and joins it by source otherwise.
     """
     docs = docs.drop("mix_block", "mix_slot", "mix_rank")
-    source, one = docs[f"`{source_col}`"], _hashable(docs)
+    placed = placed_rows(docs)
+    own = lambda c: F.col(f"own.{quoted(c)}")
+    source, one = own(source_col), _hashable(docs, own)
     key: Column = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
-    h = F.xxhash64(docs[f"`{id_col}`"].cast("string"))
+    h = F.xxhash64(own(id_col).cast("string"))
     buckets = max(1, docs.count() // BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64(h, one), F.lit(buckets))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("own"), key.alias("key"), h.alias("h"), one.alias("one"), bucket.alias("bucket"))
+    bucket = F.pmod(F.xxhash64(h, one, "place"), F.lit(buckets))
+    rows = placed.select("own", "place", key.alias("key"), h.alias("h"), one.alias("one"), bucket.alias("bucket"))
     narrow = rows.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"))
     firsts = narrow.select("key", "bucket", (F.sum("n").over(W.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("first_row"))
     totals = _tempered(narrow.groupBy("key").agg(F.sum("n").alias("n")))
@@ -83,7 +87,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int
     blocks = F.ceil(F.col("n") / block_docs).cast("long").alias("blocks")
     counts = staged(totals.select("key", "k", blocks), "mix-counts")
     plan = staged(schedule(counts).join(counts.select("key", "k"), "key"), "mix-plan")
-    order = W.partitionBy("key", "bucket").orderBy("h", "one")
+    order = W.partitionBy("key", "bucket").orderBy("h", "one", "place")
     numbered = rows.withColumn("at", F.row_number().over(order) - 1).join(firsts, ["key", "bucket"]).withColumn("at", F.col("at") + F.col("first_row"))
     numbered = numbered.select("own", "key", F.expr(f"cast(at div {block_docs} as bigint)").alias("block"), F.expr(f"cast(at % {block_docs} as int)").alias("rank"))
     placed = numbered.join(plan, "key").where("block div k between first and last")

@@ -26,6 +26,8 @@ MAGIC = b"QTOK1"
 SAMPLE_DOCS, PIECE_BYTES, PIECES, DICT_BYTES = 1000, 2048, 4, 65536
 #: A shard row is closed when its frames reach this size.
 SHARD_BYTES = 2 << 20
+#: Characters of a text by which rows of equal id are ordered.
+HEAD = 64
 SHARDS = "part int, seq int, n_docs int, n_tokens long, dict_sha256 string, width int, low_id long, high_id long, doc_ids array<long>, counts array<int>, offsets array<long>, data binary"
 
 
@@ -198,7 +200,7 @@ def write_shards(docs: DataFrame, order: Column, id_col: str, text_col: str, pat
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    src = docs.select(order.alias("k"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    src = docs.select(order.alias("k"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place"))
     raw = train_dictionary(src, tokenizer, end_id)
     digest = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(digest, MAGIC.decode(), bytearray(raw))], "dict_sha256 string, magic string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -230,7 +232,9 @@ def write_shards(docs: DataFrame, order: Column, id_col: str, text_col: str, pat
         finally:
             gc.enable()
 
-    dealt = src.repartitionByRange(parts, "k").sortWithinPartitions("k", "id", "text")
+    # rows of a null or repeated id go by their texts' beginnings, then alike ones by place, so that they are ranges too
+    keys = ["k", "id", F.left("text", F.lit(HEAD)), F.xxhash64("text"), "place"]
+    dealt = src.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     dealt.select("id", "text").mapInArrow(run, SHARDS).write.option("compression", "uncompressed").parquet(f"{path}/shards")
 
 
@@ -244,7 +248,16 @@ def load_dictionary(spark: SparkSession, path: str) -> tuple[bytes, str]:
 
 
 def read_documents(spark: SparkSession, path: str, ids: list[int]) -> dict[int, np.ndarray]:
-    """The ids of a few documents: shards by their least and greatest ids, which Parquet's statistics skip; of these, only the
+    """The token ids of a few documents by id, as ``read_rows`` finds them; an id that several documents have is an error, as they would hide each other."""
+    rows = read_rows(spark, path, ids)
+    out = dict(rows)
+    if len(out) < len(rows):
+        raise ValueError("some documents share an id: take read_rows")
+    return out
+
+
+def read_rows(spark: SparkSession, path: str, ids: list[int]) -> list[tuple[int, np.ndarray]]:
+    """(id, token ids) of all documents with a few ids: shards by their least and greatest ids, which Parquet's statistics skip; of these, only the
     frames that the index names are taken and decompressed."""
     raw, digest = load_dictionary(spark, path)
     within = F.lit(False)
@@ -253,11 +266,11 @@ def read_documents(spark: SparkSession, path: str, ids: list[int]) -> dict[int,
     found = spark.read.parquet(f"{path}/shards").where(within).where(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in ids])))
     one = found.select("dict_sha256", "width", F.explode(F.arrays_zip("doc_ids", "offsets", F.slice("offsets", F.lit(2), F.size("offsets")).alias("ends"))).alias("z"), "data").where(F.col("z.doc_ids").isin(ids))
     frame = F.expr("substring(data, int(z.offsets) + 1, int(coalesce(z.ends, length(data)) - z.offsets))")
-    press, out = zstandard.ZstdDecompressor(dict_data=_dictionary(raw)), {}
+    press, out = zstandard.ZstdDecompressor(dict_data=_dictionary(raw)), []
     for r in one.select("dict_sha256", "width", F.col("z.doc_ids").alias("id"), frame.alias("frame")).collect():
         if r.dict_sha256 != digest:
             raise ValueError("shard and dictionary differ")
-        out[r.id] = np.frombuffer(press.decompress(bytes(r.frame)), dtype=f"<u{r.width}")
+        out.append((r.id, np.frombuffer(press.decompress(bytes(r.frame)), dtype=f"<u{r.width}")))
     return out
 
 
@@ -293,8 +306,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 def token_output(docs: DataFrame, tokenizer: str, order: Column | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, path: str | None = None) -> DataFrame:
     """Write every document's ids as shards, read them back and return a digest of each document.
 
-    A null text is empty: its only id is the end id. Null ids come first and keep their rows, repeated
-    ids are ordered by text. An empty table writes no shard and gives no rows. Other columns are ignored.
+    A null text is empty: its only id is the end id. Null ids come first and keep their rows, rows of null and repeated
+    ids are ordered by the first characters of their texts. An empty table writes no shard and gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     path = path or shared_dir(spark, "tokens")

@@ -328,7 +328,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_docs
     """(doc_id, score, predicted) of every row of ``docs``, with its columns ``carry`` between.
 
     The letter model counts all whole texts. The classifier is fitted on at most ``train_docs`` documents that have a label and
-    satisfy ``learn`` (a condition on doc_id); of several labels of a document the larger counts, null labels and
+    satisfy ``learn`` (a condition on doc_id); of several labels of a document the larger counts, of several rows of an id one text; null labels and
     ids don't. Null and empty texts have no words and get the score of a text without telling words. Null and repeated
     ids keep their rows; columns of ``docs`` that aren't carried are ignored. Without labels, nothing is toxic.
     """
@@ -337,7 +337,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_docs
     # a threshold on the hash leaves some four times as many to sort
     h, share = F.xxhash64("doc_id"), min(1.0, 4 * train_docs / max(1, labels.count()))
     drawn = known.where(h <= min(2**63 - 1, int(share * 2**64) - 2**63)).orderBy(h, "doc_id").limit(train_docs)
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")  # train_docs rows at most
+    met = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")  # train_docs ids at most
+    # of several rows of an id, one: the text with the least hash
+    sample = met.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("doc_id", "one.text", "toxic")
     scorer = fitted(sample, model)
     bounded_batches(docs.sparkSession)
 
