@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import numbered_rows, shared_dir, table
+from quarry.llm.common import numbered_rows, quoted, shared_dir, table
 from quarry.llm.decontaminate import leaks
 from quarry.llm.mixing import mix
 from quarry.llm.simhash import first_of_groups
@@ -20,7 +20,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic; each row is judged by its own text, whatever its id."""
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     carried = [f"_own{k}" for k in range(len(docs.columns))]
-    both = docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in zip(docs.columns, carried)))
+    both = docs.select("doc_id", "text", *(F.col(quoted(c)).alias(n) for c, n in zip(docs.columns, carried)))
     scored = score_toxicity(both, table(spark, sf_dir, "labels"), ~held, carry=tuple(carried))
     return scored.where("predicted = 0").select(*(F.col(n).alias(c) for c, n in zip(docs.columns, carried)))
 
@@ -40,13 +40,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the interleaved sources; the files' order is the order of the rows."""
+    """All documents in the order of the interleaved sources; the files' order is the order of the rows. A null source is one of its own, null and repeated ids keep their rows; no rows give none."""
     own, parts = docs.columns, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mix(docs).repartitionByRange(parts, "mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*own)
+    return mix(docs).repartitionByRange(parts, "mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*map(quoted, own))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of all documents in the order of the files and rows of ``docs``; a digest of each document."""
+    """Token shards of all documents in the order of the files and rows of ``docs``; a digest of each document. A null text has the end id only; null and repeated ids keep their rows; no rows write no shard."""
     import public_tokenizers
 
     own = numbered_rows(docs).select("row", "own.doc_id", "own.text")
@@ -66,7 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``: each is written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``: each is written as Parquet in the shared folder and read again. Columns besides doc_id, text and source are carried, whatever their names; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = shared_dir(spark, f"pipeline-{name}")
