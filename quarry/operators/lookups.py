@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators.needles import text_matches  # noqa: F401: one of the lookups
+
 
 def pick_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in a total order."""
@@ -138,28 +140,6 @@ def argmin(candidates: list[DataFrame], keys: list[str], *order: str) -> DataFra
     return pick_one(both, keys, F.col("strategy"), *[F.col(o) for o in order])
 
 
-#: Characters of the seeds by which needles meet texts.
-GRAM = 4
-
-
-def text_matches(lines: DataFrame, needles: DataFrame, text: str, needle: str, gram: int = GRAM) -> DataFrame:
-    """Pairs of a text and a needle that occurs in it, whatever its signs and wherever it starts; empty needles match nothing.
-
-    A needle goes by its first ``gram`` characters (all, if it is shorter) to the texts that hold these anywhere: an equi join
-    on narrow rows (hash of the text, seed). Pairs that met are joined with the texts and compared in full.
-    """
-    n = needles.where(F.length(needle) > 0)
-    seed = F.substring(F.col(needle), 1, gram)
-    sizes = sorted(r[0] for r in n.select(F.length(seed)).distinct().collect())  # gram at most
-    key = F.xxhash64(F.col(text))
-    pieces = [F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in sizes] or [F.array().cast("array<string>")]
-    seeds = lines.select(key.alias("_key"), F.explode(F.array_distinct(F.concat(*pieces))).alias("_seed"))
-    asked = n.select(F.col(needle).alias("_needle"), seed.alias("_seed")).distinct()
-    met = seeds.join(asked, "_seed").select("_key", "_needle").distinct()
-    found = lines.withColumn("_key", key).join(met, "_key").where(F.contains(F.col(text), F.col("_needle")))
-    return found.join(n.withColumn("_needle", F.col(needle)), "_needle").drop("_key", "_needle")
-
-
 def named_in(lines: DataFrame, names: DataFrame, on: list[str], text: str, name: str) -> DataFrame:
     """Pairs of a line and a name, within equal keys, that the line takes from ``this`` or calls: an equi join on the names in it."""
     own = F.regexp_extract_all(F.col(text), F.lit(r"\bthis\s*\.\s*(\w+)"), F.lit(1))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import frames, graphs, lookups
+from quarry.operators import frames, graphs, lookups, needles
 from quarry.plans import analysis
+from quarry.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -264,7 +265,14 @@ def path_helpers(spark, sf_dir):
     return p.select("page_id", T.route_key(F.concat(F.lit(" /"), r)).alias("route"), T.absolute_path(F.concat(F.lit("/x/../y/.././"), r)).alias("absolute"), T.limit_number(typed).alias("most"))
 
 
-@query()
+def _cut_sql(pattern: str) -> str:
+    """Texts cut by a pattern's matches, parts numbered from 0; empty parts between matches don't count."""
+    split = f"select doc_id, string_split(regexp_replace(text, {pattern}, chr(1) || '\\1' || chr(1), 'g'), chr(1)) as parts from documents where regexp_matches(text, {pattern})"
+    each = f"select doc_id, unnest(parts) as text, generate_subscripts(parts, 1) as i from ({split})"
+    return f"select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as integer) as ord, text, i % 2 = 0 as anchor from ({each}) where text <> ''"
+
+
+@query(_cut_sql("'(the and|the|und|que)'"))
 def tokenise_anchors(spark, sf_dir):
     d = tab(spark, sf_dir, "documents", "doc_id", "text")
     told = d.select("doc_id", F.posexplode(T.tokenise(F.col("text"), ["the", "the and", "und", "que"])).alias("ord", "token"))
@@ -322,6 +330,30 @@ def kit_resolve_left(spark, sf_dir):
     return lookups.lookup(c, n, ["k"], "n_name", F.lit("unresolved")).select("c_custkey", "n_name")
 
 
+_KITS = """(select '@kit.' || r_name as kit, n_name as exported, case when n_nationkey % 4 = 0 then '@ohos.direct' || n_nationkey else '@ohos.m' || n_nationkey end as module,
+  case when n_nationkey % 8 = 0 or n_nationkey % 4 <> 0 and n_nationkey % 3 = 0 then 'default' when n_nationkey % 4 <> 0 and n_nationkey % 3 = 1 then 'namespace' else 'named' end as kind,
+  case when n_nationkey % 8 = 0 or n_nationkey % 4 <> 0 and n_nationkey % 3 = 0 then 'default' when n_nationkey % 4 = 0 then 'thing' when n_nationkey % 3 = 1 then '*' else lower(n_name) end as imported
+  from nation join region on n_regionkey = r_regionkey)"""
+_KIT_IMPORTS = "(select c_custkey, '@kit.' || r_name as module, n_name as imported, case when c_custkey % 7 = 0 then 'default' else 'named' end as kind from customer join nation on c_nationkey = n_nationkey join region on r_regionkey = case when c_custkey % 5 = 0 then (n_regionkey + 1) % 5 else n_regionkey end)"
+
+
+@query(f"select i.c_custkey, coalesce(k.module, i.module) as module, coalesce(k.kind, i.kind) as kind, coalesce(k.imported, i.imported) as imported from {_KIT_IMPORTS} i left join {_KITS} k on i.module = k.kit and i.imported = k.exported and i.kind = 'named'")
+def kit_imports_resolved(spark, sf_dir):
+    n = tab(spark, sf_dir, "nation").join(tab(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    number, path = F.col("n_nationkey"), F.concat(F.lit("sdk/@kit."), F.col("r_name"), F.lit(".d.ts"))
+    modules = files.sdk_modules(n.select(path.alias("path")).distinct())
+    kind = F.when(number % 3 == 0, "default").when(number % 3 == 1, "namespace").otherwise("named")
+    imported = F.when(number % 3 == 0, "default").when(number % 3 == 1, "*").otherwise(F.lower("n_name"))
+    imports = n.where(number % 4 != 0).select(path.alias("path"), F.col("n_name").alias("local"), F.concat(F.lit("@ohos.m"), number).alias("module"), kind.alias("kind"), imported.alias("imported"), number.alias("import_line"))
+    direct = number % 4 == 0
+    exports = n.select(path.alias("path"), F.col("n_name").alias("exported"), F.when(number % 8 == 0, "default").when(direct, "thing").otherwise(F.col("n_name")).alias("local"), F.when(direct, F.concat(F.lit("@ohos.direct"), number)).alias("module"), number.alias("pos"))
+    c = tab(spark, sf_dir, "customer").join(n.select("n_nationkey", "n_name", "n_regionkey"), F.col("c_nationkey") == number)
+    home = F.when(F.col("c_custkey") % 5 == 0, (F.col("n_regionkey") + 1) % 5).otherwise(F.col("n_regionkey"))
+    own = c.join(tab(spark, sf_dir, "region", F.col("r_regionkey").alias("home"), F.col("r_name").alias("home_name")), home == F.col("home"))
+    app = own.select("c_custkey", F.concat(F.lit("@kit."), "home_name").alias("module"), F.when(F.col("c_custkey") % 7 == 0, "default").otherwise("named").alias("kind"), F.col("n_name").alias("imported"))
+    return analysis.resolve_kits(app, files.kit_exports(modules, imports, exports))
+
+
 _BANDS = "(select p_size::bigint as start, (p_size + 5 + p_size % 7)::bigint as stop, count(*)::bigint as n from part group by p_size)"
 
 
@@ -420,6 +452,14 @@ def cascade_argmin(spark, sf_dir):
     return got.select("o_custkey", "o_orderkey", big("strategy").alias("strategy"))
 
 
+@query(_cut_sql("(select '(' || string_agg(a, '|' order by length(a) desc, a) || ')' from (select distinct lang || case when k = 0 then '' else 'te' end as a from documents cross join range(2) r(k) where lang is not null))"))
+def tokenise_by_table(spark, sf_dir):
+    d = tab(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    anchors = d.select(F.explode(F.array("lang", F.concat("lang", F.lit("te")))).alias("a"))
+    told = needles.tokenise(d.select("doc_id", "text"), anchors, "text", "a").select("doc_id", F.posexplode("tokens").alias("ord", "t"))
+    return told.select("doc_id", "ord", "t.text", "t.anchor")
+
+
 _NEEDLES = "(select item_id, case item_id % 4 when 0 then left(text, 24) when 1 then substring(text, 3, 21) when 2 then substring(text, 6, 3) else substring(text, 9, 12) end as needle from benchmark)"
 
 
