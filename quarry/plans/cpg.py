@@ -23,9 +23,15 @@ def kind_rank(labels: Column) -> Column:
     return rank
 
 
-def by_line(nodes: DataFrame) -> DataFrame:
-    """Adds ``place``: a node's number in its file by line, end and id."""
-    return nodes.withColumn("place", F.row_number().over(W.partitionBy("path").orderBy("line", "end_line", "id")))
+def first_nodes(nodes: DataFrame, most: int = FIRST) -> DataFrame:
+    """The first ``most`` nodes of each file by line, end and id."""
+    return lookups.top_k(nodes, ["path"], most, F.col("line"), F.col("end_line"), F.col("id")).drop("rank")
+
+
+def _near(spots: DataFrame, nodes: DataFrame, at: str, below: int, above: int) -> DataFrame:
+    """Pairs of a spot and a node of its file from ``below`` lines before it to ``above`` behind: an equi join on the line, a spot going to each line of its window."""
+    lines = spots.withColumn("line", F.explode(F.sequence(F.col(at) - below, F.col(at) + above)))
+    return lines.join(nodes, ["path", "line"])
 
 
 def _score(target: Column, name: Column | None) -> Column:
@@ -45,13 +51,23 @@ def _best(candidates: list[DataFrame], keys: list[str]) -> DataFrame:
 
 def source_anchors(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """(path, line, function, id, rank): nodes at which a source may begin: functions of its name on its line, then within NEAR
-    lines, then any node of its window, then the file's first nodes."""
+    lines, then any node of its window, then the file's first nodes.
+
+    Nodes are met line by line within the window; only sources that found too few there look at the file's first ones.
+    """
     keys = ["path", "src_line", "function"]
     s = sources.select("path", F.col("line").alias("src_line"), "function").distinct()
-    met = s.join(by_line(nodes), "path").withColumn("score", _score(F.col("src_line"), F.col("function")))
+    scored = lambda df: df.withColumn("score", _score(F.col("src_line"), F.col("function")))
+    met = scored(_near(s, nodes, "src_line", max(BEFORE, NEAR), BEHIND))
     named = met.where(F.array_contains("labels", "Function") & (F.col("name") == F.col("function")))
     off = F.col("line") - F.col("src_line")
-    got = _best([named.where(off == 0), named.where(F.abs(off) <= NEAR), met.where(off.between(-BEFORE, BEHIND)), met.where(F.col("place") <= FIRST)], keys)
+    tiers = [named.where(off == 0), named.where(F.abs(off) <= NEAR), met.where(off.between(-BEFORE, BEHIND))]
+    enough = graphs._cut(_best(tiers, keys))
+    short = s.join(enough.where(F.col("rank") == MOST).select(*keys), keys, "left_anti")
+    rest = scored(short.join(first_nodes(nodes), "path"))
+    some = enough.join(short, keys, "left_semi").join(nodes.select("id", "path", "line", "end_line", "labels", "name"), ["id", "path"])
+    filled = _best([some.withColumn("score", F.col("rank")), rest], keys)
+    got = enough.join(short, keys, "left_anti").unionByName(filled)
     return got.withColumnRenamed("src_line", "line")
 
 
@@ -59,10 +75,12 @@ def sink_anchors(nodes: DataFrame, sinks: DataFrame) -> DataFrame:
     """(path, line, id, rank): nodes at which a sink may be: calls on its line, then within NEAR lines, then functions around it, then any node near."""
     keys = ["path", "sink_line"]
     s = sinks.select("path", F.col("line").alias("sink_line")).distinct()
-    met = s.join(nodes, "path").withColumn("score", _score(F.col("sink_line"), None))
+    scored = lambda df: df.withColumn("score", _score(F.col("sink_line"), None))
+    met = scored(_near(s, nodes, "sink_line", NEAR, NEAR))
     off = F.abs(F.col("line") - F.col("sink_line"))
-    calls, around = met.where(F.array_contains("labels", "Call")), met.where(F.array_contains("labels", "Function") & F.col("sink_line").between(F.col("line"), F.col("end_line")))
-    return _best([calls.where(off == 0), calls.where(off <= NEAR), around, met.where(off <= NEAR)], keys).withColumnRenamed("sink_line", "line")
+    calls = met.where(F.array_contains("labels", "Call"))
+    around = scored(lookups.containing(s, nodes.where(F.array_contains("labels", "Function")), ["path"], "sink_line", "line", "end_line"))
+    return _best([calls.where(off == 0), calls, around, met], keys).withColumnRenamed("sink_line", "line")
 
 
 def local_calls(nodes: DataFrame) -> DataFrame:
@@ -75,12 +93,16 @@ def local_calls(nodes: DataFrame) -> DataFrame:
     qualifier = F.call_function("regexp_extract", F.col("code"), F.concat(F.lit(r"\b([A-Za-z_$][\w$]*)\."), quoted, F.lit(r"\s*\(")), F.lit(1))
     bare = F.regexp_like("code", F.concat(F.lit(r"(?:^|[^.\w$])"), quoted, F.lit(r"\s*\(")))
     kind = F.when(this, "own").when(qualifier != "", "qualified").when(bare, "own")
-    told = call.withColumns({"kind": kind, "signature": F.concat(qualifier, F.lit("."), F.col("name"))})
+    told = call.withColumns({"kind": kind, "qualifier": qualifier})
     own = told.where("kind = 'own'").select("id", "path", "line", F.col("name").alias("wanted"))
     referred = call.select("id", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"\bthis\.([A-Za-z_$][\w$]*)\b"), F.lit(1)))).alias("wanted"))
     same = own.unionByName(referred).distinct()
     here = same.join(fn, (F.col("wanted") == F.col("to_name")) & (F.col("path") == F.col("to_path")))
-    there = told.where("kind = 'qualified'").join(fn, F.col("name") == F.col("to_name")).where(F.contains("text", F.col("signature")))
+    # a function answers to every end of a name that stands before its own with a dot
+    before = F.call_function("regexp_extract_all", F.col("text"), F.concat(F.lit(r"([\w$]+)\.(?=\Q"), F.col("to_name"), F.lit(r"\E)")), F.lit(1))
+    ends = F.flatten(F.transform(before, lambda q: F.transform(F.sequence(F.lit(1), F.length(q)), lambda i: F.substring(q, i, F.length(q)))))
+    answers = fn.withColumn("qualifier", F.explode(F.array_distinct(ends))).withColumnRenamed("to_name", "name")
+    there = told.where("kind = 'qualified'").join(answers, ["name", "qualifier"])
     cols = ["id", "path", "line", "to", "to_path", "to_line"]
     met = here.select(*cols).unionByName(there.select(*cols)).where("id <> to").distinct()
     kept = lookups.top_k(met, ["id"], MOST, F.col("path") != F.col("to_path"), F.abs(F.col("to_line") - F.col("line")), F.col("to"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import lookups
+from quarry.operators import graphs, lookups
+from quarry.sources import splits
 
 #: Folders that are never scanned.
 PRUNED = ("node_modules", ".git", "build", "dist", "out", "hvigor")
@@ -118,18 +119,22 @@ def string_table(spark: SparkSession, *candidates: str) -> DataFrame:
     return spark.createDataFrame([], "name string, value string")
 
 
-_CPG = "nodes array<struct<id:long,labels:array<string>,properties:struct<artifact:string,startLine:int,endLine:int,code:string,name:string,localName:string,fullName:string>>>, edges array<struct<type:string,startNode:long,endNode:long>>"
+_NODE = "id long, labels array<string>, properties struct<artifact:string,startLine:int,endLine:int,code:string,name:string,localName:string,fullName:string>"
+_EDGE = "type string, startNode long, endNode long"
 #: Edge types that are kept.
 EDGE_TYPES = ("AST", "INVOKES", "EOG", "DFG", "PDG")
 
 
-def read_cpg(spark: SparkSession, path: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a code property graph in JSON: nodes of the scanned files (path) with labels and a line, edges between them."""
-    doc = spark.read.schema(_CPG).json(path, multiLine=True)
-    n = doc.select(F.explode("nodes").alias("n")).select("n.id", "n.labels", F.regexp_replace(F.trim("n.properties.artifact"), "^file:(//)?", "").alias("path"), F.col("n.properties.startLine").alias("line"), F.col("n.properties.endLine").alias("end_line"), F.col("n.properties.code").alias("code"), F.coalesce(F.nullif(F.trim("n.properties.localName"), F.lit("")), F.col("n.properties.name")).alias("name"))
+def read_cpg(spark: SparkSession, path: str, files: DataFrame, size: int = splits.RANGE) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a code property graph in one JSON document: nodes of the scanned files (path) with labels and a line, edges between them.
+
+    The document is read by a task for every ``size`` bytes, and its records are written once for both.
+    """
+    own = graphs._cut(splits.json_records(spark, path, size).where(F.col("list").isin("nodes", "edges")))
+    n = own.where("list = 'nodes'").select(F.from_json("record", _NODE).alias("n")).select("n.id", "n.labels", F.regexp_replace(F.trim("n.properties.artifact"), "^file:(//)?", "").alias("path"), F.col("n.properties.startLine").alias("line"), F.col("n.properties.endLine").alias("end_line"), F.col("n.properties.code").alias("code"), F.coalesce(F.nullif(F.trim("n.properties.localName"), F.lit("")), F.col("n.properties.name")).alias("name"), F.col("n.properties.fullName").alias("full_name"))
     n = n.where("id is not null and size(labels) > 0 and line >= 1").where(~F.exists("labels", lambda x: x.startswith("Problem")))
-    n = n.withColumn("end_line", F.greatest("line", F.coalesce("end_line", "line"))).join(files.select("path").distinct(), "path", "left_semi")
-    e = doc.select(F.explode("edges").alias("e")).select(F.col("e.startNode").alias("src"), F.col("e.endNode").alias("dst"), F.col("e.type").alias("type")).where(F.col("type").isin(*EDGE_TYPES))
+    n = n.withColumn("end_line", F.greatest("line", F.coalesce("end_line", "line"))).join(files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path")).distinct(), "path", "left_semi")
+    e = own.where("list = 'edges'").select(F.from_json("record", _EDGE).alias("e")).select(F.col("e.startNode").alias("src"), F.col("e.endNode").alias("dst"), F.col("e.type").alias("type")).where(F.col("type").isin(*EDGE_TYPES))
     ids = n.select("id").distinct()
     e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return n, e.select("src", "dst", "type")
