@@ -21,6 +21,8 @@ TRAIN_DOCS = 20_000
 LEAST_ODDS = 4.0
 #: Lengths of beginnings that are features.
 STEMS = (4, 5, 6, 7)
+#: Letters of a word that is looked for in pieces with blanks between.
+LEAST_CHUNKED = 5
 #: Symbols of the language model: 0 a word's edge, 1-26 a-z, 27 any other letter.
 SYMBOLS = 28
 #: What a sign can stand for in disguised words.
@@ -40,6 +42,9 @@ _SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
 _MARKS = re.compile(r"""^[(<\["'“‘]+|[!?.,;:)>\]"'”’]+$""")
 _BARS = re.compile(r"""^[(<\["'“‘|]+|[!?.,;:)>\]"'”’|+]+$""")
 _PLAIN_END = re.compile(r"[!|+$@]+$")
+#: Rows of three or more tokens that may be single characters, and of two or more pieces that may make a word.
+_SHORT = re.compile(r"(?<!\S)\S{1,4}(?:\s+\S{1,4}(?!\S)){2,}(?!\S)")
+_PIECES = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3}(?!\S))+")
 
 
 def symbol(c: str) -> int:
@@ -179,7 +184,7 @@ class Restorer:
     """Restored words of a text, keeping what tokens seen before, and disguises within them, stand for."""
 
     def __init__(self, model: list, keep: int = 50_000):
-        self.model, self.seen, self.decoded = model, Kept(keep), Kept(keep)
+        self.model, self.seen, self.decoded, self.bares = model, Kept(keep), Kept(keep), Kept(keep)
 
     def decode(self, x: str) -> list[str]:
         if x.isalpha() and (plain := undoubled(x, self.model)) is not None:
@@ -218,7 +223,8 @@ class Restorer:
 
     def words(self, text: str | None) -> dict[str, int]:
         """How often each restored word occurs, a text's distinct tokens being restored once."""
-        tokens = Counter((text or "").lower().split())
+        low = (text or "").lower()
+        tokens = Counter(low.split())
         found: dict[str, int] = {}
         for t, n in tokens.items():
             if len(t) > 64:
@@ -227,18 +233,55 @@ class Restorer:
                 self.seen.put(t, got := self.token(t))
             for w in got:
                 found[w] = found.get(w, 0) + n
-        if sum(len(t) == 1 or len(_MARKS.sub("", t)) == 1 for t in tokens if len(t) <= 4) >= 2:
+        for w in self.single(low, tokens):
+            found[w] = found.get(w, 0) + 1
+        return found
+
+    def bare(self, t: str) -> str:
+        """The one character that a short token is without marks around it, else nothing."""
+        got = self.bares.get(t)
+        if got is None:
+            left = t if len(t) == 1 else _MARKS.sub("", t)
+            self.bares.put(t, got := left if len(left) == 1 else "")
+        return got
+
+    def single(self, low: str, tokens: Iterable[str]) -> list[str]:
+        """Words spelt in single characters, three or more in a row; a mark behind one ends the row."""
+        if sum(len(t) <= 4 and bool(self.bare(t)) for t in tokens) < 2:
+            return []
+        out: list[str] = []
+        for m in _SHORT.finditer(low):
             run: list[str] = []
-            for t in [*(text or "").lower().split(), ""]:
-                bare = t if len(t) == 1 else _MARKS.sub("", t) if len(t) <= 4 else ""
-                if len(bare) == 1:
+            for t in [*m[0].split(), ""]:
+                bare = self.bare(t) if t else ""
+                if bare:
                     run.append(bare)
-                if len(bare) != 1 or (len(t) > 1 and t[-1] != bare):
+                if not bare or (len(t) > 1 and t[-1] != bare):
                     if len(run) >= 3:
-                        for w in self.spaced(run):
-                            found[w] = found.get(w, 0) + 1
+                        out += self.spaced(run)
                     run = []
-        return found
+        return out
+
+    def chunked(self, low: str, known: frozenset[str], longest: int) -> list[str]:
+        """Words among ``known`` that are spelt in short pieces with blanks between, where the letter model too reads the pieces as that word.
+
+        The lattice lets every blank, and the signs within pieces, stand for nothing; it is asked only where the letters of pieces in a row are a known word.
+        """
+        out: list[str] = []
+        for m in _PIECES.finditer(low):
+            pieces = m[0].split()
+            letters = [t if t.isalpha() else "".join(c for c in t if c.isalpha()) for t in pieces]
+            for i, joined in enumerate(letters[:-1]):
+                if joined:
+                    for j in range(i + 1, len(letters)):
+                        if not letters[j]:
+                            break
+                        joined += letters[j]
+                        if joined in known and joined in self.decode(" ".join(pieces[i : j + 1])):
+                            out.append(joined)
+                        if len(joined) >= longest:
+                            break
+        return out
 
 
 def features(word: str) -> list[str]:
@@ -250,21 +293,48 @@ class Scorer:
     """Log-odds that a text is toxic: a logistic regression on what its telling features weigh."""
 
     def __init__(self, model: list, weights: dict[str, float], beta: np.ndarray | None = None):
-        self.restore, self.weights, self.beta, self.known = Restorer(model), weights, beta, Kept(50_000)
+        self.restore, self.weights, self.beta, self.known = Restorer(model, 20_000), weights, beta, Kept(150_000)
+        whole = frozenset(w for w in weights if not w.endswith("*") and len(w) >= LEAST_CHUNKED)
+        self.whole, self.longest = whole, max(map(len, whole), default=0)
+
+    def weight(self, word: str) -> float:
+        return max((self.weights[f] for f in features(word) if f in self.weights), default=0.0)
+
+    def token(self, t: str) -> int | tuple[int, dict[str, float]]:
+        """What a token adds: how many words, and the weights of those that have one."""
+        known = self.known.get(t)
+        if known is None:
+            words = self.restore.token(t)
+            heavy = {w: x for w in words if (x := self.weight(w))}
+            known = (len(words), heavy) if heavy else len(words)
+            if len(t) <= 64:
+                self.known.put(t, known)
+        return known
 
     def row(self, text: str | None) -> list[float]:
         """[1, weight of the strongest word, weights of all words a hundred, their sum with diminishing returns, size]."""
-        words, known, hits, n = self.restore.words(text), self.known, [], 0
-        for w, k in words.items():
-            n += k
-            weight = known.get(w)
-            if weight is None:
-                weight = max((self.weights[f] for f in features(w) if f in self.weights), default=0.0)
-                known.put(w, weight)
-            if weight:
-                hits.append(weight)
-        total = sum(hits)
-        return [1.0, max(hits, default=0.0), 20 * total / (n + 20), math.log1p(total), math.log1p(n) / 5]
+        low = (text or "").lower()
+        tokens, young, n = Counter(low.split()), self.known.young, 0
+        hits: dict[str, float] = {}
+        for t, k in tokens.items():
+            told = young.get(t)
+            if told is None:
+                told = self.token(t)
+                young = self.known.young
+            if told.__class__ is int:
+                n += k * told
+            else:
+                n += k * told[0]
+                hits |= told[1]
+        spelt = self.restore.single(low, tokens)
+        if self.whole:
+            spelt += self.restore.chunked(low, self.whole, self.longest)
+        n += len(spelt)
+        for w in spelt:
+            if w not in hits and (x := self.weight(w)):
+                hits[w] = x
+        total = sum(hits.values())
+        return [1.0, max(hits.values(), default=0.0), 20 * total / (n + 20), math.log1p(total), math.log1p(n) / 5]
 
     def __call__(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, float(np.dot(self.beta, self.row(text)))))))

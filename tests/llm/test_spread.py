@@ -90,3 +90,15 @@ def test_empty_tables_and_clashing_columns(spark):
     assert {(r.doc_id, r.lang_pred) for r in language.predict_language(odd, labelled).collect()} == {(1, "en"), (None, "und")}
     assert language.predict_language(odd.limit(0), labelled).count() == 0
     assert language.predict_language(odd, labelled.limit(0)).count() == 3
+
+
+def test_words_spelt_in_pieces_are_restored(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    model = toxicity.language_model(toxicity.letter_counts(docs))
+    weights = {"stupid": 4.0, "clown": 3.0, "idio*": 2.0}
+    score = toxicity.Scorer(model, weights, [-4.0, 1.0, 0.0, 0.0, 0.0])
+    for piece in ("stupid", "stu pid", "st up id", "s t u p id", "s-t u-p i-d", "s t u p i d", "stuupid", "$tup1d", "s.t.u.p.i.d", "cl own", "c l o w n"):
+        assert score(f"you are {piece} said he") > 0.25, piece
+    clean = "you are st and up in the id of a s t"
+    assert score(clean) < 0.05
+    assert all(score(r.text) < 0.05 for r in docs.where("not text rlike '(?i)st?upid|clown|idio'").limit(100).collect())
