@@ -26,8 +26,6 @@ MAGIC = b"QTOK1"
 SAMPLE_DOCS, PIECE_BYTES, PIECES, DICT_BYTES = 1000, 2048, 4, 65536
 #: A shard row is closed when its frames reach this size.
 SHARD_BYTES = 2 << 20
-#: Characters of a text by which rows of equal id are ordered.
-HEAD = 64
 SHARDS = "part int, seq int, n_docs int, n_tokens long, dict_sha256 string, width int, low_id long, high_id long, doc_ids array<long>, counts array<int>, offsets array<long>, data binary"
 
 
@@ -232,8 +230,8 @@ def write_shards(docs: DataFrame, order: Column, id_col: str, text_col: str, pat
         finally:
             gc.enable()
 
-    # rows of a null or repeated id go by their texts' beginnings, then alike ones by place, so that they are ranges too
-    keys = ["k", "id", F.left("text", F.lit(HEAD)), F.xxhash64("text"), "place"]
+    # rows of a null or repeated id go by their places, so that they are ranges too; no key needs the text, so ranges are found without it
+    keys = ["k", "id", "place"]
     dealt = src.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     dealt.select("id", "text").mapInArrow(run, SHARDS).write.option("compression", "uncompressed").parquet(f"{path}/shards")
 
@@ -307,7 +305,7 @@ def token_output(docs: DataFrame, tokenizer: str, order: Column | None = None, i
     """Write every document's ids as shards, read them back and return a digest of each document.
 
     A null text is empty: its only id is the end id. Null ids come first and keep their rows, rows of null and repeated
-    ids are ordered by the first characters of their texts. An empty table writes no shard and gives no rows. Other columns are ignored.
+    ids go by their places in the table. An empty table writes no shard and gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     path = path or shared_dir(spark, "tokens")
