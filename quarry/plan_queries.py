@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import frames, graphs
 from quarry.plans import cpg, features, flows, report, symbols, ui
-from quarry.queries import _BLANK, SPARSE, big, micros, nodes, query, sparse_graph, tab
+from quarry.queries import _BLANK, SPARSE, _sql, big, micros, nodes, query, sparse_graph, tab
 
 # --- pages and features ---
 
@@ -187,6 +187,28 @@ def shortest_path_priorities(spark, sf_dir):
     return got.select("node", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"))
 
 
+_STEPS = "(select p_partkey as src, (p_partkey * 7 + 3) % (select max(p_partkey) from part) + 1 as dst, ['AST', 'DFG', 'EOG', 'PDG'][1 + p_partkey % 4] as type from part union all select p_partkey, (p_partkey * 5 + 11) % (select max(p_partkey) from part) + 1, 'EOG' from part)"
+
+
+@query(f"""with recursive a as (select path, line, function, id, rank from ({_sql['source_anchor_ranks']}) where line < 30), b as (select path, line, id, rank from ({_sql['sink_anchor_ranks']}) where line > 60),
+  w as (select distinct id as source, id as node, 0 as hops from a union select w.source, e.dst, w.hops + 1 from w join {_STEPS} e on e.src = w.node where w.hops < 5),
+  d as (select source, node, min(hops) as hops from w group by all)
+  select a.path as source_path, a.line as source_line, a.function, b.path as sink_path, b.line as sink_line, d.hops::bigint as hops, a.id as first_id, b.id as last_id from d join a on a.id = d.source join b on b.id = d.node
+  qualify row_number() over (partition by a.path, a.line, a.function, b.path, b.line order by d.hops, a.rank, b.rank) = 1""")
+def path_matches(spark, sf_dir):
+    n = graphs._cut(part_nodes(spark, sf_dir).withColumns({"code": F.lit(""), "full_name": F.lit("")}))
+    p = tab(spark, sf_dir, "part", big("p_partkey").alias("src"))
+    top = p.agg(F.max("src").alias("top"))
+    p = p.crossJoin(F.broadcast(top))  # one row
+    kinds = F.array(*map(F.lit, ("AST", "DFG", "EOG", "PDG")))
+    e = p.select("src", ((F.col("src") * 7 + 3) % F.col("top") + 1).alias("dst"), F.element_at(kinds, (F.col("src") % 4 + 1).cast("int")).alias("type"))
+    e = e.unionByName(p.select("src", ((F.col("src") * 5 + 11) % F.col("top") + 1).alias("dst"), F.lit("EOG").alias("type")))
+    spots = supplier_spots(spark, sf_dir)
+    got = cpg.path_matches(n, e, spots.where("line < 30"), spots.where("line > 60").drop("function"), hops=5)
+    first, last = F.col("ids")[0], F.element_at("ids", -1)
+    return got.select("source_path", big("source_line").alias("source_line"), "function", "sink_path", big("sink_line").alias("sink_line"), (F.size("ids") - 1).cast("long").alias("hops"), first.alias("first_id"), last.alias("last_id"))
+
+
 # --- symbols, routes, reports ---
 
 _DECLS = "(select 'm' as module, '' as container, r_name as member, 'namespace' as kind, 'about ' || r_name as summary, r_regionkey as line from region union all select 'm', r_name, n_name, 'function', case when n_nationkey % 3 = 0 then '' else 'nation ' || n_name end, 100 + n_nationkey from nation join region on n_regionkey = r_regionkey union all select 'm', '', n_name, 'function', 'top ' || n_name, 200 + n_nationkey from nation where n_nationkey % 6 = 0)"

@@ -116,14 +116,14 @@ def search_edges(edges: DataFrame, local: DataFrame) -> DataFrame:
     return both.withColumn("priority", F.element_at(rank, F.col("type"))).groupBy("src", "dst").agg(F.min("priority").alias("priority"))
 
 
-def path_matches(nodes: DataFrame, edges: DataFrame, sources: DataFrame, sinks: DataFrame, most: int | None = None) -> DataFrame:
+def path_matches(nodes: DataFrame, edges: DataFrame, sources: DataFrame, sinks: DataFrame, most: int | None = None, hops: int = HOPS) -> DataFrame:
     """(source_path, source_line, function, sink_path, sink_line, ids): for each source and sink the shortest of the ways between their anchors.
 
     All source anchors are searched at once, frontier by frontier; of ways as short, the first anchors' count. ``most`` keeps the first matches by source and sink.
     """
     froms = source_anchors(nodes, sources).select(F.col("path").alias("source_path"), F.col("line").alias("source_line"), "function", F.col("id").alias("source"), F.col("rank").alias("a"))
     tos = sink_anchors(nodes, sinks).select(F.col("path").alias("sink_path"), F.col("line").alias("sink_line"), F.col("id").alias("node"), F.col("rank").alias("b"))
-    ways = graphs.shortest_paths(search_edges(edges, local_calls(nodes)), froms.select(F.col("source").alias("node")).distinct(), HOPS)
+    ways = graphs.shortest_paths(search_edges(edges, local_calls(nodes)), froms.select(F.col("source").alias("node")).distinct(), hops)
     met = ways.join(tos, "node").join(froms, "source")
     keys = ["source_path", "source_line", "function", "sink_path", "sink_line"]
     best = lookups.pick_one(met, keys, F.col("hops"), F.col("a"), F.col("b")).select(*keys, F.col("path").alias("ids"))

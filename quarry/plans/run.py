@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import frames, graphs, lookups
-from quarry.plans import analysis, documents, features, report, symbols, ui
+from quarry.plans import analysis, cpg, documents, features, report, symbols, ui
 from quarry.plans import flows as flow_plans
 from quarry.sources import files as sources
 from quarry.sources import writers
@@ -60,8 +60,11 @@ def described(sinks: DataFrame, declared: dict[str, DataFrame] | None, knowledge
     return analysis.describe(sinks, sdk, sources.api_descriptions(knowledge), override, sources.api_permissions(knowledge))
 
 
-def run(app_files: DataFrame, sdk_files: DataFrame | None = None, knowledge: DataFrame | None = None, override: DataFrame | None = None, said: DataFrame | None = None, most_paths: int | None = None) -> Run:
-    """The tables of a run over program files (path, text). ``said`` are a model's answers by path, if there is one; without, flows are made of their anchors."""
+def run(app_files: DataFrame, sdk_files: DataFrame | None = None, knowledge: DataFrame | None = None, override: DataFrame | None = None, said: DataFrame | None = None, most_paths: int | None = None, graph: tuple[DataFrame, DataFrame] | None = None) -> Run:
+    """The tables of a run over program files (path, text). ``said`` are a model's answers by path, if there is one; without, flows are made of their anchors.
+
+    With the (nodes, edges) of a code property graph as ``graph``, the call graph and its paths are the shortest ways in it, else those of the scanned calls.
+    """
     spark = app_files.sparkSession
     facts = analysis.scan(app_files)
     knowledge = knowledge if knowledge is not None else spark.createDataFrame([], "file string, row long, key string, action string, detail string, permissions string, data string, data_detail string")
@@ -70,11 +73,17 @@ def run(app_files: DataFrame, sdk_files: DataFrame | None = None, knowledge: Dat
     raw = analysis.find_sinks(facts, declared)
     sinks = graphs._cut(described(raw, declared, knowledge, override))
     entries = analysis.entry_points(facts["lines"])
-    graph = analysis.trimmed(analysis.call_graph(facts["blocks"], facts["calls"], entries, sinks))
-    nodes = graphs._cut(graph.nodes.join(analysis.sink_titles(sinks), ["path", "line"], "left"))
+    if graph is None:
+        calls = analysis.trimmed(analysis.call_graph(facts["blocks"], facts["calls"], entries, sinks))
+        found, edges, paths = calls.nodes, calls.edges, graphs.simple_paths(calls.edges, calls.sources, calls.sinks, most=most_paths)
+    else:
+        found, edges, paths = cpg.call_graph_of(graphs._cut(cpg.path_matches(*graph, entries, sinks, most_paths)), graph[0])
+        spots = sinks.groupBy("path", "line").agg(F.array_join(F.sort_array(F.collect_set("api_key")), ",").alias("api_keys"), F.lit("sinkCall").alias("type"))
+        found = found.join(spots, ["path", "line", "type"], "left")
+    edges, paths = graphs._cut(edges), graphs._cut(paths)
+    nodes = graphs._cut(found.join(analysis.sink_titles(sinks), ["path", "line"], "left"))
     code = facts["lines"].select("path", F.col("line_no").alias("line"), F.trim("line").alias("code"))
     anchors = nodes.join(code, ["path", "line"], "left").withColumn("name", F.coalesce("name", "api_keys"))
-    paths = graphs._cut(graphs.simple_paths(graph.edges, graph.sources, graph.sinks, most=most_paths))
     flow_nodes, flow_edges = flow_plans.build_flows(paths, anchors, facts["lines"], entries, said)
     flow_nodes, flow_edges = graphs._cut(flow_nodes), graphs._cut(flow_edges)
     ui_nodes, ui_edges, roots = ui.build_tree(app_files, facts["structs"], facts["blocks"])
@@ -94,7 +103,7 @@ def run(app_files: DataFrame, sdk_files: DataFrame | None = None, knowledge: Dat
     tokens = kept.select(F.lit("permissions").alias("section"), "feature_id", F.row_number().over(features.W.partitionBy("feature_id").orderBy("permission")).alias("ord"), sentence.alias("text"))
     silent = grouped.features.select("feature_id").join(kept.select("feature_id"), "feature_id", "left_anti")
     tokens = tokens.unionByName(report.placeholder_report(silent, "无权限证据").where("section = 'permissions'").join(kept.select(F.lit(True).alias("_any")).limit(1), F.lit(True), "left").where(F.col("_any").isNull() | (F.col("feature_id") != report.STATUS)).drop("_any"))
-    return Run(sinks, entries, nodes, graph.edges, flow_nodes, flow_edges, ui_nodes, ui_edges, grouped.pages, grouped.features, grouped.index, kept, tokens, app_files.select("path"), grouped.per_flow, graphs._cut(grouped.nodes), graphs._cut(grouped.edges), unmatched)
+    return Run(sinks, entries, nodes, edges, flow_nodes, flow_edges, ui_nodes, ui_edges, grouped.pages, grouped.features, grouped.index, kept, tokens, app_files.select("path"), grouped.per_flow, graphs._cut(grouped.nodes), graphs._cut(grouped.edges), unmatched)
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -107,13 +116,18 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     a.add_argument("--sdk")
     a.add_argument("--csv")
     a.add_argument("--max-paths", type=int)
+    a.add_argument("--backend", choices=("calls", "cpg"), default="calls", help="where paths come from: the scanned calls, or a code property graph")
+    a.add_argument("--graph", help="JSON document of the code property graph, with --backend cpg")
     a.add_argument("--stamp", help="the run's name below its app; the present time without it")
     a.add_argument("--tables", help="also write the run's tables to this folder")
     e = sub.add_parser("evaluate", allow_abbrev=False)
     e.add_argument("--groundtruth", required=True)
     e.add_argument("--runs", required=True)
     e.add_argument("--format", choices=("table", "json"), default="table")
-    return p.parse_args(argv)
+    args = p.parse_args(argv)
+    if args.command == "analyse" and (args.backend == "cpg") != bool(args.graph):
+        p.error("--backend cpg goes with --graph")
+    return args
 
 
 def evaluate(spark: SparkSession, truth: str, runs: str) -> DataFrame:
@@ -133,11 +147,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         rows = report.evaluation_table(got) if args.format == "table" else got.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
         print("\n".join(r.line for r in rows.collect()))  # a row for each app
         return
-    app = sources.app_sources(spark, args.app)
+    app = sources.app_sources(spark, args.app).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
     sdk = sources.read_texts(spark, args.sdk, (".d.ts", ".d.ets")) if args.sdk else None
     knowledge, override = (sources.read_knowledge(spark, args.csv), sources.override_descriptions(spark, f"{args.csv}/sdk_api_description_override.csv")) if args.csv else (None, None)
-    got = run(app, sdk, knowledge, override, most_paths=args.max_paths)
-    run_id, folder = save(got, args.out, args.app, args.stamp, {"appPath": args.app, "sdkPath": args.sdk or "", "csvDir": args.csv or ""})
+    graph = sources.read_cpg(spark, args.graph, app) if args.backend == "cpg" else None
+    got = run(app, sdk, knowledge, override, most_paths=args.max_paths, graph=graph)
+    run_id, folder = save(got, args.out, args.app, args.stamp, {"appPath": args.app, "sdkPath": args.sdk or "", "csvDir": args.csv or "", "graphBackend": args.backend})
     if args.tables:
         writers.write_run(got.tables(), args.tables)
     print(json.dumps({"runId": run_id, "out": folder}))

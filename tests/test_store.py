@@ -161,3 +161,22 @@ def test_many_calls_take_time_in_proportion():
     start = time.process_time()
     assert sum(1 for _ in scanners.calls(text)) == 24_000
     assert time.process_time() - start < 6
+
+
+def test_a_run_over_a_property_graph(spark, tmp_path):
+    app = tmp_path / "in/Demo/src/main/ets/pages"
+    app.mkdir(parents=True)
+    (app / "Index.ets").write_text(APP)
+    place = {"artifact": f"file://{app}/Index.ets"}
+    node = lambda i, label, line, end, name: {"id": i, "labels": [label], "properties": {**place, "startLine": line, "endLine": end, "name": name, "code": name}}
+    nodes = [node(1, "Function", 8, 12, "build"), node(2, "Call", 10, 10, "open"), node(3, "Function", 13, 18, "open"), node(4, "Call", 14, 14, "pushUrl"), node(5, "Block", 40, 50, "far"), *(node(k, "Block", 8, 8, "near") for k in range(11, 17))]
+    edges = [{"type": t, "startNode": a, "endNode": b} for t, a, b in (("EOG", 1, 2), ("INVOKES", 2, 3), ("EOG", 3, 4), ("AST", 4, 5))]
+    (tmp_path / "g.json").write_text(json.dumps({"nodes": nodes, "edges": edges}))
+    got = run.run(table(spark, [(f"{app}/Index.ets", APP)]), table(spark, SDK), graph=files.read_cpg(spark, str(tmp_path / "g.json"), table(spark, [(f"{app}/Index.ets", APP)]), size=200))
+    first = [r for r in got.flow_nodes.orderBy("flow_id", "ord").collect() if r.flow_id == "flow:p1"]
+    # the shortest way ends at the function around the sink, which is one of the sink's anchors
+    assert [(r.line, r.code.strip()[:20]) for r in first] == [(8, "build() {"), (10, "this.open();"), (14, "router.pushUrl({ url")]
+    assert {(r.type, r.line) for r in got.nodes.where("type <> 'sinkCall'").collect()} >= {("source", 8), ("function", 10)}
+    assert "@ohos.router.pushUrl" in {r.api_keys for r in got.nodes.collect()}
+    with pytest.raises(SystemExit):
+        run.arguments(["analyse", "--app", "a", "--out", "b", "--backend", "cpg"])
