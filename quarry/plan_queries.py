@@ -12,7 +12,7 @@ from quarry.queries import _BLANK, SPARSE, _sql, big, micros, nodes, query, spar
 # --- pages and features ---
 
 _FLOW_NODES = "(select user_id::varchar as flow_id, row_number() over (partition by user_id order by ts, event_id)::int as ord, event_type as path, (event_id % 50)::int as line from events)"
-_SOURCES = "(select distinct case p_size % 4 when 0 then 'click' when 1 then 'view' when 2 then 'purchase' else 'error' end as path, (p_partkey % 50)::int as line, case when p_partkey % 3 = 0 then 'build' else p_brand end as function from part where p_partkey % 11 = 0)"
+_SOURCES = "(select distinct case p_size % 4 when 0 then 'click' when 1 then 'view' when 2 then 'purchase' else 'error' end as path, (p_partkey % 50)::int as line, case when p_partkey % 3 = 0 then 'build' else p_brand end as function from part)"
 
 
 def flow_steps(spark, sf_dir):
@@ -23,7 +23,7 @@ def flow_steps(spark, sf_dir):
 
 @query(f"select flow_id, s.path, s.line::bigint as line, function from {_FLOW_NODES} n join {_SOURCES} s on n.path = s.path and n.line = s.line qualify row_number() over (partition by flow_id order by ord, function <> 'build', function) = 1")
 def flow_source_first(spark, sf_dir):
-    p = tab(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand").where("p_partkey % 11 = 0")
+    p = tab(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand")
     k = F.col("p_size") % 4
     s = p.select(F.when(k == 0, "click").when(k == 1, "view").when(k == 2, "purchase").otherwise("error").alias("path"), (F.col("p_partkey") % 50).cast("int").alias("line"), F.when(F.col("p_partkey") % 3 == 0, "build").otherwise(F.col("p_brand")).alias("function")).distinct()
     got = features.flow_sources(flow_steps(spark, sf_dir), s)
@@ -40,7 +40,7 @@ def nation_pages(spark, sf_dir):
     return n.select(F.concat(F.lit("p"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("page_id"), (F.col("k") % 5 == 0).alias("is_root"), F.concat(F.lit("f"), F.col("n_regionkey").cast("string")).alias("path"), at.alias("line"), at.alias("start"), stop.alias("stop"), (at + 1).alias("build_start"), (at + 2).alias("build_stop"))
 
 
-_OWNED = f"""(with n as (select o_custkey::varchar as flow_id, o_orderkey as ord, case o_custkey % 9 when 7 then 'a/EntryAbility/x' when 8 then 'component/y' else 'f' || (o_orderkey % 7) end as path, (o_orderkey % 110)::int as line from orders where o_custkey % 9 > 6 or o_orderkey % 2 = 0),
+_OWNED = f"""(with n as (select o_custkey::varchar as flow_id, o_orderkey as ord, case o_custkey % 9 when 7 then 'a/EntryAbility/x' when 8 then 'component/y' else 'f' || (o_orderkey % 7) end as path, (o_orderkey % 110)::int as line from orders),
 s as (select flow_id, path, line from n qualify row_number() over (partition by flow_id order by ord) = 1),
 e as (select flow_id, path, line, 0 as base from s union all select flow_id, path, line, 50 from n where line > 0),
 c as (select e.flow_id, p.page_id, base + case when p.line > 0 then least(300, abs(greatest(1, e.line) - p.line)) else 200 end - case when is_root then 5 else 0 end - case when greatest(1, e.line) between build_start and build_stop then 20 when greatest(1, e.line) >= start and (stop is null or greatest(1, e.line) <= stop) then 10 else 0 end as score from e join {_PAGES} p on e.path = p.path)
@@ -48,7 +48,7 @@ select s.flow_id, coalesce(b.page_id, case when lower(s.path) like '%entryabilit
 
 
 def owned_flows(spark, sf_dir):
-    o = tab(spark, sf_dir, "orders", "o_orderkey", "o_custkey").where("o_custkey % 9 > 6 or o_orderkey % 2 = 0")
+    o = tab(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     k = F.col("o_custkey") % 9
     path = F.when(k == 7, "a/EntryAbility/x").when(k == 8, "component/y").otherwise(F.concat(F.lit("f"), (F.col("o_orderkey") % 7).cast("string")))
     n = o.select(F.col("o_custkey").cast("string").alias("flow_id"), F.col("o_orderkey").alias("ord"), path.alias("path"), (F.col("o_orderkey") % 110).cast("int").alias("line"))
@@ -110,17 +110,17 @@ def fallback_edges(spark, sf_dir):
     return frames.chained(nodes_, "flow_id", "n", "node")
 
 
-_REFS = "(select (l_suppkey % 50)::bigint as feature_id, (l_partkey % 10)::bigint as practice, (l_orderkey % 300)::varchar as flow_id, case when l_linenumber = 1 then '' else l_linenumber::varchar end as node_id from lineitem where l_quantity < 2)"
-_FEATURE_FLOWS = "(select distinct (o_orderkey % 50)::bigint as feature_id, (o_orderkey % 300)::varchar as flow_id from orders where o_orderkey % 50 < 40 and o_orderkey % 7 = 0 or o_orderkey % 50 >= 40 and o_orderkey % 300 = o_orderkey % 50)"
+_REFS = "(select (l_suppkey % 50)::bigint as feature_id, (l_partkey % 10)::bigint as practice, (l_orderkey % 300)::varchar as flow_id, case when l_linenumber = 1 then '' else l_linenumber::varchar end as node_id from lineitem)"
+_FEATURE_FLOWS = "(select distinct (o_orderkey % 50)::bigint as feature_id, (case when o_orderkey % 50 < 40 then o_orderkey % 300 else o_orderkey % 50 end)::varchar as flow_id from orders)"
 
 
-@query(f"with r as {_REFS}, f as {_FEATURE_FLOWS}, n as (select (x % 300)::varchar as flow_id, (x % 4)::varchar as node_id from range(0, 900) t(x)), k as (select distinct r.feature_id, practice, flow_id from r join f using (feature_id, flow_id) where node_id = '' or exists (select 1 from n where n.flow_id = r.flow_id and n.node_id = r.node_id)), s as (select feature_id, min(flow_id) as flow_id from f group by feature_id having count(*) = 1) select * from k union all select d.feature_id, d.practice, s.flow_id from (select distinct feature_id, practice from r) d join s using (feature_id) where not exists (select 1 from k where k.feature_id = d.feature_id and k.practice = d.practice)")
+@query(f"with r as {_REFS}, f as {_FEATURE_FLOWS}, n as (select distinct (o_orderkey % 300)::varchar as flow_id, (o_custkey % 4)::varchar as node_id from orders), k as (select distinct r.feature_id, practice, flow_id from r join f using (feature_id, flow_id) where node_id = '' or exists (select 1 from n where n.flow_id = r.flow_id and n.node_id = r.node_id)), s as (select feature_id, min(flow_id) as flow_id from f group by feature_id having count(*) = 1) select * from k union all select d.feature_id, d.practice, s.flow_id from (select distinct feature_id, practice from r) d join s using (feature_id) where not exists (select 1 from k where k.feature_id = d.feature_id and k.practice = d.practice)")
 def practice_flow_choice(spark, sf_dir):
-    li = tab(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity").where("l_quantity < 2")
+    li = tab(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
     refs = li.select(big(F.col("l_suppkey") % 50).alias("feature_id"), big(F.col("l_partkey") % 10).alias("practice"), (F.col("l_orderkey") % 300).cast("string").alias("flow_id"), F.when(F.col("l_linenumber") == 1, "").otherwise(F.col("l_linenumber").cast("string")).alias("node_id"))
-    o = tab(spark, sf_dir, "orders", big("o_orderkey").alias("k")).where("k % 50 < 40 and k % 7 = 0 or k % 50 >= 40 and k % 300 = k % 50")
-    own = o.select((F.col("k") % 50).alias("feature_id"), (F.col("k") % 300).cast("string").alias("flow_id")).distinct()
-    known = spark.range(900).select((F.col("id") % 300).cast("string").alias("flow_id"), (F.col("id") % 4).cast("string").alias("node_id"))
+    o = tab(spark, sf_dir, "orders", big("o_orderkey").alias("k"), "o_custkey")
+    own = o.select((F.col("k") % 50).alias("feature_id"), F.when(F.col("k") % 50 < 40, F.col("k") % 300).otherwise(F.col("k") % 50).cast("string").alias("flow_id")).distinct()
+    known = o.select((F.col("k") % 300).cast("string").alias("flow_id"), (F.col("o_custkey") % 4).cast("string").alias("node_id")).distinct()
     return flows.practice_flows(refs, own, known)
 
 
@@ -190,7 +190,7 @@ def shortest_path_priorities(spark, sf_dir):
 _STEPS = "(select p_partkey as src, (p_partkey * 7 + 3) % (select max(p_partkey) from part) + 1 as dst, ['AST', 'DFG', 'EOG', 'PDG'][1 + p_partkey % 4] as type from part union all select p_partkey, (p_partkey * 5 + 11) % (select max(p_partkey) from part) + 1, 'EOG' from part)"
 
 
-@query(f"""with recursive a as (select path, line, function, id, rank from ({_sql['source_anchor_ranks']}) where line < 30), b as (select path, line, id, rank from ({_sql['sink_anchor_ranks']}) where line > 60),
+@query(f"""with recursive a as (select path, line, function, id, rank from ({_sql['source_anchor_ranks']})), b as (select path, line, id, rank from ({_sql['sink_anchor_ranks']})),
   w as (select distinct id as source, id as node, 0 as hops from a union select w.source, e.dst, w.hops + 1 from w join {_STEPS} e on e.src = w.node where w.hops < 5),
   d as (select source, node, min(hops) as hops from w group by all)
   select a.path as source_path, a.line as source_line, a.function, b.path as sink_path, b.line as sink_line, d.hops::bigint as hops, a.id as first_id, b.id as last_id from d join a on a.id = d.source join b on b.id = d.node
@@ -204,7 +204,7 @@ def path_matches(spark, sf_dir):
     e = p.select("src", ((F.col("src") * 7 + 3) % F.col("top") + 1).alias("dst"), F.element_at(kinds, (F.col("src") % 4 + 1).cast("int")).alias("type"))
     e = e.unionByName(p.select("src", ((F.col("src") * 5 + 11) % F.col("top") + 1).alias("dst"), F.lit("EOG").alias("type")))
     spots = supplier_spots(spark, sf_dir)
-    got = cpg.path_matches(n, e, spots.where("line < 30"), spots.where("line > 60").drop("function"), hops=5)
+    got = cpg.path_matches(n, e, spots, spots.select("path", "line").distinct(), hops=5)
     first, last = F.col("ids")[0], F.element_at("ids", -1)
     return got.select("source_path", big("source_line").alias("source_line"), "function", "sink_path", big("sink_line").alias("sink_line"), (F.size("ids") - 1).cast("long").alias("hops"), first.alias("first_id"), last.alias("last_id"))
 
@@ -267,22 +267,23 @@ def row_validation(spark, sf_dir):
     return good.select("c_custkey", F.lit(True).alias("fit")).unionByName(bad.select("c_custkey", F.lit(False).alias("fit")))
 
 
-@query("select f.k as feature_id, p.permission, min_by(p.d, (f.flow_id, f.ord)) as first_description, string_agg(distinct f.flow_id || '/' || f.node_id, ',' order by f.flow_id || '/' || f.node_id) as refs from (select l_orderkey::varchar as flow_id, 'n' || l_linenumber as node_id, l_linenumber as ord, l_partkey % 200 as line, (l_orderkey % 20)::varchar as k from lineitem) f join (select (p_partkey % 200) as line, unnest(['P' || p_size % 5, 'Q' || p_size % 3]) as permission, '查看' || p_partkey as d from part where p_partkey <= 200) p on p.line = f.line group by 1, 2".replace("min_by(p.d, (f.flow_id, f.ord)) as first_description, ", ""))
+@query("select f.k as feature_id, p.permission, min_by(p.d, (f.flow_id, f.ord)) as first_description, string_agg(distinct f.flow_id || '/' || f.node_id, ',' order by f.flow_id || '/' || f.node_id) as refs from (select l_orderkey::varchar as flow_id, 'n' || l_linenumber as node_id, l_linenumber as ord, l_partkey as line, (l_orderkey % 20)::varchar as k from lineitem) f join (select p_partkey as line, unnest(['P' || p_size % 5, 'Q' || p_size % 3]) as permission, '查看' || p_partkey as d from part) p on p.line = f.line group by 1, 2".replace("min_by(p.d, (f.flow_id, f.ord)) as first_description, ", ""))
 def permission_rollup(spark, sf_dir):
     li = tab(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
-    steps = li.select(F.col("l_orderkey").cast("string").alias("flow_id"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("node_id"), F.col("l_linenumber").alias("ord"), F.lit("f").alias("path"), (F.col("l_partkey") % 200).alias("line"))
-    p = tab(spark, sf_dir, "part", "p_partkey", "p_size").where("p_partkey <= 200")
-    sinks = p.select(F.lit("f").alias("path"), (F.col("p_partkey") % 200).alias("line"), F.col("p_partkey").cast("string").alias("api_key"), F.concat(F.lit("查看"), F.col("p_partkey").cast("string")).alias("description"), F.array(F.concat(F.lit("P"), (F.col("p_size") % 5).cast("string"))).alias("permissions"))
+    steps = li.select(F.col("l_orderkey").cast("string").alias("flow_id"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("node_id"), F.col("l_linenumber").alias("ord"), F.lit("f").alias("path"), F.col("l_partkey").alias("line"))
+    p = tab(spark, sf_dir, "part", "p_partkey", "p_size")
+    sinks = p.select(F.lit("f").alias("path"), F.col("p_partkey").alias("line"), F.col("p_partkey").cast("string").alias("api_key"), F.concat(F.lit("查看"), F.col("p_partkey").cast("string")).alias("description"), F.array(F.concat(F.lit("P"), (F.col("p_size") % 5).cast("string"))).alias("permissions"))
     knowledge = p.select(F.col("p_partkey").cast("string").alias("key"), F.array(F.concat(F.lit("Q"), (F.col("p_size") % 3).cast("string"), F.lit("（可选）"))).alias("permissions"))
     owned = li.select(F.col("l_orderkey").cast("string").alias("flow_id"), F.lit("p").alias("page_id"), (F.col("l_orderkey") % 20).cast("string").alias("feature_id"), F.lit("").alias("title")).distinct()
     got = report.feature_permissions(steps, owned, sinks, knowledge, spark.createDataFrame([("p", "登录页面")], "page_id string, description string"))
     return got.select("feature_id", "permission", F.array_join(F.array_sort(F.transform("refs", lambda r: F.concat_ws("/", r.flow_id, r.node_id))), ",").alias("refs"))
 
 
-@query("select user_id, string_agg(distinct event_type, ',' order by event_type) as kinds, count(*)::bigint as n from events where epoch_us(ts) // 3600000000 % 2 = 0 group by user_id")
+@query("select user_id, epoch_us(ts) // 3600000000 as hour, string_agg(distinct event_type, ',' order by event_type) as kinds, count(*)::bigint as n from events group by user_id, hour")
 def hourly_kinds(spark, sf_dir):
-    e = tab(spark, sf_dir, "events", "user_id", "event_type", micros().alias("t")).where(F.expr("t div 3600000000 % 2 = 0"))
-    return frames.rolled_sets(e, ["user_id"], "event_type", "kinds").withColumn("kinds", F.array_join("kinds", ",")).join(e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user_id")
+    e = tab(spark, sf_dir, "events", "user_id", "event_type", micros().alias("t")).withColumn("hour", F.expr("t div 3600000000"))
+    kinds = frames.rolled_sets(e, ["user_id", "hour"], "event_type", "kinds").withColumn("kinds", F.array_join("kinds", ","))
+    return kinds.join(e.groupBy("user_id", "hour").agg(F.count(F.lit(1)).alias("n")), ["user_id", "hour"])
 
 
 @query("select page_id, length(title) as n from (select page_id, case when page_id % 2 = 0 then ' “去 (登录)。” ' else '功 能' end as t, case when page_id % 2 = 0 then '去（登录）' else '功能' end as title from pages)".replace("length(title) as n", "title"))
