@@ -123,29 +123,79 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     e = sub.add_parser("evaluate", allow_abbrev=False)
     e.add_argument("--groundtruth", required=True)
     e.add_argument("--runs", required=True)
+    e.add_argument("--what", choices=("permissions", "sinks"), default="permissions")
+    e.add_argument("--app", help="this app only")
+    e.add_argument("--run-id", help="with --app: the run of this id instead of the latest")
+    e.add_argument("--run-dir", help="with --app: the run in this folder")
+    e.add_argument("--details", action="store_true", help="of sinks: also those that are missing, extra or invalid")
     e.add_argument("--format", choices=("table", "json"), default="table")
     args = p.parse_args(argv)
     if args.command == "analyse" and (args.backend == "cpg") != bool(args.graph):
         p.error("--backend cpg goes with --graph")
+    if args.command == "evaluate" and (args.run_id or args.run_dir) and not args.app:
+        p.error("--run-id and --run-dir go with --app")
+    if args.command == "evaluate" and args.details and args.what != "sinks":
+        p.error("--details goes with --what sinks")
     return args
 
 
-def evaluate(spark: SparkSession, truth: str, runs: str) -> DataFrame:
-    """(app, gt, pred, tp, fp, fn, recall, precision, fpr) by app, and in total where app is null; runs are folders app/run below ``runs``."""
-    found = sources.predictions(spark, runs).withColumn("_parts", F.split(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "/"))
-    depth = len([x for x in runs.split("://")[-1].split("/") if x])
-    named = found.select(F.get("_parts", F.lit(depth + 1)).alias("app"), F.get("_parts", F.lit(depth + 2)).alias("run_ts"), "permission")
-    latest = sources.latest_runs(named.select("app", "run_ts").distinct())
-    return frames.evaluate(sources.groundtruth(spark, truth), named.join(latest, ["app", "run_ts"]).select("app", "permission"), ["app"], ["permission"], total=True)
+def chosen(found: DataFrame, runs: str, app: str | None = None, folder: str | None = None) -> DataFrame:
+    """Of predictions (path, ...) those of each app's latest run, with ``app``; of one app and a run's folder, if they are named."""
+    if folder:
+        return found.where(F.contains("path", F.lit(f"{folder.rstrip('/')}/"))).withColumn("app", F.lit(app))
+    named = sources.by_app_and_run(found, runs)
+    named = named.where(F.col("app") == app) if app else named
+    return named.join(sources.latest_runs(named.select("app", "run_ts").distinct()), ["app", "run_ts"]).drop("run_ts")
+
+
+def evaluate(spark: SparkSession, truth: str, runs: str, app: str | None = None, folder: str | None = None) -> DataFrame:
+    """(app, gt, pred, tp, fp, fn, recall, precision, fpr) of permissions by app, and in total where app is null; runs are folders app/run below ``runs``."""
+    known = sources.groundtruth(spark, truth)
+    found = chosen(sources.predictions(spark, folder or runs), runs, app, folder).select("app", "permission").distinct()
+    return frames.evaluate(known.where(F.col("app") == app) if app else known, found, ["app"], ["permission"], total=True)
+
+
+#: What makes a sink the same one.
+SINK = ["file_path", "call_line", "api_key"]
+
+
+def sink_sets(spark: SparkSession, truth: str, runs: str, app: str | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """((app, and SINK, valid) that are true, and those predicted by the apps' runs): of apps that have a file app.json in ``truth``."""
+    known = sources.sink_records(spark, truth).withColumn("app", F.regexp_extract("path", r"([^/]*)\.json$", 1))
+    known = known.where(F.col("app") == app) if app else known
+    found = chosen(sources.sink_records(spark, folder or runs, "sinks.json"), runs, app, folder).join(known.select("app").distinct(), "app", "left_semi")
+    return known.select("app", *SINK, "valid").distinct(), found.select("app", *SINK, "valid").distinct()
+
+
+def evaluate_sinks(spark: SparkSession, truth: str, runs: str, app: str | None = None, folder: str | None = None) -> DataFrame:
+    """As ``evaluate``, of sinks: equal by file, line and key; records without one of these don't count."""
+    known, found = sink_sets(spark, truth, runs, app, folder)
+    return frames.evaluate(known.where("valid").drop("valid"), found.where("valid").drop("valid"), ["app"], SINK, total=True)
+
+
+def sink_differences(spark: SparkSession, truth: str, runs: str, app: str | None = None, folder: str | None = None) -> DataFrame:
+    """(app, side, and SINK): true sinks that no run has as ``missing``, predicted ones that aren't true as ``extra``, and records that don't count as ``invalid``."""
+    known, found = sink_sets(spark, truth, runs, app, folder)
+    a, b = (x.where("valid").drop("valid") for x in (known, found))
+    side = lambda df, name: df.select("app", F.lit(name).alias("side"), *SINK)
+    return side(a.exceptAll(b), "missing").unionByName(side(b.exceptAll(a), "extra")).unionByName(side(known.unionByName(found).where("not valid"), "invalid"))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = arguments(argv)
     spark = spark or SparkSession.builder.appName("quarry").getOrCreate()
     if args.command == "evaluate":
-        got = evaluate(spark, args.groundtruth, args.runs)
+        folder = args.run_dir or (sources.resolve_run(sources.run_registry(spark, f"{args.runs.rstrip('/')}/_runs"), run_id=args.run_id) if args.run_id else None)
+        if args.run_id and folder is None:
+            raise SystemExit(f"no run {args.run_id}")
+        where = (spark, args.groundtruth, args.runs, args.app, folder)
+        got = (evaluate_sinks if args.what == "sinks" else evaluate)(*where)
         rows = report.evaluation_table(got) if args.format == "table" else got.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
         print("\n".join(r.line for r in rows.collect()))  # a row for each app
+        if args.details:
+            told = sink_differences(*where).orderBy("app", "side", *SINK).select(F.to_json(F.struct("*")).alias("line"))
+            for r in told.toLocalIterator():
+                print(r.line)
         return
     app = sources.app_sources(spark, args.app).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
     sdk = sources.read_texts(spark, args.sdk, (".d.ts", ".d.ets")) if args.sdk else None

@@ -228,13 +228,23 @@ def latest_runs(runs: DataFrame, app: str = "app", at: str = "run_ts") -> DataFr
     return runs.groupBy(app).agg(F.max(at).alias(at))
 
 
-def sink_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, call_line, api_key, valid) of a JSON array of sinks; rows without one of them are kept as invalid."""
-    df = spark.read.schema("`App源码文件路径` string, `调用行号` int, `__apiKey` string").json(path, multiLine=True)
-    got = df.select(F.col("App源码文件路径").alias("file_path"), F.col("调用行号").alias("call_line"), F.col("__apiKey").alias("api_key"))
+_SINK = "`App源码文件路径` string, `调用行号` int, `__apiKey` string"
+
+
+def sink_records(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """(path, file_path, call_line, api_key, valid) of the JSON arrays of sinks at or below ``path``; rows without a file, a line or a key are kept as invalid."""
+    df = spark.read.schema(_SINK).option("recursiveFileLookup", True).option("pathGlobFilter", names).json(path, multiLine=True)
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    got = df.select(F.col("_metadata.file_path").alias("path"), text(F.col("App源码文件路径")).alias("file_path"), F.col("调用行号").alias("call_line"), text(F.col("__apiKey")).alias("api_key"))
     return got.withColumn("valid", F.col("file_path").isNotNull() & F.col("call_line").isNotNull() & F.col("api_key").isNotNull())
 
 
+def by_app_and_run(df: DataFrame, root: str) -> DataFrame:
+    """``df`` with ``app`` and ``run_ts``: the folders of its files (path) below ``root``."""
+    parts, depth = F.split(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "/"), len([x for x in root.split("://")[-1].split("/") if x])
+    return df.withColumns({"app": F.get(parts, F.lit(depth + 1)), "run_ts": F.get(parts, F.lit(depth + 2))})
+
+
 def checked(df: DataFrame, needed: list[str], numbers: list[str] = (), kinds: dict[str, tuple[str, ...]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows fit to show, rows that aren't): ``needed`` columns aren't null or blank, ``numbers`` are 1 or more, ``kinds`` have one of the values named."""
     fit = F.lit(True)

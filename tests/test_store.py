@@ -180,3 +180,26 @@ def test_a_run_over_a_property_graph(spark, tmp_path):
     assert "@ohos.router.pushUrl" in {r.api_keys for r in got.nodes.collect()}
     with pytest.raises(SystemExit):
         run.arguments(["analyse", "--app", "a", "--out", "b", "--backend", "cpg"])
+
+
+def test_sinks_are_evaluated(spark, tmp_path, capsys):
+    sink = lambda path, line, key: {"App源码文件路径": path, "调用行号": line, "__apiKey": key}
+    put = lambda name, rows: ((tmp_path / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / name).write_text(json.dumps(rows)))
+    put("gt/A.json", [sink("a.ets", 1, "@ohos.x"), sink("a.ets", 2, "@ohos.y"), sink("a.ets", 2, "@ohos.y"), sink("", 3, "@ohos.z"), {"调用行号": 4}])
+    put("gt/B.json", [sink("b.ets", 1, "@ohos.x")])
+    put("out/A/2025/sinks.json", [sink("a.ets", 1, "@ohos.x"), sink("a.ets", 9, "@ohos.y"), sink("a.ets", 7, " ")])
+    put("out/A/2024/sinks.json", [sink("a.ets", 2, "@ohos.y")])
+    put("out/C/2025/sinks.json", [sink("c.ets", 1, "@ohos.x")])
+    put("out/_runs/A_2024.json", {"runId": "A_2024", "outputDir": f"{tmp_path}/out/A/2024"})
+    args = ["evaluate", "--what", "sinks", "--groundtruth", str(tmp_path / "gt"), "--runs", str(tmp_path / "out")]
+    run.main([*args, "--format", "json", "--details"], spark)
+    said = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert sorted((str(r["app"]), r["gt"], r["pred"], r["tp"], r["fp"], r["fn"]) for r in said if "gt" in r) == [("A", 2, 2, 1, 1, 1), ("B", 1, 0, 0, 0, 1), ("None", 3, 2, 1, 1, 2)]
+    assert sorted((r["app"], r["side"], r.get("call_line")) for r in said if "side" in r) == [("A", "extra", 9), ("A", "invalid", 3), ("A", "invalid", 4), ("A", "invalid", 7), ("A", "missing", 2), ("B", "missing", 1)]
+    for more in (["--run-id", "A_2024"], ["--run-dir", f"{tmp_path}/out/A/2024"]):
+        run.main([*args, "--app", "A", "--format", "json", *more], spark)
+        [one] = [r for r in map(json.loads, capsys.readouterr().out.splitlines()) if r["app"] == "A"]
+        assert (one["gt"], one["pred"], one["tp"]) == (2, 1, 1)
+    for bad in (["--run-id", "x"], ["--details", "--what", "permissions"]):
+        with pytest.raises(SystemExit):
+            run.arguments([*args, *bad])
