@@ -283,6 +283,67 @@ def element_title(category: Column, texts: Column, handlers: Column, icon: Colum
     return short_title(F.when(category == "Button", F.coalesce(text, target, handler, icon)).when(category == "Display", F.coalesce(text, icon, target)).otherwise(F.coalesce(text, handler, target, icon, default)))
 
 
+#: What parts of a handler's and of an icon's name say, the first that occurs; titles of short English texts; defaults by category.
+HANDLERS = (("search", "搜索"), ("send", "发送"), ("press+talk", "发送语音"), ("press+voice", "发送语音"), ("talk", "语音"), ("voice", "语音"), ("record", "语音"), ("scan", "扫一扫"), ("qrcode", "扫一扫"), ("qr", "扫一扫"), ("login", "登录"), ("register", "注册"), ("back", "返回"), ("setting", "设置"))
+ICONS = (("search", "搜索"), ("add", "添加"), ("plus", "添加"), ("emoji", "表情"), ("camera", "拍照"), ("shoot", "拍照"), ("qrcode", "扫一扫"), ("qr", "扫一扫"), ("back", "返回"), ("setting", "设置"), ("location", "位置"), ("voice", "语音"), ("mic", "语音"), ("record", "语音"), ("keyboard", "键盘"))
+SHORT_TEXTS = {"go": "进入", "ok": "确定", "cancel": "取消", "send": "发送", "search": "搜索"}
+DEFAULTS = {"Input": "输入", "Button": "点击操作", "Display": "显示内容"}
+OPENS, OTHER = "进入页面", "功能入口"
+
+
+def named_by(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """The title of the first entry whose parts all occur in a name; null without one."""
+    low, out = F.lower(c), F.lit(None).cast("string")
+    for parts, title in reversed(table):
+        hit = F.lit(True)
+        for part in parts.split("+"):
+            hit = hit & F.contains(low, F.lit(part))
+        out = F.when(hit, title).otherwise(out)
+    return out
+
+
+def first_said(names: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """The first title that any of several names gives."""
+    return F.try_element_at(F.filter(F.transform(names, lambda n: named_by(n, table)), lambda t: t.isNotNull()), F.lit(1))
+
+
+def quoted_texts(c: Column) -> Column:
+    """Texts of 1 to 60 characters in single or double quotes, trimmed."""
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"""(["'])([^'"]{1,60})\1"""), F.lit(2)), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def event_names(c: Column) -> Column:
+    """Names behind ``this`` in the lines of a text that set an event's handler."""
+    lines = F.filter(F.split(c, "\n"), lambda x: x.rlike("on(?:Click|Touch|Change|Submit|Action|KeyEvent|Gesture)"))
+    return uniq(F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(r"\bthis\s*\.\s*([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1)))
+
+
+def visible_text(texts: Column) -> Column:
+    """Of several texts the first Chinese one as a title, else the first short English one as people say it, else nothing."""
+    titles = F.filter(F.transform(texts, short_title), lambda t: (t != "") & ~is_noise(t))
+    chinese = F.try_element_at(F.filter(titles, has_cjk), F.lit(1))
+    english = F.try_element_at(F.filter(titles, lambda t: t.rlike("^[A-Za-z0-9]{1,10}$")), F.lit(1))
+    known = F.create_map(*[F.lit(x) for kv in SHORT_TEXTS.items() for x in kv])
+    return F.coalesce(chinese, F.try_element_at(known, F.lower(english)), english)
+
+
+def inferred_title(category: Column, component: Column, said: Column, resources: Column, strings: Column, opens: Column) -> Column:
+    """An element's title: a text of its string resources or its code and context, then what its handlers and icons are called, then that it opens a page, else its category's default.
+
+    ``said`` is its line and the lines around, ``resources`` the ids that they name, ``strings`` the texts of those that are string resources.
+    """
+    text = visible_text(F.concat(strings, quoted_texts(said)))
+    handler = first_said(event_names(said), HANDLERS)
+    icon = first_said(resources, ICONS)
+    search = F.when(F.contains(F.lower(component), F.lit("search")), "搜索")
+    default = F.lit(OTHER)
+    for kind, title in DEFAULTS.items():
+        default = F.when(category == kind, title).otherwise(default)
+    other = F.coalesce(text, handler, icon, F.when(opens, OPENS), default)
+    title = short_title(F.when(category == "Input", F.coalesce(text, handler, search, default)).otherwise(other))
+    return F.when(title != "", title).otherwise(F.when(category == "Input", "输入").otherwise("功能"))
+
+
 #: Names in programs and what people call them.
 IDENTIFIERS = {"currentlocation": "当前位置", "startposition": "起始位置", "isstart": "计步状态", "stepgoal": "步数目标", "build": "页面构建入口", "foreground": "前台状态", "background": "后台状态"}
 

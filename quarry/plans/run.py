@@ -60,10 +60,10 @@ def described(sinks: DataFrame, declared: dict[str, DataFrame] | None, knowledge
     return analysis.describe(sinks, sdk, sources.api_descriptions(knowledge), override, sources.api_permissions(knowledge))
 
 
-def run(app_files: DataFrame, sdk_files: DataFrame | None = None, knowledge: DataFrame | None = None, override: DataFrame | None = None, said: DataFrame | None = None, most_paths: int | None = None, graph: tuple[DataFrame, DataFrame] | None = None) -> Run:
+def run(app_files: DataFrame, sdk_files: DataFrame | None = None, knowledge: DataFrame | None = None, override: DataFrame | None = None, said: DataFrame | None = None, most_paths: int | None = None, graph: tuple[DataFrame, DataFrame] | None = None, strings: DataFrame | None = None) -> Run:
     """The tables of a run over program files (path, text). ``said`` are a model's answers by path, if there is one; without, flows are made of their anchors.
 
-    With the (nodes, edges) of a code property graph as ``graph``, the call graph and its paths are the shortest ways in it, else those of the scanned calls.
+    With the (nodes, edges) of a code property graph as ``graph``, the call graph and its paths are the shortest ways in it, else those of the scanned calls. ``strings`` (name, value) are the app's string resources.
     """
     spark = app_files.sparkSession
     facts = analysis.scan(app_files)
@@ -86,7 +86,7 @@ def run(app_files: DataFrame, sdk_files: DataFrame | None = None, knowledge: Dat
     anchors = nodes.join(code, ["path", "line"], "left").withColumn("name", F.coalesce("name", "api_keys"))
     flow_nodes, flow_edges = flow_plans.build_flows(paths, anchors, facts["lines"], entries, said)
     flow_nodes, flow_edges = graphs._cut(flow_nodes), graphs._cut(flow_edges)
-    ui_nodes, ui_edges, roots = ui.build_tree(app_files, facts["structs"], facts["blocks"])
+    ui_nodes, ui_edges, roots = ui.build_tree(app_files, facts["structs"], facts["blocks"], strings)
     ui_nodes = graphs._cut(ui_nodes)
     ui_edges = graphs._cut(ui_edges)
     counts = flow_plans.flow_counts(flow_nodes, flow_edges)
@@ -201,7 +201,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     sdk = sources.read_texts(spark, args.sdk, (".d.ts", ".d.ets")) if args.sdk else None
     knowledge, override = (sources.read_knowledge(spark, args.csv), sources.override_descriptions(spark, f"{args.csv}/sdk_api_description_override.csv")) if args.csv else (None, None)
     graph = sources.read_cpg(spark, args.graph, app) if args.backend == "cpg" else None
-    got = run(app, sdk, knowledge, override, most_paths=args.max_paths, graph=graph)
+    got = run(app, sdk, knowledge, override, most_paths=args.max_paths, graph=graph, strings=sources.app_strings(spark, args.app))
     run_id, folder = save(got, args.out, args.app, args.stamp, {"appPath": args.app, "sdkPath": args.sdk or "", "csvDir": args.csv or "", "graphBackend": args.backend})
     if args.tables:
         writers.write_run(got.tables(), args.tables)

@@ -27,11 +27,35 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     return pages.select(T.stable_id("page", F.col("path"), F.col("name")).alias("id"), F.lit("Page").alias("category"), "name", "path", F.col("start_line").alias("line"))
 
 
-def build_tree(files: DataFrame, structs: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Lines around an element that tell its title.
+RADIUS = 5
+
+
+def element_titles(elements: DataFrame, lines: DataFrame, opening: DataFrame, strings: DataFrame | None = None) -> DataFrame:
+    """``elements`` (path, line, component, category) with ``description``: titles from their own line, then the lines around, the string resources (name, value) that these name, and whether they open a page (opening: path, line)."""
+    near = elements.select("path", "line").distinct()
+    around = near.withColumn("line_no", F.explode(F.sequence(F.col("line") - RADIUS, F.col("line") + RADIUS))).join(lines.withColumnRenamed("line", "text"), ["path", "line_no"])
+    both = around.unionByName(around.where("line_no = line").withColumn("line_no", F.lit(0)))
+    said = both.groupBy("path", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("said"))
+    said = said.withColumn("resources", T.resource_ids(F.col("said")))
+    if strings is not None:
+        ids = said.select("path", "line", F.posexplode("resources").alias("at", "id")).withColumn("name", F.regexp_extract("id", r"^app\.string\.([A-Za-z0-9_]+)$", 1)).where("name <> ''")
+        texts = ids.join(strings, "name").groupBy("path", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("strings"))
+        said = said.join(texts, ["path", "line"], "left")
+    else:
+        said = said.withColumn("strings", F.lit(None).cast("array<string>"))
+    acts = opening.select("path", "line").distinct().withColumn("_opens", F.lit(True))
+    told = elements.join(said, ["path", "line"], "left").join(acts, ["path", "line"], "left")
+    none = F.array().cast("array<string>")
+    title = T.inferred_title(F.col("category"), F.col("component"), F.coalesce("said", F.lit("")), F.coalesce("resources", none), F.coalesce("strings", none), F.coalesce("_opens", F.lit(False)))
+    return told.withColumn("description", title).drop("said", "resources", "strings", "_opens")
+
+
+def build_tree(files: DataFrame, structs: DataFrame, blocks: DataFrame, strings: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, roots) of the element tree: pages entered by the system or reached by routes, and the elements of their builds.
 
     Nodes have (id, category, name, path, line, description), edges (src, dst, kind): contains, navigatesTo. Which pages are reached is a
-    walk over files, frontier by frontier; elements, routes and what triggers them are found for all files at once.
+    walk over files, frontier by frontier; elements, routes and what triggers them are found for all files at once. ``strings`` (name, value) are the app's string resources.
     """
     lines = frames.lines_of(files, ["path"]).transform(graphs._cut)
     entries = analysis.entry_structs(lines, structs).select("path", "name", "start_line")
@@ -50,8 +74,8 @@ def build_tree(files: DataFrame, structs: DataFrame, blocks: DataFrame) -> tuple
     roots = page_nodes(entries).select("id").distinct()
     element = elements.join(pages.select("path", F.col("name").alias("page")), ["path", "page"], "left_semi")
     element_id = lambda p, l, c: T.stable_id("el", p, l, c)
-    text = lines.select("path", F.col("line_no").alias("line"), F.col("line").alias("said"))
-    titled = element.join(text, ["path", "line"], "left").withColumn("description", T.element_title(F.col("category"), T.visible_strings(F.coalesce("said", F.lit(""))), T.handler_names(F.coalesce("said", F.lit(""))), F.lit(None).cast("string")))
+    opening = opened.select("path", F.col("trigger.line").alias("line"))
+    titled = element_titles(element, lines, opening, strings)
     shown = titled.select(element_id(F.col("path"), F.col("line"), F.col("component")).alias("id"), "category", F.col("component").alias("name"), "path", "line", "description")
     opens = opened.join(pages.select("path").distinct(), "path", "left_semi").select(element_id(F.col("path"), F.col("trigger.line"), F.col("trigger.component")).alias("src"), T.stable_id("page", F.col("target"), F.col("to_name")).alias("dst"), F.lit("navigatesTo").alias("kind"))
     holds = element.select(T.stable_id("page", F.col("path"), F.col("page")).alias("src"), element_id(F.col("path"), F.col("line"), F.col("component")).alias("dst"), F.lit("contains").alias("kind"))

@@ -119,6 +119,15 @@ def string_table(spark: SparkSession, *candidates: str) -> DataFrame:
     return spark.createDataFrame([], "name string, value string")
 
 
+#: Where an app keeps its string resources.
+STRINGS = ("entry/src/main/resources/base/element/string.json", "AppScope/resources/base/element/string.json")
+
+
+def app_strings(spark: SparkSession, root: str) -> DataFrame:
+    """(name, value) of an app's string resources."""
+    return string_table(spark, *(f"{root.rstrip('/')}/{place}" for place in STRINGS))
+
+
 _NODE = "id long, labels array<string>, properties struct<artifact:string,startLine:int,endLine:int,code:string,name:string,localName:string,fullName:string>"
 _EDGE = "type string, startNode long, endNode long"
 #: Edge types that are kept.

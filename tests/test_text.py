@@ -42,3 +42,19 @@ def test_lenient_json_and_titles(spark):
     assert one(spark, T.is_good_title(F.lit("Page"), F.col("x")), x="登录页面")
     assert not one(spark, T.is_good_title(F.lit("Page"), F.col("x")), x="登录")
     assert one(spark, T.action_of(F.col("x"), F.lit("")), x="@ohos.router.pushUrl") == "页面跳转"
+
+
+def test_titles_of_elements(spark):
+    from quarry.plans import ui
+
+    code = ["Column() {", "Button($r('app.string.save'))", ".onClick(() => this.x())", *[""] * 12, "Image($r('app.media.ic_qrcode'))", *[""] * 12, "Text('ok')", *[""] * 12, "SearchBox()", *[""] * 12, "Row2()", *[""] * 12, "Foo()", ".onTouch(() => { this.pressToTalk() })", *[""] * 12, "Bar('entry/x.ets')"]
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(code, 1)], "path string, line_no int, line string")
+    at = lambda x: next(i for i, c in enumerate(code, 1) if c.startswith(x))
+    kinds = {"Button": "Button", "Image": "Display", "Text": "Display", "SearchBox": "Input", "Row2": "Component", "Foo": "Component", "Bar": "Button"}
+    elements = spark.createDataFrame([("f", at(c), c, k) for c, k in kinds.items()], "path string, line int, component string, category string")
+    strings = spark.createDataFrame([("save", "保存（文件）"), ("other", "别的")], "name string, value string")
+    opening = spark.createDataFrame([("f", at("Bar"))], "path string, line int")
+    want = {"Button": "保存（文件）", "Image": "扫一扫", "Text": "确定", "SearchBox": "搜索", "Row2": "功能入口", "Foo": "发送语音", "Bar": "进入页面"}
+    assert {r.component: r.description for r in ui.element_titles(elements, lines, opening, strings).collect()} == want
+    plain = {r.component: r.description for r in ui.element_titles(elements, lines, opening).collect()}
+    assert plain == want | {"Button": "点击操作"}
