@@ -45,17 +45,32 @@ def hops(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFr
     return _hops(_cut(edges), starts, most)
 
 
+#: Steps of a walk between two cuts where the graph has at most so many edges: more would walk much of a large graph again.
+STEPS, SMALL = 4, 2_000_000
+
+
+def _walked(edges: DataFrame, new: DataFrame, steps: int) -> DataFrame:
+    """(node, hops) of what ``steps`` edges or fewer lead to from (node, hops), with the least hops; one plan, in which each step's exchange is read twice."""
+    for _ in range(steps):
+        on = edges.join(new.select(F.col("node").alias("src"), "hops"), "src").select(F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"))
+        new = new.unionByName(on).groupBy("node").agg(F.min("hops").alias("hops"))
+    return new
+
+
 def _hops(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """Each round goes one step beyond what was seen, in a small graph STEPS at once; only nodes at the round's last step go on."""
     seen = starts.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0))
-    new, k = seen, 0
+    steps = STEPS if edges.limit(SMALL + 1).count() <= SMALL else 1
+    new, k, rounds = seen, 0, 0
     while most is None or k < most:
-        k += 1
-        found = edges.join(new.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        new = _cut(found.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)))
+        n = steps if most is None else min(steps, most - k)
+        found = _cut(_walked(edges, new, n).join(seen.select("node"), "node", "left_anti"))
+        k, rounds = k + n, rounds + 1
+        seen = seen.unionByName(found)
+        new = found.where(F.col("hops") == k)
         if new.isEmpty():
             break
-        seen = seen.unionByName(new)
-        if k % CUT == 0:
+        if rounds % CUT == 0:
             seen = _cut(seen)
     return seen
 
@@ -89,6 +104,14 @@ def ranked(df: DataFrame, key: str, name: str) -> DataFrame:
     return within.join(before, "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
+def _grown(paths: DataFrame, step: DataFrame) -> DataFrame:
+    """Paths (path, key, last, ended) one edge on: those that have ended stay as they are, those that can't go on leave."""
+    on = paths.join(step, (F.col("last") == F.col("src")) & ~F.col("ended") & ~F.array_contains("path", F.col("dst")), "left").where("ended or dst is not null")
+    longer = lambda name, x: F.when(F.col("ended"), F.col(name)).otherwise(F.concat(name, F.array(x)))
+    key = F.struct(F.col("hops").alias("h"), F.col("dst").alias("n"))
+    return on.select(longer("path", F.col("dst")).alias("path"), longer("key", key).alias("key"), F.coalesce("dst", "last").alias("last"), (F.col("ended") | F.coalesce("goal", F.lit(False))).alias("ended"))
+
+
 def simple_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, longest: int = 60, most: int | None = None) -> DataFrame:
     """(path_id, path, source, sink): ways without repeated nodes from each source to the first sink on them.
 
@@ -102,14 +125,14 @@ def simple_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, longest
     step = _cut(edges.join(to_sink.select(F.col("node").alias("dst"), "hops"), "dst"))
     goals = sinks.select(F.col("node").alias("last")).distinct().withColumn("_goal", F.lit(True))
     begin = sources.select("node").distinct().join(to_sink, "node", "left_semi")
-    open_ = begin.select(F.array("node").alias("path"), F.array(F.struct(F.lit(0).alias("h"), F.col("node").alias("n"))).alias("key"), F.col("node").alias("last"))
+    step = _cut(step.join(goals.withColumnRenamed("last", "dst"), "dst", "left").select("src", "dst", "hops", F.coalesce("_goal", F.lit(False)).alias("goal")))
+    start = begin.join(goals.withColumnRenamed("last", "node"), "node", "left").select(F.array("node").alias("path"), F.array(F.struct(F.lit(0).alias("h"), F.col("node").alias("n"))).alias("key"), F.col("node").alias("last"), F.coalesce("_goal", F.lit(False)).alias("ended"))
     most = None if most is None else max(1, most)
-    done, k = None, 1
+    done, told, k = None, _cut(start), 1
     while True:
-        told = _cut(open_.join(goals, "last", "left"))
-        ended = told.where("_goal").select("path", "key")
+        ended = told.where("ended").select("path", "key")
         done = ended if done is None else done.unionByName(ended)
-        going = told.where("_goal is null").drop("_goal")
+        going = told.where("not ended")
         if most is not None:
             done = _cut(done.orderBy("key").limit(most))
             full = done.agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("_worst")).where(F.col("n") >= most).select("_worst")
@@ -117,9 +140,11 @@ def simple_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, longest
             going = going.join(full, F.lit(True), "left").where("_worst is null or key < _worst").drop("_worst")
         if k >= longest or going.isEmpty():
             break
-        grown = going.join(step, going["last"] == step["src"]).where(~F.array_contains("path", F.col("dst")))
-        open_ = grown.select(F.concat("path", F.array("dst")).alias("path"), F.concat("key", F.array(F.struct(F.col("hops").alias("h"), F.col("dst").alias("n")))).alias("key"), F.col("dst").alias("last"))
-        k += 1
+        n = min(STEPS if most is None else 1, longest - k)
+        for _ in range(n):
+            going = _grown(going, step)
+        told = _cut(going)
+        k += n
     out = ranked(done, "key", "_n")
     return out.select(F.concat(F.lit("p"), F.col("_n").cast("string")).alias("path_id"), "path", F.col("path")[0].alias("source"), F.element_at("path", -1).alias("sink"))
 
