@@ -177,4 +177,25 @@ def levels(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indegree"))
     out = nodes.select("node").distinct().join(h, "node", "left").join(into, "node", "left").crossJoin(F.broadcast(top))  # one row
     out = out.select("node", F.coalesce("hops", F.col("_top") + 1).alias("level"), F.coalesce("indegree", F.lit(0)).alias("indegree"))
-    return out.withColumn("row", F.row_number().over(W.partitionBy("level").orderBy("node")) - 1)
+    # numbered over the whole table, then from each level's first: no level is gathered in one task
+    numbered = ranked(out.withColumn("_key", F.struct("level", "node")), "_key", "_n")
+    firsts = numbered.groupBy("level").agg(F.min("_n").alias("_first"))
+    return numbered.join(firsts, "level").select("node", "level", "indegree", (F.col("_n") - F.col("_first")).cast("int").alias("row"))
+
+
+#: Of a drawing, its margin, a node's size, the distances between nodes, the least sizes.
+PAD, NODE_W, NODE_H, X_GAP, Y_GAP, LEAST_W, LEAST_H = 16, 260, 64, 320, 86, {True: 320, False: 640}, 320
+
+
+def layout(levelled: DataFrame, vertical: bool = False) -> DataFrame:
+    """Adds x and y to nodes with (level, row): levels from left to right, or downwards."""
+    across, along = (F.col("row"), F.col("level")) if vertical else (F.col("level"), F.col("row"))
+    return levelled.withColumns({"x": F.lit(PAD) + across * X_GAP, "y": F.lit(PAD) + along * Y_GAP})
+
+
+def canvas(levelled: DataFrame, vertical: bool = False) -> DataFrame:
+    """(width, height) of the drawing of nodes with (level, row): one row, also without nodes."""
+    most = levelled.agg(F.coalesce(F.max("level"), F.lit(0)).alias("deep"), F.coalesce(F.max("row") + 1, F.lit(0)).alias("rows"))
+    wide = F.greatest(F.lit(0), F.col("rows") - 1) if vertical else F.col("deep") + 1
+    high = F.col("deep") if vertical else F.col("rows")
+    return most.select(F.greatest(F.lit(LEAST_W[vertical]), wide * X_GAP + 2 * PAD + NODE_W).alias("width"), F.greatest(F.lit(LEAST_H), high * Y_GAP + 2 * PAD + NODE_H).alias("height"))

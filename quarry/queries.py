@@ -114,11 +114,20 @@ def shortest_path(spark, sf_dir):
     return got.select("source", "node", big("hops").alias("hops"))
 
 
-@query(f"with recursive {SPARSE}, d as (select 0::bigint as node, 0 as h union select e.dst, d.h + 1 from d join edges e on e.src = d.node where d.h < 30), l as (select node, min(h) as h from d group by node), n as (select n_nationkey::bigint as node from nation) select n.node, coalesce(l.h, (select max(h) from l) + 1)::bigint as level, (select count(*) from edges e where e.dst = n.node)::bigint as indegree from n left join l using (node)")
+@query(f"with recursive {SPARSE}, d as (select 0::bigint as node, 0 as h union select e.dst, d.h + 1 from d join edges e on e.src = d.node where d.h < 30), l as (select node, min(h) as h from d group by node), n as (select n_nationkey::bigint as node from nation), o as (select n.node, coalesce(l.h, (select max(h) from l) + 1)::bigint as level, (select count(*) from edges e where e.dst = n.node)::bigint as indegree from n left join l using (node)) select *, (row_number() over (partition by level order by node) - 1)::bigint as row from o")
 def levels_indegree(spark, sf_dir):
     all_nodes = tab(spark, sf_dir, "nation", F.col("n_nationkey").cast("long").alias("node"))
     got = graphs.levels(all_nodes, sparse_graph(spark, sf_dir), nodes(spark, 0))
-    return got.select("node", big("level").alias("level"), "indegree")
+    return got.select("node", big("level").alias("level"), "indegree", big("row").alias("row"))
+
+
+@query(f"with l as ({_sql['levels_indegree']}), c as (select greatest(640, (max(level) + 1) * 320 + 292)::bigint as width, greatest(320, (max(row) + 1) * 86 + 96)::bigint as height from l) select node, (16 + level * 320)::bigint as x, (16 + row * 86)::bigint as y, (16 + row * 320)::bigint as x_down, (16 + level * 86)::bigint as y_down, width, height from l, c")
+def graph_layout(spark, sf_dir):
+    all_nodes = tab(spark, sf_dir, "nation", F.col("n_nationkey").cast("long").alias("node"))
+    levelled = graphs._cut(graphs.levels(all_nodes, sparse_graph(spark, sf_dir), nodes(spark, 0)))
+    down = graphs.layout(levelled, vertical=True).select("node", big("x").alias("x_down"), big("y").alias("y_down"))
+    size = graphs.canvas(levelled).select(big("width").alias("width"), big("height").alias("height"))
+    return graphs.layout(levelled).select("node", big("x").alias("x"), big("y").alias("y")).join(down, "node").crossJoin(F.broadcast(size))  # one row
 
 
 @query("select c_nationkey::bigint as src, s_nationkey::bigint as dst, count(*)::bigint as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2")
