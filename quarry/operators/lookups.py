@@ -113,22 +113,70 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], at: str, value: str,
     return both.where("_l is not null").select("_l.*", F.col("_seen").alias(value))
 
 
-def resolve_by_name(calls: DataFrame, defs: DataFrame, name: str, call_id: list[str], place: tuple[str, str], distance: Column, *ties: str, other: Column | None = None) -> DataFrame:
+def nearest_few(spots: DataFrame, rows: DataFrame, on: list[str], at: str, to: str, most: int, *ties: str, ident: str | None = None) -> DataFrame:
+    """(on, ``at``, near): for each distinct (on, ``at``) of the spots the ``most`` nearest rows of equal keys by |to - at|, then ties, then all other columns.
+
+    ``near`` is an array of structs (apart, then the rows' columns but ``on``), nearest first; with ``ident`` it has so many more that ``most`` are left
+    without the rows of any one ident, so each caller may leave its own out. Where a place is null, apart is null and comes last.
+
+    No pairs are formed: of rows alike in key and place only the first few can count, which tasks cut before they shuffle. Those are numbered
+    along their key, and a spot takes the numbers next to its own; so the cost doesn't depend on how many share a key.
+    """
+    cells = [*ties, *[c for c in rows.columns if c not in (*on, *ties)]]
+    r = rows.select(*on, F.col(to).alias("_to"), F.struct(*cells).alias("_row")).distinct()
+    if ident is not None:
+        alike = r.groupBy(*on, F.col(f"_row.{ident}").alias("_ident")).agg(F.count(F.lit(1)).alias("n"))
+        most += alike.agg(F.max("n")).first()[0] or 0
+    # zone 0 holds rows with a place, 1 rows without, 2 all rows, for spots without
+    keys = [*on, "_zone"]
+    zone = lambda c, known, unknown: F.explode(F.when(F.col(c).isNotNull(), F.array(*map(F.lit, known))).otherwise(F.array(*map(F.lit, unknown))))
+    place = lambda c: F.when(F.col("_zone") == 0, F.col(c)).otherwise(F.lit(0))
+    kept = top_k(r.withColumn("_zone", zone("_to", (0, 2), (1, 2))).withColumn("_place", place("_to")), [*keys, "_place"], most, F.col("_row")).drop("rank")
+    asked = spots.select(*on, F.col(at).alias("_at")).distinct().withColumn("_zone", zone("_at", (0, 1), (2,))).withColumn("_place", place("_at"))
+    counts = kept.groupBy(*keys, "_place").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_at": F.lit(None).cast(asked.schema["_at"].dataType), "_asks": F.lit(False)})
+    both = counts.unionByName(asked.withColumns({"_n": F.lit(0).cast("long"), "_asks": F.lit(True)}))
+    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_place"))
+    looks = both.withColumn("_upto", upto).where("_asks").select(*keys, "_at", F.explode(F.array(F.lit(0), F.lit(1))).alias("_side"), "_upto")
+    first = F.when(F.col("_side") == 0, F.greatest(F.col("_upto") - (most - 1), F.lit(1))).otherwise(F.col("_upto") + 1)
+    last = F.when(F.col("_side") == 0, F.col("_upto")).otherwise(F.col("_upto") + most)
+    looks = looks.where((F.col("_side") == 1) | (F.col("_upto") > 0)).withColumn("_number", F.explode(F.sequence(first, last)))
+    # at or before a spot its nearest rows have the last numbers, behind it the first; in either order the first in ties is nearer
+    down, up = [F.row_number().over(W.partitionBy(*keys).orderBy("_place", o)).cast("long") for o in (F.col("_row").desc(), F.col("_row").asc())]
+    numbered = kept.withColumns({"_down": down, "_up": up}).withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+    numbered = numbered.select(*keys, "_side", F.when(F.col("_side") == 0, F.col("_down")).otherwise(F.col("_up")).alias("_number"), "_to", "_row")
+    apart = F.abs(F.col("_to") - F.col("_at"))
+    met = looks.join(numbered, [*keys, "_side", "_number"]).groupBy(*on, "_at").agg(F.collect_list(F.struct(apart.isNull().alias("far"), apart.alias("apart"), F.col("_row").alias("row"))).alias("_met"))
+    near = F.transform(F.slice(F.sort_array("_met"), 1, most), lambda x: F.struct(x["apart"].alias("apart"), *[x["row"][c].alias(c) for c in cells]))
+    return met.select(*on, F.col("_at").alias(at), near.alias("near"))
+
+
+def with_near(spots: DataFrame, near: DataFrame, on: list[str], at: str) -> DataFrame:
+    """Each row of the spots with its ``near`` of ``nearest_few``; those without any give no row."""
+    n = near.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], F.col(at).alias("_at"), "near")
+    same = F.col(at).eqNullSafe(F.col("_at"))
+    for i, c in enumerate(on):
+        same = same & (F.col(c) == F.col(f"_on{i}"))
+    return spots.join(n, same).drop("_at", *[f"_on{i}" for i in range(len(on))])
+
+
+def resolve_by_name(calls: DataFrame, defs: DataFrame, name: str, call_id: list[str], place: tuple[str, str], at: tuple[str, str], *ties: str, itself: tuple[str, str] | None = None) -> DataFrame:
     """A definition for each call: the nearest of the same place, else the only one of that name anywhere.
 
-    ``place`` names the column of the calls and that of the definitions which are equal at the same place; ``distance`` and ``other``, a condition
-    on candidates of the same place, are over columns of both sides. Calls meet definitions by name and place, and by name
+    ``place`` names the column of the calls and that of the definitions which are equal at the same place, ``at`` those whose difference is the
+    distance, ``itself`` those that must differ at the same place. Calls meet their nearest definitions by name and place, and by name
     only those names that have one definition: so a common name isn't paired out.
     """
     own, theirs = place
-    local = calls.withColumn("_place", F.col(own)).join(defs.withColumn("_place", F.col(theirs)), [name, "_place"]).drop("_place")
-    if other is not None:
-        local = local.where(other)
-    near = pick_one(local, call_id, distance, *[F.col(t) for t in ties])
+    spots = calls.withColumn("_beside", F.col(own))
+    near = nearest_few(spots, defs.withColumn("_beside", F.col(theirs)), [name, "_beside"], *at, 1, *ties, ident=itself and itself[1])
+    met = with_near(spots, near, [name, "_beside"], at[0])
+    left = F.col("near") if itself is None else F.filter("near", lambda d: d[itself[1]] != F.col(itself[0]))
+    local = met.withColumn("_d", F.get(left, F.lit(0))).where("_d is not null").drop("near", "_beside")
+    local = pick_one(local, call_id, F.col("_d.apart").asc_nulls_last(), *[F.col(f"_d.{t}") for t in ties])
     cells = [c for c in defs.columns if c != name]
-    only = defs.groupBy(name).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*cells)).alias("_d")).where("_n = 1").select(name, "_d.*")
-    rest = calls.join(near.select(*call_id), call_id, "left_anti").join(only, name)
-    return near.select(*rest.columns).unionByName(rest)
+    only = defs.groupBy(name).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*cells)).alias("_only")).where("_n = 1").select(name, "_only.*")
+    rest = calls.join(local.select(*call_id), call_id, "left_anti").join(only, name)
+    return local.select(*calls.columns, *[F.col(f"_d.{c}").alias(c) for c in cells]).select(*rest.columns).unionByName(rest)
 
 
 def argmin(candidates: list[DataFrame], keys: list[str], *order: str) -> DataFrame:

@@ -109,7 +109,7 @@ def call_graph(blocks: DataFrame, calls: DataFrame, sources: DataFrame, sinks: D
     around = lookups.containing(calls.withColumn("last", F.col("end") - 1), fn, ["path"], "pos", "body_start", "body_end").where("last <= body_end")
     site = around.select(F.col("callee").alias("name"), "pos", "node", F.col("path").alias("at_path"), F.col("start_line").alias("at_line"))
     defs = fn.select("name", F.col("node").alias("to"), F.col("path").alias("to_path"), F.col("start_line").alias("to_line"))
-    met = lookups.resolve_by_name(site, defs, "name", ["node", "pos", "name"], ("at_path", "to_path"), F.abs(F.col("at_line") - F.col("to_line")), "to_line")
+    met = lookups.resolve_by_name(site, defs, "name", ["node", "pos", "name"], ("at_path", "to_path"), ("at_line", "to_line"), "to_line")
     edges = met.where("node <> to").select(F.col("node").alias("src"), F.col("to").alias("dst"), F.lit("calls").alias("kind"))
     spots = sinks.groupBy("path", "line").agg(F.array_join(F.sort_array(F.collect_set("api_key")), ",").alias("api_keys")).withColumn("sink", F.concat_ws(":", F.lit("sink"), "path", "line"))
     inner = lookups.innermost(spots, fn, ["path"], ["path", "line"], "line", "start_line", "end_line")

@@ -449,7 +449,7 @@ def nearest_name_resolution(spark, sf_dir):
     p = tab(spark, sf_dir, "part", "p_name", "p_partkey", "p_brand", "p_size")
     calls = p.select("p_name", F.col("p_partkey").alias("call_id"), F.col("p_brand").alias("a_brand"), F.col("p_size").alias("a_size"))
     defs = p.select("p_name", F.col("p_partkey").alias("def_id"), "p_brand", "p_size")
-    met = lookups.resolve_by_name(calls, defs, "p_name", ["call_id"], ("a_brand", "p_brand"), F.abs(F.col("a_size") - F.col("p_size")), "def_id", other=F.col("call_id") != F.col("def_id"))
+    met = lookups.resolve_by_name(calls, defs, "p_name", ["call_id"], ("a_brand", "p_brand"), ("a_size", "p_size"), "def_id", itself=("call_id", "def_id"))
     return met.where("call_id <> def_id").select("call_id", "def_id")
 
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quarry.operators import frames, graphs, hooks, lookups
@@ -95,3 +97,47 @@ def test_hook_falls_back(spark):
         raise OSError("no network")
 
     assert rows(hooks.describe_rows(spark.createDataFrame([(1,)], "k int"), describe, "said", "none", delays=())) == [(1, "none")]
+
+
+def shuffled_rows(df):
+    """The most rows that a join or a generator of the executed plan gave."""
+    df.collect()
+    seen, most = [df._jdf.queryExecution().executedPlan()], 0
+    while seen:
+        p = seen.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            seen.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            seen.append(p.plan())
+        else:
+            if kind.endswith(("JoinExec", "GenerateExec")):
+                most = max(most, p.longMetric("numOutputRows").value())
+            seen += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_nearest_few_against_brute_force(spark):
+    rng = random.Random(5)
+    place = lambda: None if rng.random() < 0.1 else rng.randint(0, 15)
+    spots = [(k, rng.choice("xy"), place()) for k in range(60)]
+    known = [(rng.choice("xyz"), place(), rng.randint(0, 40), rng.randint(0, 2)) for _ in range(90)]
+    left = spark.createDataFrame(spots, "k int, name string, at int")
+    right = spark.createDataFrame(known, "name string, to int, id int, extra int")
+    for most in (1, 4):
+        got = lookups.with_near(left, lookups.nearest_few(left, right, ["name"], "at", "to", most, "id", ident="id"), ["name"], "at")
+        found = {r.k: [(d.apart, d.id, d.to, d.extra) for d in r.near if d.id != r.k][:most] for r in got.collect()}
+        for k, name, at in spots:
+            near = [(None if at is None or to is None else abs(at - to), i, to, x) for n, to, i, x in set(known) if n == name and i != k]
+            near.sort(key=lambda d: (d[0] is None, d[0] or 0, d[1], d[3] if d[2] is None else -1))
+            assert [d[:2] for d in found[k]] == [d[:2] for d in near[:most]]
+    assert lookups.nearest_few(left, right.limit(0), ["name"], "at", "to", 2, "id").count() == 0
+
+
+def test_a_common_name_is_not_paired_out(spark):
+    n = 1500
+    df = spark.range(n).select("id", F.lit("x").alias("name"), F.lit("p").alias("place"), (F.col("id") % 7).cast("int").alias("at"))
+    defs = df.select("name", F.col("id").alias("def_id"), F.col("place").alias("to_place"), F.col("at").alias("to_at"))
+    got = lookups.resolve_by_name(df.withColumnRenamed("id", "call_id"), defs, "name", ["call_id"], ("place", "to_place"), ("at", "to_at"), "def_id", itself=("call_id", "def_id"))
+    assert shuffled_rows(got) <= 4 * n
+    assert {(r.call_id, r.def_id) for r in got.collect()} == {(k, k % 7 if k >= 7 else k + 7) for k in range(n)}
