@@ -88,6 +88,14 @@ def sink_anchors(nodes: DataFrame, sinks: DataFrame) -> DataFrame:
     return _best([calls.where(off == 0), calls, around, met], keys).withColumnRenamed("sink_line", "line")
 
 
+def _answered(asks: DataFrame, answers: DataFrame, on: list[str], most: int) -> DataFrame:
+    """Each asking row (id, path, line) with the nearest functions of equal keys but itself: to, to_path, apart."""
+    near = lookups.nearest_few(asks, answers, on, "line", "to_line", most, "to", ident="to")
+    others = F.filter("near", lambda x: x["to"] != F.col("id"))
+    met = lookups.with_near(asks, near, on, "line").withColumn("_n", F.explode(F.slice(others, 1, most)))
+    return met.select("id", "path", "_n.to", "_n.to_path", "_n.apart")
+
+
 def local_calls(nodes: DataFrame) -> DataFrame:
     """(src, dst): from each call to the functions that it may mean: by name in its file for bare names and ``this``, by qualified name
     anywhere, and those that its code names through ``this``; the MOST nearest, its own file first."""
@@ -102,15 +110,21 @@ def local_calls(nodes: DataFrame) -> DataFrame:
     own = told.where("kind = 'own'").select("id", "path", "line", F.col("name").alias("wanted"))
     referred = call.select("id", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"\bthis\.([A-Za-z_$][\w$]*)\b"), F.lit(1)))).alias("wanted"))
     same = own.unionByName(referred).distinct()
-    here = same.join(fn, (F.col("wanted") == F.col("to_name")) & (F.col("path") == F.col("to_path")))
+    named = fn.select(F.col("to_name").alias("wanted"), F.col("to_path").alias("path"), "to", "to_path", "to_line")
+    here = _answered(same, named, ["wanted", "path"], MOST)
     # a function answers to every end of a name that stands before its own with a dot
     before = F.call_function("regexp_extract_all", F.col("text"), F.concat(F.lit(r"([\w$]+)\.(?=\Q"), F.col("to_name"), F.lit(r"\E)")), F.lit(1))
     ends = F.flatten(F.transform(before, lambda q: F.transform(F.sequence(F.lit(1), F.length(q)), lambda i: F.substring(q, i, F.length(q)))))
     answers = fn.withColumn("qualifier", F.explode(F.array_distinct(ends))).withColumnRenamed("to_name", "name")
-    there = told.where("kind = 'qualified'").join(answers, ["name", "qualifier"])
-    cols = ["id", "path", "line", "to", "to_path", "to_line"]
-    met = here.select(*cols).unionByName(there.select(*cols)).where("id <> to").distinct()
-    kept = lookups.top_k(met, ["id"], MOST, F.col("path") != F.col("to_path"), F.abs(F.col("to_line") - F.col("line")), F.col("to"))
+    # those of its own file, then those of files, then those without one; twice MOST hold MOST of other files, where its own has fewer
+    files = lambda own: F.explode(F.when(F.col(own).isNotNull(), F.array(F.concat(F.lit("own:"), own), F.lit("any"))).otherwise(F.array(F.lit("none"))))
+    asks = lambda own: F.explode(F.when(F.col(own).isNotNull(), F.array(F.concat(F.lit("own:"), own), F.lit("any"), F.lit("none"))).otherwise(F.array(F.lit("any"), F.lit("none"))))
+    qualified = told.where("kind = 'qualified'").select("id", "path", "line", "name", "qualifier", asks("path").alias("files"))
+    there = _answered(qualified, answers.select("name", "qualifier", files("to_path").alias("files"), "to", "to_path", "to_line"), ["name", "qualifier", "files"], 2 * MOST)
+    cols = ["id", "path", "to", "to_path", "apart"]
+    met = here.select(*cols).unionByName(there.select(*cols)).distinct()
+    foreign = F.coalesce((F.col("path") != F.col("to_path")).cast("int"), F.lit(2))
+    kept = lookups.top_k(met, ["id"], MOST, foreign, F.col("apart").asc_nulls_last(), F.col("to"))
     return kept.select(F.col("id").alias("src"), F.col("to").alias("dst"))
 
 

@@ -8,6 +8,7 @@ from quarry.functions import text as T
 from quarry.operators import frames, graphs, lookups
 from quarry.plans import analysis, cpg, features, flows, report, run, symbols, ui
 from quarry.sources import files, writers
+from tests.test_operators import shuffled_rows
 
 HOME = """import router from '@ohos.router';
 import geo from '@ohos.geoLocationManager';
@@ -136,6 +137,21 @@ def test_graph_paths_between_anchors(spark):
     assert rows(g_nodes, "node", "type") == [("cpg:2", "function"), ("cpg:3", "function"), ("sink:f:22", "sinkCall"), ("source:f:1:build", "source")]
 
 
+def test_local_calls_of_a_common_name(spark):
+    """Nearest of the own file, of other files, of none, against brute force; calls and functions of one name aren't paired out."""
+    n = 600
+    made = [(i, ["Call"] if i % 2 else ["Function"], [None, "f", "g", "h"][i * 7 % 16 % 4], i * 5 % 11, "go", f"{'q' if i % 3 else 'this'}.go()", "q.go") for i in range(n)]
+    df = spark.createDataFrame([(*r[:4], r[3], *r[4:]) for r in made], "id long, labels array<string>, path string, line int, end_line int, name string, code string, full_name string")
+    got = cpg.local_calls(df)
+    want = set()
+    for i, label, path, line, *_ in made:
+        if label == ["Call"]:
+            fn = [(2 if path is None or p is None else int(p != path), abs(l - line), j) for j, k, p, l, *_ in made if k == ["Function"] and (i % 3 or path is not None and p == path)]
+            want |= {(i, j) for _, _, j in sorted(fn)[:6]}
+    assert {tuple(r) for r in got.collect()} == want
+    assert shuffled_rows(got) <= 30 * n
+
+
 def test_symbols(spark):
     decl = analysis.declared(spark.createDataFrame([("sdk/@ohos.geo.d.ts", SDK)], "path string, text string"))
     seen = symbols.rooted(decl, spark.createDataFrame([("@ohos.geo", "geo")], "module string, name string"))
