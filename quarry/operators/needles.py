@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.batches import bounded_batches
+
 #: Characters of all needles together that one automaton may hold, some hundred bytes each; checked before it is built.
 HELD = 1_000_000
 #: Characters of the seeds by which more needles meet texts.
@@ -67,6 +70,7 @@ def text_matches(lines: DataFrame, needles: DataFrame, text: str, needle: str, h
     Needles of ``held`` characters at most make one automaton, which each task builds once: only the texts cross to Python, each is read once, and
     rows leave for real matches alone. More needles go by ``seeded``.
     """
+    bounded_batches(lines.sparkSession)
     own = few(needles, needle, held)
     if own is None:
         return seeded(lines, needles, text, needle)
@@ -76,25 +80,60 @@ def text_matches(lines: DataFrame, needles: DataFrame, text: str, needle: str, h
 
 
 _PARTS = "array<struct<text:string,anchor:boolean>>"
+#: Parts that stand as Python objects at a time, before they go to an Arrow array.
+HELD_PARTS = 1 << 15
+
 
+def cut(text: str | None, automaton) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is a needle) of the text cut at the needles, from the left, the longest first; nothing without any.
 
-def cut(text: str | None, automaton) -> list[dict]:
-    """The text cut at the needles, from the left, the longest first; nothing without any."""
+    Needles come by their ends. A start counts once no longer needle can begin there or before it, so only those of a stretch are held.
+    """
     longest: dict[int, int] = {}
+    at = 0
+    reach = 0
+
+    def settled(below: int) -> Iterator[tuple[str, bool]]:
+        nonlocal at
+        for start in sorted(s for s in longest if s < below):
+            size = longest.pop(start)
+            if start >= at:
+                if start > at:
+                    yield text[at:start], False
+                at = start + size
+                yield text[start:at], True
+
     for end, n in automaton.iter(text or ""):
+        if len(longest) >= HELD_PARTS:
+            reach = reach or max(map(len, automaton))
+            yield from settled(end - reach + 1)
         start = end - len(n) + 1
-        if len(n) > longest.get(start, 0):
+        if start >= at and len(n) > longest.get(start, 0):
             longest[start] = len(n)
-    out, at = [], 0
-    for start in sorted(longest):
-        if start >= at:
-            if start > at:
-                out.append({"text": text[at:start], "anchor": False})
-            at = start + longest[start]
-            out.append({"text": text[start:at], "anchor": True})
-    if out and at < len(text):
-        out.append({"text": text[at:], "anchor": False})
-    return out
+    yield from settled(len(text or ""))
+    if at and at < len(text):
+        yield text[at:], False
+
+
+def _cut_all(texts: Iterator[tuple[str | None, object]]) -> pa.Array:
+    """The parts of each text under its automaton (none: no parts), as an Arrow array of lists."""
+    names, flags, done, ends = [], [], [], [0]
+    kind = pa.struct([("text", pa.string()), ("anchor", pa.bool_())])
+
+    def flush() -> None:
+        done.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(flags, pa.bool_())], fields=list(kind)))
+        names.clear(), flags.clear()
+
+    for text, automaton in texts:
+        n = 0
+        for part, anchor in cut(text, automaton) if automaton else ():
+            names.append(part), flags.append(anchor)
+            n += 1
+            if len(names) >= HELD_PARTS:
+                flush()
+        ends.append(ends[-1] + n)
+    flush()
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(done))
 
 
 def tokenise(df: DataFrame, anchors: DataFrame, text: str, anchor: str, name: str = "tokens", held: int = HELD) -> DataFrame:
@@ -102,20 +141,21 @@ def tokenise(df: DataFrame, anchors: DataFrame, text: str, anchor: str, name: st
 
     Few anchors make one automaton for all texts; of many, each text first meets those that it holds, and makes one of its own.
     """
+    bounded_batches(df.sparkSession)
     own = few(anchors, anchor, held)
     if own is not None:
 
-        @F.pandas_udf(_PARTS)
-        def parts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(_PARTS)
+        def parts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             a = _automaton(own) if own else None
             for t in texts:
-                yield t.map(lambda x: cut(x, a) if a else [])
+                yield _cut_all((x.as_py(), a) for x in t)
 
         return df.withColumn(name, parts(F.col(text)))
 
-    @F.pandas_udf(_PARTS)
-    def own_parts(texts: pd.Series, held_anchors: pd.Series) -> pd.Series:
-        return pd.Series([cut(t, _automaton(list(a))) if a is not None and len(a) else [] for t, a in zip(texts, held_anchors)])
+    @F.arrow_udf(_PARTS)
+    def own_parts(texts: pa.Array, held_anchors: pa.Array) -> pa.Array:
+        return _cut_all((t.as_py(), _automaton(a.as_py()) if a.is_valid and len(a) else None) for t, a in zip(texts, held_anchors))
 
     texts = df.select(F.col(text).alias("_text")).where("_text is not null").distinct()
     met = seeded(texts, anchors.select(F.col(anchor).alias("_anchor")).distinct(), "_text", "_anchor").groupBy(F.xxhash64("_text").alias("_key"), "_text").agg(F.collect_set("_anchor").alias("_own")).drop("_key")

@@ -1,6 +1,7 @@
 """Needles in texts and texts cut at anchors, against brute force, by one automaton and by seeds."""
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -47,3 +48,20 @@ def test_tokenise(tables, held, few):
     want = sorted((k, [*map(tuple, cut_by_hand(x, some))]) for k, x in texts)
     assert sorted((r.k, [tuple(p) for p in r.tokens]) for r in got.collect()) == want
     assert all(r.tokens == [] for r in needles.tokenise(t, n.limit(0), "t", "n", held=held).collect())
+
+
+def test_python_holds_few_parts_at_a_time(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20)
+    df = spark.createDataFrame([(1, "ab")], "k int, t string")
+    needles.tokenise(df, df.selectExpr("'a' as n"), "t", "n").collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    rng, some = random.Random(6), ["a", "ab", "abab", "bb"]
+    texts = ["".join(rng.choice("ab ") for _ in range(200_000)), "b" * 99_999, " ", None]
+    automaton = needles._automaton(some)
+    assert [list(needles.cut(t, automaton)) for t in texts] == [cut_by_hand(t, some) for t in texts]
+    tracemalloc.start()
+    got = needles._cut_all((t, automaton) for t in texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in got] == [len(cut_by_hand(t, some)) for t in texts]
+    assert most < 12 << 20
