@@ -35,7 +35,7 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)").fullma
 
 
 class WordEncoder:
-    """Encodes whole texts piece by piece between blanks, keeping the ids of pieces seen before.
+    """Encodes whole texts piece by piece between blanks and line feeds, keeping the ids of pieces seen before.
 
     Exact for tokenizers whose pre-tokenizer never lets a token cross white space and drops it, and
     whose normalizer works within a piece, as in ``word_bpe_49k.json``. Pieces not seen before go through the
@@ -77,6 +77,13 @@ class WordEncoder:
         raw, cut = ids.tobytes(), cut.tolist()
         return [raw[i:j] for i, j in zip([0, *cut], cut)]
 
+    def _known(self, pieces: set[str], encode) -> dict[str, bytes]:
+        """The ids of pieces, of which only those not kept so far are encoded."""
+        got = {p: ids for p in pieces if (ids := self.young.get(p) or self.old.get(p))}
+        fresh = list(pieces.difference(got))
+        got.update(zip(fresh, encode(fresh) if fresh else ()))
+        return got
+
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """The ids of pieces not kept so far; those too long to keep are returned."""
         kept, old, hard, plain = {}, self.old, [], []
@@ -88,8 +95,8 @@ class WordEncoder:
             else:
                 hard.append(p)
         if plain:
-            cores, tails = list({c.lower() for _, c, _ in plain}), list({t for _, _, t in plain if t})
-            core, tail = dict(zip(cores, self._together(cores))), dict(zip(tails, self._each(tails))) | {"": b""}
+            core, tail = self._known({c.lower() for _, c, _ in plain}, self._together), self._known({t for _, _, t in plain if t}, self._each) | {"": b""}
+            kept.update(core)
             kept.update([(p, core[c.lower()] + tail[t]) for p, c, t in plain])
         long = {}
         for p, got in zip(hard, self._each(hard)):
@@ -127,7 +134,7 @@ class WordEncoder:
                 if end < len(text):
                     end = text.find(" ", end)
                     end = len(text) if end < 0 else end
-                rows.append((i, text[at:end].split(" ")))
+                rows.append((i, text[at:end].replace("\n", " ").split(" ")))
                 size, at = size + end - at, end
                 if size >= step:
                     flush()

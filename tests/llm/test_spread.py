@@ -102,3 +102,15 @@ def test_words_spelt_in_pieces_are_restored(spark):
     clean = "you are st and up in the id of a s t"
     assert score(clean) < 0.05
     assert all(score(r.text) < 0.05 for r in docs.where("not text rlike '(?i)st?upid|clown|idio'").limit(100).collect())
+
+
+def test_the_encoder_learns_each_word_once():
+    code = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    asked, together, each = [], code._together, code._each
+    code._together = lambda words: asked.extend(words) or together(words)
+    code._each = lambda words: asked.extend(words) or each(words)
+    texts = ["word other", "Word, other.\nWord", "a\n\nb \n a\r\nx", "\n", "don'\nt it's\n's", "e\ńx 1\n2..\n..", "<|endoftext|>\n<|endoftext|>", ""]
+    got = [[int.from_bytes(x[i : i + 2], "little") for i in range(0, len(x), 2)] for x in (code(t) for t in texts)]
+    assert got == [code.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(asked.count(w) == 1 for w in ("word", "other", ",", "."))
+    assert not any("\n" in w for w in asked)
