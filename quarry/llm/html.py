@@ -20,6 +20,8 @@ from quarry.llm.common import bounded_batches, staged, table
 AGREE, WINDOW = 8, 4
 #: Share of a block's words that repeats must cover, share of a page's words that must be its own (else it is a copy), pages of a run that fills a host.
 COVERED, OWN, FILLS = 0.5, 0.2, 10
+#: Keys of articles that a task holds at once when it looks for those on most of a host's pages.
+HELD_KEYS = 2_000_000
 
 #: Elements of HTML by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -221,13 +223,21 @@ def _stream(blocks: list[Block]) -> tuple[list[str], list[int]]:
 
 
 _BLOCK = pa.struct([("text", pa.string()), ("start", pa.int32()), ("chrome", pa.bool_())])
-_PARSED = "page_id long, url string, host string, text string, blocks array<struct<text:string,start:int,chrome:boolean>>, places array<int>, keys array<long>"
+_PARSED = "page_id long, url string, host string, text string, blocks array<struct<text:string,start:int,chrome:boolean>>, places array<int>, keys array<long>, article long, own_keys array<long>"
+
+
+def article_suffixes(texts: list[str], host: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Where each block of an article begins in its stream, and (places, keys) of the sampled suffixes.
+
+    One of ``AGREE`` in a row is sampled, so that what lies between two that a run covers is covered too."""
+    tokens, starts = _stream([Block(t, "<>", "content") for t in texts])
+    return starts, *sampled_suffixes(tokens, host, window=AGREE)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with an article: its text, and the suffixes of what stands around it. Other pages: all blocks and suffixes."""
+    """Pages with an article: its text, its suffixes, and those of what stands around it. Other pages: all blocks and suffixes."""
     for b in batches:
-        hosts, texts, kept, places, keys = b.column(2).to_pylist(), [], [], [], []
+        hosts, texts, kept, places, keys, articles, own_keys = b.column(2).to_pylist(), [], [], [], [], [], []
         for host, page in zip(hosts, b.column(3)):
             blocks = blocks_of(page.as_py())
             for part in ("content", "holder", None):
@@ -241,8 +251,57 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append([] if own else [{"text": x.text, "start": s, "chrome": x.part == "chrome"} for x, s in zip(rest, starts)])
             places.append([] if own else at)
             keys.append(key if not own else np.unique(key))
+            articles.append(xxhash.xxh64_intdigest(texts[-1]) - 2**63 if own else None)
+            own_keys.append(np.unique(article_suffixes(own, host)[2]) if own else [])
         columns = [pa.array(texts, pa.string()), pa.array(kept, pa.list_(_BLOCK)), pa.array(places, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], names=["page_id", "url", "host", "text", "blocks", "places", "keys"])
+        columns += [pa.array(articles, pa.int64()), pa.array(own_keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], names=["page_id", "url", "host", "text", "blocks", "places", "keys", "article", "own_keys"])
+
+
+def _common(batches: Iterator[pa.RecordBatch], held: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(host, key) of keys on more than half of a host's pages among those a task holds at once.
+
+    A key on more than half of all its host's pages is so in at least one such set of pages, whatever the sets are."""
+    pages: dict[str, list[np.ndarray]] = {}
+    size, most = 0, HELD_KEYS if held is None else held
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for host, lists in pages.items():
+            values, counts = np.unique(np.concatenate(lists), return_counts=True)
+            common = values[2 * counts > len(lists)]
+            if len(common):
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(common), pa.string()), pa.array(common, pa.int64())], names=["host", "key"])
+        pages.clear()
+
+    for b in batches:
+        for host, keys in zip(b.column(0).to_pylist(), b.column(1)):
+            own = keys.values.to_numpy()
+            pages.setdefault(host, []).append(own)
+            size += len(own)
+            if size >= most:
+                yield from rows()
+                size = 0
+    yield from rows()
+
+
+def own_blocks(texts: list[str], host: str, fills: set[int]) -> list[str]:
+    """The blocks of an article that runs on most of the host's articles (``fills``) don't cover.
+
+    Where these are most of its words, the article is one of many alike, and is kept whole."""
+    starts, places, keys = article_suffixes(texts, host)
+    sizes = [t.count(" ") + 1 for t in texts]
+    hit = np.zeros(starts[-1] + 1 + sizes[-1] + AGREE, bool)
+    for at, key in zip(places.tolist(), keys.tolist()):
+        if key in fills:
+            hit[at : at + AGREE] = True
+    gone = [hit[s + 1 : s + 1 + n].sum() >= COVERED * n for s, n in zip(starts, sizes)]
+    return texts if 2 * sum(n for n, g in zip(sizes, gone) if g) > sum(sizes) else [t for t, g in zip(texts, gone) if not g]
+
+
+def _cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = ["\n\n".join(own_blocks(text.split("\n\n"), host, set(hits))) for host, text, hits in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def unique_runs(blocks: list[dict], places: list[int], keys: list[int], spread: dict[int, int], pages: int) -> str:
@@ -279,15 +338,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the article's blocks in page order, joined by two line feeds.
 
     Each page is a stream of words and block marks. The suffixes of all streams of a host are compared in their first ``AGREE``
-    tokens, and stretches that other pages of the host have too are covered. Text that an article or main element holds
-    stays whole, since articles share passages; what stands around it goes, covered or not. On pages without one, blocks of
+    tokens, and stretches that other pages of the host have too are covered. Articles share passages, so of what an article or main
+    element holds only runs count that are on more than half of the host's pages with an article and in more than half of its
+    different articles, of which there are ``FILLS`` or more; blocks of which they cover half the words go. What stands around it goes, covered or not. On pages without one, blocks of
     which half the words are covered are boilerplate, as are those that name themselves so or consist of links, and the rest is kept.
 
     Hosts are read from urls as they stand before the path, lower-cased; null urls share the host ''. Null html is empty; a page without text
     has ''. Null and repeated ids keep their rows; each row is a page. Other columns are ignored; an empty table gives no rows.
 
-    What shuffles are keys, a number for each sampled suffix, counted within tasks first; the lists of a page are its own. Texts are
-    written once, and only pages without an article's element meet the repeated keys.
+    What shuffles are keys, a number for each sampled suffix, counted within tasks first; the lists of a page are its own. Keys of
+    articles leave a task only where they are on most of a host's pages there, and are then counted exactly. Texts are
+    written once; pages without an article's element meet the repeated keys, articles the few that fill their host.
     """
     bounded_batches(pages.sparkSession)
     address = F.coalesce(F.col("url").cast("string"), F.lit(""))
@@ -300,7 +361,18 @@ def main_text(pages: DataFrame) -> DataFrame:
     spread = undecided.select("row", F.explode(F.array_distinct("keys")).alias("key")).join(repeated, "key").groupBy("row").agg(F.collect_list(F.struct("key", "pages")).alias("spread"))
     hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     known = undecided.join(hosts, "host").join(spread, "row", "left").select("page_id", "url", "blocks", "places", "keys", "spread", "host_pages")
-    texts = parsed.where("text is not null").select("page_id", "url", "text").unionByName(known.mapInArrow(_decided, "page_id long, url string, text string"))
+
+    articles = parsed.where("article is not null")
+    sizes = articles.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("article").alias("n_articles")).where(F.col("n_articles") >= FILLS)
+    common = staged(articles.select("host", "own_keys").mapInArrow(_common, "host string, key long").distinct().join(sizes, "host"), "html-common")
+    met = articles.select("article", F.explode("own_keys").alias("key")).join(common, "key").groupBy("host", "key", "n", "n_articles")
+    met = met.agg(F.count(F.lit(1)).alias("on"), F.count_distinct("article").alias("in")).where("2 * on > n and 2 * in > n_articles")
+    fills = staged(met.groupBy("host").agg(F.collect_list("key").alias("fills")), "html-fills")
+    held = parsed.where("text is not null").join(fills, "host", "left")
+    hits = F.array_intersect("own_keys", "fills")
+    as_they_are = held.where(F.coalesce(F.size(hits), F.lit(0)) <= 0).select("page_id", "url", "text")
+    cleared = held.where(F.size(hits) > 0).select("page_id", "url", "host", "text", hits.alias("hits")).mapInArrow(_cleared, "page_id long, url string, text string")
+    texts = as_they_are.unionByName(cleared).unionByName(known.mapInArrow(_decided, "page_id long, url string, text string"))
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

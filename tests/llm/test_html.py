@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import html
@@ -117,3 +119,40 @@ def test_sampled_suffixes_meet_in_every_shared_run():
         pad = lambda t, i: tuple((t + [None] * html.AGREE)[i : i + html.AGREE])
         assert agreeing == {(i, j) for i in at_a for j in at_b if pad(a, i) == pad(b, j)}
     assert not set(html.sampled_suffixes(run, "h")[1]) & set(html.sampled_suffixes(run, "other")[1])
+
+
+def test_what_most_articles_of_a_host_hold_goes_from_them(spark):
+    """A notice that no name tells, within the article on every page, goes; what a quarter share stays, as does a page copied over its host."""
+    rng = random.Random(8)
+    notice, passage, copied = words(rng, 14), words(rng, 20), words(rng, 40)
+    pages, want = [], {}
+    for k in range(40):
+        own = [words(rng, 30), *([passage] if k % 4 == 0 else []), words(rng, 50)]
+        pages.append((k, "http://news.test/", article("".join(f"<p>{x}</p>" for x in (own[0], notice, *own[1:]))), None, 0))
+        want[k] = "\n\n".join(own)
+    for k in range(40, 70):
+        text = copied if k < 58 else words(rng, 30)
+        pages.append((k, "http://copy.test/", article(f"<p>{text}</p>"), None, 0))
+        want[k] = text
+    for k in range(70, 79):  # too few articles to tell
+        own = words(rng, 30)
+        pages.append((k, "http://few.test/", article(f"<p>{own}</p><p>{notice}</p>"), None, 0))
+        want[k] = f"{own}\n\n{notice}"
+    for k in range(79, 95):  # articles alike in most of their words
+        own = words(rng, 10)
+        pages.append((k, "http://alike.test/", article(f"<p>{copied}</p><p>{own}</p>"), None, 0))
+        want[k] = f"{copied}\n\n{own}"
+    made = spark.createDataFrame(pages, KIND).repartition(5)
+    assert {r.page_id: r.text for r in html.main_text(made).collect()} == want
+
+
+def test_keys_on_most_pages_leave_a_task():
+    rng = np.random.default_rng(5)
+    for held in (1, 40, 1000):
+        lists = [(f"h{rng.integers(3)}", np.unique(rng.integers(0, 9, rng.integers(0, 9)))) for _ in range(60)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([h for h, _ in part]), pa.array([k for _, k in part], pa.list_(pa.int64()))], names=["host", "own_keys"]) for part in (lists[:25], lists[25:])]
+        got = {(r["host"], r["key"]) for b in html._common(iter(batches), held) for r in b.to_pylist()}
+        for host in ("h0", "h1", "h2"):
+            own = [k for h, k in lists if h == host]
+            most = {(host, x) for x in range(9) if 2 * sum(x in k for k in own) > len(own)}
+            assert most <= got and (held < 1000 or most == {x for x in got if x[0] == host})
