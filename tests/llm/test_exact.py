@@ -355,3 +355,21 @@ def test_components(spark):
     got = {r.node: r.component for r in common.connected_components(e, "a", "b").collect()}
     assert got == {i: 0 for i in range(1, 31)} | {101: 100}
     assert common.connected_components(e.where(F.col("a") > 1000), "a", "b").count() == 0
+
+
+def test_pieces_count_as_the_library_does():
+    """Texts are counted by pieces seen once, exactly; what pieces can't tell has no count. Before, each text went through the library whole."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = counts.tokenizer(path)
+    pieces, rng = counts.PieceCounter(path, room=20_000), random.Random(6)
+    easy = ["a", "B", "é", "1", "²", "_", ".", " ", " ", "\n", "'s", "'", "...", ", ", ". ", "中", "́", "😀", "word", ";", "!\n"]
+    odd = ["\n\n", "\t", "\xa0", "　", "\x85", "<|endoftext|>", "<|", "\x01", "\x02", "\r\n", "​", "\x00"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 14))) for marks in (easy, easy + odd) for _ in range(5000)]
+    got = [n for at in range(0, len(texts), 500) for n in pieces.counts(texts[at : at + 500], step=700)]
+    want = [len(e.ids) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert all(n in (None, m) for n, m in zip(got, want)) and sum(n is not None for n in got) > len(texts) / 4
+    met = []
+    pieces._each = pieces._together = lambda texts: met.extend(texts) or [1] * len(texts)
+    prose = "Plain words, and more of them.\nPlain words again; and\n\nmore. " * 50 + "end"
+    assert None not in pieces.counts([prose] * 20) and len("".join(met)) < len(prose)
+    assert not counts.PieceCounter.fits(public_tokenizers.path("word_bpe_49k.json"))
