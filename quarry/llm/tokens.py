@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_batches, input_splits, shared_dir, table
+from quarry.llm.counts import LONE_SIGN
 
 MAGIC = b"QTOK1"
 #: Documents whose id arrays train the dictionary, bytes of a piece of them, pieces of a document that count, and bytes of the dictionary.
@@ -32,6 +33,16 @@ SHARDS = "part int, seq int, n_docs int, n_tokens long, dict_sha256 string, widt
 #: Pieces of Latin-1 letters with ASCII signs behind: lower-casing is per letter, composition changes nothing,
 #: and the letters form one pre-token, as do the signs. No apostrophe: it may start a contraction; no <|>: special tokens.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
+#: Of these, the ones that are letters alone, lower-cased.
+_LOWER = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordEncoder:
@@ -40,7 +51,8 @@ class WordEncoder:
     Exact for tokenizers whose pre-tokenizer never lets a token cross white space and drops it, and
     whose normalizer works within a piece, as in ``word_bpe_49k.json``. Pieces not seen before go through the
     library together: plain ones as one text, told apart by the word-end mark of their last tokens, all
-    others one by one. Memory is bounded: long pieces aren't kept, and of two stores of ``room`` bytes the older
+    others one by one. Where plain ones are told, texts of Latin-1 are lower-cased first, as the normalizer would, and
+    signs behind a word of theirs become pieces of their own, so that fewer pieces are new. Memory is bounded: long pieces aren't kept, and of two stores of ``room`` bytes the older
     one is dropped when the younger is full. Ids are ``width`` bytes each: two, or four where the tokenizer has more than 65,536.
     """
 
@@ -54,6 +66,7 @@ class WordEncoder:
         spec = json.loads(Path(path).read_text())
         self.whole = Tokenizer.from_file(path)
         steps = spec["pre_tokenizer"].get("pretokenizers", [])
+        normal, self.folds = (spec["normalizer"] or {}).get("normalizers", []), False
         self.plain, self.young, self.old, self.held, self.room, self.longest = None, {}, {}, 0, room, longest
         self.width = width_of(self.whole)
         self.kind = f"<u{self.width}"
@@ -62,6 +75,7 @@ class WordEncoder:
             self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}))
             mark = spec["model"]["end_of_word_suffix"]
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(mark)]] = True
+            self.folds = [s["type"] for s in normal] == ["NFC", "Replace", "Lowercase"] and all("<|" in t["content"] for t in spec["added_tokens"])
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -86,14 +100,19 @@ class WordEncoder:
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """The ids of pieces not kept so far; those too long to keep are returned."""
-        kept, old, hard, plain = {}, self.old, [], []
+        kept, old, hard, plain, lower = {}, self.old, [], [], []
         for p in new:
             if p in old:
                 kept[p] = old[p]
+            elif self.folds and len(p) <= self.longest and _LOWER(p):
+                lower.append(p)
             elif self.plain is not None and len(p) <= self.longest and (m := _PLAIN(p)):
                 plain.append((p, *m.groups()))
             else:
                 hard.append(p)
+        if lower:
+            kept.update(zip(lower, self._together(lower)))
+            self.young.update(kept)
         if plain:
             core, tail = self._known({c.lower() for _, c, _ in plain}, self._together), self._known({t for _, _, t in plain if t}, self._each) | {"": b""}
             kept.update(core)
@@ -102,12 +121,17 @@ class WordEncoder:
         for p, got in zip(hard, self._each(hard)):
             (kept if len(p) <= self.longest else long)[p] = got
         self.young.update(kept)
-        self.held += sum(self.ENTRY + 2 * len(p) + len(got) for p, got in kept.items())
+        self.held += self.ENTRY * len(kept) + 2 * sum(map(len, kept)) + sum(map(len, kept.values()))
         return long
 
     def forget(self) -> None:
         self.young, self.old, self.held = {}, {}, 0
 
+    def _pieces(self, text: str) -> list[str]:
+        if self.folds and "<|" not in text and _latin(text):
+            text = LONE_SIGN.sub(r" \1", text.lower())
+        return text.replace("\n", " ").split(" ")
+
     def batch(self, texts: list[str], step: int = 1 << 20) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes, a megabyte of text at a time."""
         out: list[list[bytes]] = []
@@ -134,7 +158,7 @@ class WordEncoder:
                 if end < len(text):
                     end = text.find(" ", end)
                     end = len(text) if end < 0 else end
-                rows.append((i, text[at:end].replace("\n", " ").split(" ")))
+                rows.append((i, self._pieces(text[at:end])))
                 size, at = size + end - at, end
                 if size >= step:
                     flush()

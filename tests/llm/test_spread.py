@@ -1,5 +1,8 @@
 """Rows alike are spread over the tasks; samples are bounded by rows; odd names, empty tables and long texts pass."""
 
+import random
+
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +117,15 @@ def test_the_encoder_learns_each_word_once():
     assert got == [code.whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert all(asked.count(w) == 1 for w in ("word", "other", ",", "."))
     assert not any("\n" in w for w in asked)
+
+
+def test_the_encoder_folds_texts_and_sets_signs_off():
+    """Case and signs behind words make no new pieces; ids stay the library's, also where folding alone would be wrong."""
+    code, rng = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), room=20_000), random.Random(2)
+    code.batch(["Wort wort, WORT. wort;\nWort! wort"])
+    assert set(code.young) == {"wort", ",", ".", ";", "!"}
+    marks = ["a", "B", "é", "É", "ß", "1", "²", "_", ".", " ", " ", " ", "\n", "\t", "\xa0", "'s", "'S", "'", "...", ", ", ". ", "µ", "ª", "word", "The", ";", "!\n"]
+    odd = ["<|endoftext|>", "<|ENDOFTEXT|>", "İ", "Σ", "ς", "中", "́", "😀", "\x85", "\x00"]
+    texts = ["".join(rng.choices(kinds, k=rng.randint(0, 14))) for kinds in (marks, marks + odd) for _ in range(3000)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in code.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x for at in range(0, len(texts), 500) for x in code.batch(texts[at : at + 500], step=900)] == want
