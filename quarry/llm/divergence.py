@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,38 +14,46 @@ from quarry.llm.common import bounded_batches, staged, table, words_in_slices
 
 #: Documents of a language that a term needs, what is added to each count, the scale of p, ranks of part ``term``.
 LEAST_DOCS, ADDED, SCALE, RANKS = 30, 5, 1_000_000_000, 50
-#: Entries of a task's tally before it is handed on.
-ENTRIES = 200_000
+#: Entries and documents of a task's tally before it is handed on.
+ENTRIES, DOCS = 600_000, 1_000_000
+#: A document in an entry of the tally, whose lower bits count occurrences.
+_DOC = 1 << 40
 #: Bytes of UTF-8 that make terms: letters of ASCII, lower-cased, and all bytes of other characters. The rest parts them.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs): occurrences and documents of each term, summed within a bounded tally."""
-    tally: dict[tuple, list[int]] = {}
-
-    def rows() -> pa.RecordBatch:
-        keys = list(tally)
-        columns = [pa.array([k[i] for k in keys], kind) for i, kind in ((0, pa.string()), (1, pa.string()), (2, pa.binary()))]
-        values = [pa.array([v[i] for v in tally.values()], pa.int64()) for i in (0, 1)]
+    tally: dict[tuple[str, str], dict[bytes, int]] = {}
+    size = docs = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), known in tally.items():
+            sums = np.fromiter(known.values(), np.int64, len(known))
+            columns = [pa.repeat(pa.scalar(lang), len(known)), pa.repeat(pa.scalar(source), len(known)), pa.array(list(known), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums & (_DOC - 1)), pa.array(sums // _DOC)], names=["lang", "source", "term", "n", "docs"])
         tally.clear()
-        return pa.RecordBatch.from_arrays([*columns, *values], names=["lang", "source", "term", "n", "docs"])
 
     for b in batches:
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             own: Counter = Counter()
             for words in words_in_slices(text.as_buffer().to_pybytes().translate(_FOLD)):
                 own.update(words)
+            known = tally.setdefault((lang, source), {})
+            size, docs, get = size - len(known), docs + 1, known.get
             for term, n in own.items():
-                if (known := tally.get(key := (lang, source, term))) is None:
-                    tally[key] = [n, 1]
-                else:
-                    known[0] += n
-                    known[1] += 1
-            if len(tally) >= ENTRIES:
-                yield rows()
-    if tally:
-        yield rows()
+                known[term] = get(term, 0) + n + _DOC
+            size += len(known)
+            if size >= ENTRIES or docs >= DOCS:
+                yield from rows()
+                size = docs = 0
+    yield from rows()
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tallies, terms as strings: bytes that make terms are parted at ASCII only, so each is whole UTF-8."""
+    for b in _tallies(batches):
+        yield b.set_column(2, "term", b.column(2).cast(pa.string()))
 
 
 def _p(n: str | Column, total: str, terms: str) -> Column:
@@ -71,9 +80,9 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int
     spark = docs.sparkSession
     bounded_batches(spark)
     src = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    told = src.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(_tallies, "lang string, source string, term binary, n long, docs long")
-    each = told.withColumn("term", F.decode("term", "utf-8")).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    of_term = Window.partitionBy("lang", "term")
+    told = src.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(_told, "lang string, source string, term string, n long, docs long")
+    each = told.repartition("term", "lang").groupBy("term", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("term", "lang")  # sorts compare what differs first
     kept = each.withColumns({"lang_docs": F.sum("docs").over(of_term), "lang_n": F.sum("n").over(of_term)}).where(F.col("lang_docs") >= least_docs)
     kept = staged(kept.select("lang", "source", "term", "n", "lang_n"), "divergence-counts")
 
@@ -88,7 +97,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int
     levels = kept.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("m"))
     left = kept.select("lang", "term", F.col("source").alias("a"), F.col("n").alias("ca"))
     right = kept.select("lang", "term", F.col("source").alias("b"), F.col("n").alias("cb"))
-    both = left.join(right, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("m"))
+    both = left.join(right, ["term", "lang"]).where("a < b").groupBy("lang", "a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("m"))
     shares = F.explode(F.array(*(F.struct(ca.alias("ca"), cb.alias("cb"), m.alias("m")) for ca, cb, m in (
         (F.col("ca"), F.col("cb"), F.col("m")), (F.col("ca"), F.lit(0), -F.col("m")), (F.lit(0), F.col("cb"), -F.col("m")), (F.lit(0), F.lit(0), F.col("m"))))))
     names, zero = ["lang", "a", "b"], F.lit(0).cast("long")

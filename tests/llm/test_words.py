@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,21 @@ def test_automaton_against_all_edits():
     assert all(variants.holds(root, w) for w in words) and not variants.holds(root, "abcabcabc")
     for w in [*words, "", "abcabc", "zzz"]:
         assert variants.neighbours(root, w) == (edits(w, "abcz") - {w}) & words
+
+
+@pytest.mark.parametrize(("entries", "documents", "least_rows"), [(600_000, 1_000_000, 5), (600_000, 3, 8), (4, 1_000_000, 8)])
+def test_tallies_sum_terms_by_group(monkeypatch, entries, documents, least_rows):
+    """Terms leave as strings, summed by group, when entries or documents are many; the sums are whole whatever the bounds."""
+    monkeypatch.setattr(divergence, "ENTRIES", entries)
+    monkeypatch.setattr(divergence, "DOCS", documents)
+    rows = [("en", "a", "One two, two"), ("en", "b", "two é"), ("en", "a", "TWO"), ("", "", ""), ("en", "a", "one"), ("fr", "a", "two Éé"), ("en", "a", "one é")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array([r[2].encode() for r in part])], names=["lang", "source", "text"]) for part in (rows[:3], rows[3:])]
+    got, out = Counter(), [r for b in divergence._told(iter(batches)) for r in b.to_pylist()]
+    for r in out:
+        got.update({(r["lang"], r["source"], r["term"], "n"): r["n"], (r["lang"], r["source"], r["term"], "docs"): r["docs"]})
+    want = Counter()
+    for lang, source, text in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        want.update((lang, source, t, "n") for t in terms)
+        want.update((lang, source, t, "docs") for t in set(terms))
+    assert got == want and len(out) >= least_rows
