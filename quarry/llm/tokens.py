@@ -9,10 +9,12 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_batches, input_splits, shared_dir, table
-from quarry.llm.counts import LONE_SIGN
 
 MAGIC = b"QTOK1"
 #: Documents whose id arrays train the dictionary, bytes of a piece of them, pieces of a document that count, and bytes of the dictionary.
@@ -35,6 +36,8 @@ SHARDS = "part int, seq int, n_docs int, n_tokens long, dict_sha256 string, widt
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
 #: Of these, the ones that are letters alone, lower-cased.
 _LOWER = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+#: The same signs behind a letter or digit, up to a blank, a line feed or the end: a pre-token of their own.
+_SIGNS = re.compile(r"([!-&(-/:;=?@\[-`{}~](?<=[^\W_].)[!-&(-/:;=?@\[-`{}~]*)(?=[ \n]|\Z)")
 
 
 def _latin(text: str) -> bool:
@@ -49,33 +52,36 @@ class WordEncoder:
     """Encodes whole texts piece by piece between blanks and line feeds, keeping the ids of pieces seen before.
 
     Exact for tokenizers whose pre-tokenizer never lets a token cross white space and drops it, and
-    whose normalizer works within a piece, as in ``word_bpe_49k.json``. Pieces not seen before go through the
+    whose normalizer works within a piece, as in ``word_bpe_49k.json``. Arrow tells the different pieces of some megabytes of text
+    and sets their ids in all their places, so that Python meets each once. Pieces not kept go through the
     library together: plain ones as one text, told apart by the word-end mark of their last tokens, all
     others one by one. Where plain ones are told, texts of Latin-1 are lower-cased first, as the normalizer would, and
-    signs behind a word of theirs become pieces of their own, so that fewer pieces are new. Memory is bounded: long pieces aren't kept, and of two stores of ``room`` bytes the older
-    one is dropped when the younger is full. Ids are ``width`` bytes each: two, or four where the tokenizer has more than 65,536.
+    signs behind a word become a piece of their own, so that fewer pieces are new. Memory is bounded: long pieces aren't kept, and when those
+    kept take ``room`` bytes, the half learned first goes. Ids are ``width`` bytes each: two, or four where the tokenizer has more than 65,536.
     """
 
     #: Bytes of an entry besides its characters and ids, as Python objects.
     ENTRY = 200
 
-    def __init__(self, path: str, room: int = 24 << 20, longest: int = 64):
+    def __init__(self, path: str, room: int = 96 << 20, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         spec = json.loads(Path(path).read_text())
         self.whole = Tokenizer.from_file(path)
-        steps = spec["pre_tokenizer"].get("pretokenizers", [])
-        normal, self.folds = (spec["normalizer"] or {}).get("normalizers", []), False
-        self.plain, self.young, self.old, self.held, self.room, self.longest = None, {}, {}, 0, room, longest
+        steps, normal = ([s["type"] for s in (spec[k] or {}).get(many, [])] for k, many in (("pre_tokenizer", "pretokenizers"), ("normalizer", "normalizers")))
+        self.plain, self.room, self.longest = None, room, longest
         self.width = width_of(self.whole)
         self.kind = f"<u{self.width}"
         self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
-        if [s["type"] for s in steps] == ["Split", "ByteLevel"] and spec["model"].get("end_of_word_suffix"):
-            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}))
-            mark = spec["model"]["end_of_word_suffix"]
+        special = all("<|" in t["content"] for t in spec["added_tokens"])
+        if steps == ["Split", "ByteLevel"] and normal == ["NFC", "Replace", "Lowercase"] and special and (mark := spec["model"].get("end_of_word_suffix")):
+            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}}))
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(mark)]] = True
-            self.folds = [s["type"] for s in normal] == ["NFC", "Replace", "Lowercase"] and all("<|" in t["content"] for t in spec["added_tokens"])
+        self.forget()
+
+    def forget(self) -> None:
+        self.young, self.held = {}, 0
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -91,64 +97,66 @@ class WordEncoder:
         raw, cut = ids.tobytes(), cut.tolist()
         return [raw[i:j] for i, j in zip([0, *cut], cut)]
 
-    def _known(self, pieces: set[str], encode) -> dict[str, bytes]:
-        """The ids of pieces, of which only those not kept so far are encoded."""
-        got = {p: ids for p in pieces if (ids := self.young.get(p) or self.old.get(p))}
-        fresh = list(pieces.difference(got))
-        got.update(zip(fresh, encode(fresh) if fresh else ()))
-        return got
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """The ids of pieces not kept so far; those too long to keep are returned."""
-        kept, old, hard, plain, lower = {}, self.old, [], [], []
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't kept, and of what they are put together from."""
+        got, lower, plain, hard = {}, {}, [], {}
         for p in new:
-            if p in old:
-                kept[p] = old[p]
-            elif self.folds and len(p) <= self.longest and _LOWER(p):
-                lower.append(p)
-            elif self.plain is not None and len(p) <= self.longest and (m := _PLAIN(p)):
-                plain.append((p, *m.groups()))
+            if self.plain is None or len(p) > self.longest:
+                hard[p] = None
+            elif _LOWER(p):
+                lower[p] = None
+            elif m := _PLAIN(p):
+                plain.append((p, m[1].lower(), m[2]))
             else:
-                hard.append(p)
+                hard[p] = None
+        if plain:
+            lower.update((c, None) for _, c, _ in plain if c not in self.young)
+            hard.update((t, None) for _, _, t in plain if t and t not in self.young)
         if lower:
-            kept.update(zip(lower, self._together(lower)))
-            self.young.update(kept)
+            got.update(zip(lower, self._together(list(lower))))
+        got.update(zip(hard, self._each(list(hard))))
         if plain:
-            core, tail = self._known({c.lower() for _, c, _ in plain}, self._together), self._known({t for _, _, t in plain if t}, self._each) | {"": b""}
-            kept.update(core)
-            kept.update([(p, core[c.lower()] + tail[t]) for p, c, t in plain])
-        long = {}
-        for p, got in zip(hard, self._each(hard)):
-            (kept if len(p) <= self.longest else long)[p] = got
-        self.young.update(kept)
-        self.held += self.ENTRY * len(kept) + 2 * sum(map(len, kept)) + sum(map(len, kept.values()))
-        return long
-
-    def forget(self) -> None:
-        self.young, self.old, self.held = {}, {}, 0
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.folds and "<|" not in text and _latin(text):
-            text = LONE_SIGN.sub(r" \1", text.lower())
-        return text.replace("\n", " ").split(" ")
+            part = lambda p: got[p] if p in got else self.young[p] if p else b""
+            got.update([(p, part(c) + part(t)) for p, c, t in plain])
+        return got
 
-    def batch(self, texts: list[str], step: int = 1 << 20) -> list[bytes]:
-        """The ids of each text as little-endian unsigned integers of ``width`` bytes, a megabyte of text at a time."""
+    def _parted(self, text: str) -> str:
+        """The text with a blank, and nothing else, between its pieces."""
+        if self.plain is not None and "<|" not in text and _latin(text):
+            text = _SIGNS.sub(r" \1", text.lower())
+        return text.replace("\n", " ")
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of parted texts."""
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        told = pieces.flatten().dictionary_encode()
+        names = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = self._learn([p for p in names if p not in self.young])
+        self.young.update(got)
+        laid = pa.array(map(self.young.__getitem__, names), pa.large_binary(), size=len(names)).take(told.indices)
+        _, starts, raw = laid.buffers()
+        cuts = np.frombuffer(starts, np.int64, len(laid) + 1)[pieces.offsets.to_numpy()].tolist()
+        for p in [p for p in got if len(p) > self.longest]:
+            del self.young[p], got[p]
+        self.held += self._size(got)
+        if self.held > self.room:
+            self.young = dict(islice(self.young.items(), len(self.young) // 2, None))
+            self.held = self._size(self.young)
+        return [raw[i:j].to_pybytes() if i < j else b"" for i, j in zip(cuts, cuts[1:])]
+
+    def _size(self, kept: dict[str, bytes]) -> int:
+        return self.ENTRY * len(kept) + 2 * sum(map(len, kept)) + sum(map(len, kept.values()))
+
+    def batch(self, texts: list[str], step: int = 4 << 20) -> list[bytes]:
+        """The ids of each text as little-endian unsigned integers of ``width`` bytes, some megabytes of text at a time."""
         out: list[list[bytes]] = []
-        rows: list[tuple[int, list[str]]] = []
+        rows: list[tuple[int, str]] = []
         size = 0
 
         def flush() -> None:
-            new = set()
-            for _, pieces in rows:
-                new.update(pieces)
-            long = self._learn(new.difference(self.young))
-            get = (lambda p: self.young[p] if p in self.young else long[p]) if long else self.young.__getitem__
-            for i, pieces in rows:
-                out[i].append(b"".join(map(get, pieces)))
+            for (i, _), ids in zip(rows, self._encode([t for _, t in rows])):
+                out[i].append(ids)
             rows.clear()
-            if self.held > self.room:
-                self.old, self.young, self.held = self.young, {}, 0
 
         for i, text in enumerate(texts):
             out.append([])
@@ -158,13 +166,14 @@ class WordEncoder:
                 if end < len(text):
                     end = text.find(" ", end)
                     end = len(text) if end < 0 else end
-                rows.append((i, self._pieces(text[at:end])))
+                rows.append((i, self._parted(text[at:end])))
                 size, at = size + end - at, end
                 if size >= step:
                     flush()
                     size = 0
-        flush()
-        return [b"".join(x) for x in out]
+        if rows:
+            flush()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
     def __call__(self, text: str) -> bytes:
         return self.batch([text])[0]
@@ -201,8 +210,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample: int = SAMP
         step = PIECE_BYTES // code.width * code.width
         for b in batches:
             rows = []
-            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = code(text or "") + end_id.to_bytes(code.width, "little")
+            for h, ids in zip(b.column(0).to_pylist(), code.batch([t or "" for t in b.column(1).to_pylist()])):
+                ids += end_id.to_bytes(code.width, "little")
                 n = min(PIECES, -(-len(ids) // step))
                 room = (len(ids) - n * step) // max(1, n - 1) // code.width * code.width if n > 1 else 0
                 rows += [(h, k, ids[k * (step + max(0, room)) : k * (step + max(0, room)) + step]) for k in range(n)]

@@ -129,3 +129,19 @@ def test_the_encoder_folds_texts_and_sets_signs_off():
     texts = ["".join(rng.choices(kinds, k=rng.randint(0, 14))) for kinds in (marks, marks + odd) for _ in range(3000)]
     want = [np.array(e.ids, "<u2").tobytes() for e in code.whole.encode_batch_fast(texts, add_special_tokens=False)]
     assert [x for at in range(0, len(texts), 500) for x in code.batch(texts[at : at + 500], step=900)] == want
+
+
+def test_the_encoder_meets_a_word_once_whatever_signs_follow():
+    """Runs of signs and a text's last sign make no new pieces, a known piece isn't met again, and ids stay the library's."""
+    code, rng = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), room=9_000), random.Random(3)
+    code.batch(["Wort&&& wort*** wort.\nwort.### wort_ wort"])
+    assert set(code.young) == {"wort", "&&&", "***", ".", ".###", "_"}
+    met, learn = [], code._learn
+    code._learn = lambda new: met.extend(new) or learn(new)
+    code.batch(["wort&&& Wort. neu."])
+    assert met == ["neu"]
+    marks = ["a", "B", "É", "1", "²", "_", "&&", ".", "'", "'s", "<", "|", ">", "(", "-", " ", " ", "\n", "word", "x" * 70, "İ", "’"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 12))) for _ in range(4000)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in code.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x for at in range(0, len(texts), 500) for x in code.batch(texts[at : at + 500], step=900)] == want
+    assert len(code.young) < 9_000 // code.ENTRY and max(map(len, code.young)) <= code.longest
