@@ -29,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near copies: the one with the smallest id, null ids last, then the first in the files."""
     rows = numbered_rows(docs)
     kept = first_of_groups(rows.select("row", "own.doc_id", "own.text"), SHINGLE, SIMILARITY)
-    return rows.join(kept, "row", "left_semi").select("own.*")
+    # a hash of the row numbers: a merge would sort the whole rows, texts and all
+    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select("own.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, table
+from quarry.llm.common import bounded_batches, table, worker_store
 
 #: Tokens of a seed, which is the shortest tile too; share of an item's tokens under tiles that counts as a leak.
 SEED_TOKENS, COVERAGE = 5, 0.5
@@ -168,6 +168,7 @@ def overlaps(docs: DataFrame, items: DataFrame, shortest: int = SEED_TOKENS, bro
 
 def _by_broadcast(src: DataFrame, known: list[tuple[int, np.ndarray]], shortest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("decontaminate")
         lengths = sorted({min(shortest, len(t)) for _, t in known})
         owners: dict[int, list[set]] = {n: defaultdict(set) for n in lengths}
         for k, (_, t) in enumerate(known):

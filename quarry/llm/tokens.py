@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, input_splits, shared_dir, table
+from quarry.llm.common import bounded_batches, input_splits, shared_dir, table, worker_store
 
 MAGIC = b"QTOK1"
 #: Documents whose id arrays train the dictionary, bytes of a piece of them, pieces of a document that count, and bytes of the dictionary.
@@ -184,14 +184,12 @@ def width_of(tokenizer) -> int:
     return 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """One encoder for each worker process, until it goes on to another operator's tasks."""
+    kept = worker_store("tokens")
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample: int = SAMPLE_DOCS) -> bytes:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quarry.llm.common import Kept, bounded_batches, table
+from quarry.llm.common import Kept, bounded_batches, table, worker_store
 
 #: Labelled documents that the classifier is fitted on at most: those whose ids hash lowest.
 TRAIN_DOCS = 20_000
@@ -61,6 +61,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("toxicity")
         counts = np.zeros(SYMBOLS**3, dtype=np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -359,6 +360,7 @@ def telling(sample: DataFrame, model: list) -> dict[str, float]:
     bounded_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("toxicity")
         restore = Restorer(model)
         for b in batches:
             seen = (Counter(), Counter())
@@ -417,6 +419,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, train_docs
     kind = StructType([StructField("doc_id", LongType()), *(StructField(f.name, f.dataType) for f in own.schema[2:]), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("toxicity")
         for b in batches:
             score = pa.array([scorer(t) for t in b.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], score], names=["doc_id", *b.schema.names[2:], "score"])

@@ -1,6 +1,7 @@
 """Rows alike are spread over the tasks; samples are bounded by rows; odd names, empty tables and long texts pass."""
 
 import random
+import weakref
 
 import numpy as np
 import public_tokenizers
@@ -145,3 +146,28 @@ def test_the_encoder_meets_a_word_once_whatever_signs_follow():
     want = [np.array(e.ids, "<u2").tobytes() for e in code.whole.encode_batch_fast(texts, add_special_tokens=False)]
     assert [x for at in range(0, len(texts), 500) for x in code.batch(texts[at : at + 500], step=900)] == want
     assert len(code.young) < 9_000 // code.ENTRY and max(map(len, code.young)) <= code.longest
+
+
+def test_workers_keep_one_operators_store():
+    """The encoder outlasts a task, but not the start of another operator's tasks in the same worker process."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    kept = weakref.ref(tokens.encoder(path))
+    assert kept() is not None and tokens.encoder(path) is kept()
+    common.worker_store("simhash")
+    assert kept() is None
+    assert common.worker_store("simhash") is common.worker_store("simhash")
+
+
+def test_near_duplicates_sort_no_texts(spark):
+    """Rows meet those to keep by a hash of their numbers, so no task sorts whole rows."""
+    path, key = common.shared_dir(spark, "unsorted"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.createDataFrame([(i, f"word{i} and some more {i * 7}") for i in range(50)], "doc_id long, text string").write.parquet(path)
+    known = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(path), None)
+        top = got._jdf.queryExecution().sparkPlan().toString().splitlines()[:3]
+        assert any("ShuffledHashJoin" in line and "LeftSemi" in line for line in top), top
+        assert got.count() == 50
+    finally:
+        spark.conf.set(key, known)
